@@ -1,7 +1,8 @@
 """Weighted histograms, cumulative distributions and threshold classes.
 
-Rows are first reduced to (group, value, weight); after the bin aggregation a group has at most ``bins``
-rows, which is the only size the collected arrays and the running-total window ever see.
+Rows are summed per bin (per distinct value first, where the range has to be found), with map-side combine;
+after that a group has at most ``bins`` rows, which is the only size the collected arrays and the
+running-total window ever see.
 """
 
 from __future__ import annotations
@@ -90,13 +91,14 @@ def weighted_hist(
     """
     bins = round((hi - lo) / step)
     low, width = F.lit(float(lo)), F.lit(float(step))
-    value = F.col("_x")
+    value = F.col(x).cast("double")
     inside = (value >= lo) & (value <= hi)
-    binned = (
-        _by_value(df, x, weight, by)
-        .withColumn("_lo", low)
-        .withColumn("_width", width)
-        .withColumn("_bin", F.when(inside, _bin_index(value, low, width, F.lit(bins))))
+    binned = df.select(
+        *by,
+        F.when(inside, _bin_index(value, low, width, F.lit(bins))).alias("_bin"),
+        F.col(weight).alias("_w"),
+        low.alias("_lo"),
+        width.alias("_width"),
     )
     return _complete(binned, by, bins)
 

@@ -140,10 +140,10 @@ ROLES: dict[str, str] = {
             CAST(sum(CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) AS BIGINT) AS available
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
         GROUP BY 1, 2""",
-    # Monthly enrolment per state: months counted from January 1992.
+    # Monthly enrolment per state: months counted from January 1995.
     "state_enrolment": f"""
         SELECT {_STATE} AS state_id,
-            CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) AS INT) AS months,
+            CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS months,
             CAST(count(*) AS BIGINT) AS enrolled
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
         GROUP BY 1, 2""",

@@ -29,6 +29,7 @@ from hearthstat.operators.members import (
     rollup_members,
 )
 from hearthstat.plans.binding import role
+from hearthstat.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +43,7 @@ FLAT_BENEFIT = 30.0
 LOADING = 1.02
 PORTAL_SHARES = (0.84, 0.9315, 0.6)
 FEE = 100.0
-PROGRAM_START = 1993
+PROGRAM_START = 1996
 TERRITORY = "24"
 SCENARIOS = (
     scenario.Scenario("S1", 44.0, 0.1261215, 26.28837),
@@ -421,13 +422,16 @@ def _district_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.link_table(role(spark, sf_dir, "area_district"), "puma_id", "district", "allocation_factor")
 
 
-def _allocated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _allocated(spark: SparkSession, sf_dir: str, reread: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Moved and unmatched totals; ``reread`` stores the area totals, for plans that read them several times."""
     areas = totals_per_area(spark, sf_dir, ["state_id", "area10"])
+    if reread:
+        areas = cut_lineage(areas)
     links = _district_links(spark, sf_dir)
     moved = X.allocate(
         areas, links, "area10", "puma_id", "district", "allocation_factor", AREA_MEASURES, ["state_id"]
     )
-    return moved, X.unmatched(areas, links, "area10", "puma_id")
+    return cut_lineage(moved) if reread else moved, X.unmatched(areas, links, "area10", "puma_id")
 
 
 @query
@@ -462,7 +466,7 @@ def crosswalk_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crosswalk_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per state and district with the unmatched remainder spread by eligible households."""
-    moved, rest = _allocated(spark, sf_dir)
+    moved, rest = _allocated(spark, sf_dir, reread=True)
     out = X.redistribute(moved, rest, "state_id", "district", "hh_eligible", AREA_MEASURES)
     return rounded(out, dict.fromkeys(AREA_MEASURES, 4))
 
@@ -635,7 +639,7 @@ def panel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         role(spark, sf_dir, "subscriber_records"),
         ["support_year", "support_month", "month_text"],
         {"subscribers": "subscribers", "disbursed": "disbursed"},
-        since=("support_year", 1994),
+        since=("support_year", 1997),
     )
     dated = panel.with_parsed_date(sums, "month_text", "MM/yyyy", "month_start")
     return T.order_nulls_last(dated, "support_year", "support_month")
@@ -674,7 +678,7 @@ def panel_diff_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel_first_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three years of every state, one cell of the second set to zero."""
     first = panel.first_periods(role(spark, sf_dir, "state_ledger"), "year", 3, ["state_id"])
-    return panel.set_value(first, "available", F.col("year") == 1993, 0)
+    return panel.set_value(first, "available", F.col("year") == 1996, 0)
 
 
 @query
@@ -739,7 +743,7 @@ def curve_match_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ledger_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State ledger beside the projected yearly cost; program year 1 falls on the year after the start."""
+    """State ledger beside the projected yearly cost; program year 1 falls on 1997, two years into the ledger."""
     costs = scenario.yearly_rollup(
         _grid(spark, sf_dir).where((F.col("scenario") == "S1") & (F.col("benefit") == "mixed")),
         ["state_id"], name="program_year", maxima=(),
@@ -844,7 +848,7 @@ def fitted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = curves.withColumn("adoption_rate", F.col("adoption_rate") * (44.0 / 110.0))
     priced = scenario.project(drawn, "universe", blended_benefit(BENEFIT_MIX))
     return rounded(
-        priced.select("state_id", "months", "adoption_rate", "enrolled_hh", "cost"),
+        priced.select("state_id", F.col("months").cast("bigint").alias("months"), "adoption_rate", "enrolled_hh", "cost"),
         {"adoption_rate": 4, "enrolled_hh": 2, "cost": 0},
     )
 
@@ -853,8 +857,8 @@ def fitted_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadratic trend per state beside the yearly funds it smooths, with the smoothed change."""
     ledger = role(spark, sf_dir, "state_ledger").drop("committed")
-    fit = fitting.fit_quadratic(ledger, ["state_id"], "year", "available", 1995)
-    smooth = ledger.join(fit.drop("points"), "state_id").withColumn("smoothed", fitting.quadratic("year", 1995))
+    fit = fitting.fit_quadratic(ledger, ["state_id"], "year", "available", 1998)
+    smooth = ledger.join(fit.drop("points"), "state_id").withColumn("smoothed", fitting.quadratic("year", 1998))
     out = panel.period_diff(smooth, "smoothed", "year", ["state_id"], "smoothed_increase")
     return rounded(
         out.select("state_id", "year", "available", "smoothed", "smoothed_increase"),

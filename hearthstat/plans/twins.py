@@ -372,7 +372,7 @@ TWINS["level_share_unconnected"] = _with(_HP, **_POPULATIONS) + """
 _twin("panel_totals", ["subscriber_records"], f"""
     SELECT support_year, support_month, month_text, {_whole('subscribers', 'subscribers')}, {_whole('disbursed', 'disbursed')},
         CAST(strptime(month_text, '%m/%Y') AS DATE) AS month_start
-    FROM subscriber_records WHERE support_year >= 1994 GROUP BY support_year, support_month, month_text""")
+    FROM subscriber_records WHERE support_year >= 1997 GROUP BY support_year, support_month, month_text""")
 
 _twin("panel_years", ["subscriber_records"], f"""
     SELECT support_year, {_whole('subscribers', 'subscribers')}, {_whole('disbursed', 'disbursed')}
@@ -394,7 +394,7 @@ _twin("panel_diff_share", ["state_ledger"], """
     FROM state_ledger WINDOW s AS (PARTITION BY state_id ORDER BY year)""")
 
 _twin("panel_first_periods", ["state_ledger"], """
-    SELECT state_id, year, committed, CASE WHEN year = 1993 THEN 0 ELSE available END AS available
+    SELECT state_id, year, committed, CASE WHEN year = 1996 THEN 0 ELSE available END AS available
     FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY year) AS n FROM state_ledger) q WHERE n <= 3""")
 
 _twin("panel_mean_after_first", ["state_ledger"], """
@@ -513,11 +513,66 @@ TWINS["fit_logit_linear"] = _with(["state_enrolment"], **_ADOPTION, z="""
     SELECT state_id, regr_slope(z, months) AS k, regr_intercept(z, months) AS i, count(*) AS points FROM z GROUP BY state_id""") + """
     SELECT state_id, round(k, 6) AS k, round(-i / k, 4) AS x0, points FROM s"""
 
+def _newton_chain(free: bool, steps: int) -> dict[str, str]:
+    """Undamped Gauss-Newton in a recursive table: curve a / (1 + exp(-(b t + c))) with t = (months - 40) / 40."""
+    residual = "(rate - a * s)"
+    gradient = {"b": "a * s * (1 - s) * t", "c": "a * s * (1 - s)"} | ({"a": "s"} if free else {})
+    names = list(gradient)
+    sums = [f"sum({gradient[m]} * {gradient[n]}) AS {m}{n}" for i, m in enumerate(names) for n in names[i:]]
+    sums += [f"sum({gradient[m]} * {residual}) AS r{m}" for m in names]
+
+    def det(rows: list[list[str]]) -> str:
+        if len(rows) == 2:
+            return f"({rows[0][0]} * {rows[1][1]} - {rows[0][1]} * {rows[1][0]})"
+        inner = [det([[r[j] for j in range(3) if j != k] for r in rows[1:]]) for k in range(3)]
+        return f"({rows[0][0]} * {inner[0]} - {rows[0][1]} * {inner[1]} + {rows[0][2]} * {inner[2]})"
+
+    def cell(m: str, n: str) -> str:
+        return f"{m}{n}" if names.index(m) <= names.index(n) else f"{n}{m}"
+
+    normal = [[cell(m, n) for n in names] for m in names]
+    moved = {}
+    for k, m in enumerate(names):
+        swapped = [[f"r{names[i]}" if j == k else normal[i][j] for j in range(len(names))] for i in range(len(names))]
+        moved[m] = f"{m} + {det(swapped)} / {det(normal)}"
+    return {
+        **_ADOPTION,
+        "pts": "SELECT state_id, rate, (months - 40) / 40.0::DOUBLE AS t FROM a",
+        "line": "SELECT state_id, regr_slope(ln(rate / (110 - rate)), t) AS b, regr_intercept(ln(rate / (110 - rate)), t) AS c FROM pts GROUP BY state_id",
+        "chain": f"""SELECT 0 AS step, state_id, 110::DOUBLE AS a, b, c FROM line UNION ALL
+            SELECT step + 1, state_id, {moved.get('a', 'a')}, {moved['b']}, {moved['c']} FROM (
+                SELECT step, state_id, max(a) AS a, max(b) AS b, max(c) AS c, {', '.join(sums)}
+                FROM (SELECT q.*, pts.t, pts.rate, 1 / (1 + exp(-(b * pts.t + c))) AS s
+                      FROM chain q JOIN pts ON q.state_id = pts.state_id WHERE step < {steps}) z
+                GROUP BY step, state_id) y""",
+        "fits": f"""SELECT q.state_id, a AS l, b / 40 AS k, 40 - c * 40 / b AS x0,
+            sum(pow(rate - a / (1 + exp(-(b * t + c))), 2)) AS sse, count(*) AS points
+            FROM chain q JOIN pts ON q.state_id = pts.state_id WHERE step = {steps} GROUP BY q.state_id, a, b, c""",
+    }
+
+
+def _recursive(roles: Sequence[str], tables: Mapping[str, str]) -> str:
+    return _with(roles, **tables).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+TWINS["fit_logistic_fixed"] = _recursive(["state_enrolment"], _newton_chain(False, 25)) + """
+    SELECT state_id, round(l, 4) AS "L", round(k, 6) AS k, round(x0, 4) AS x0, round(sse, 3) AS sse, points, TRUE AS converged FROM fits"""
+
+TWINS["fit_logistic_free"] = _recursive(["state_enrolment"], _newton_chain(True, 60)) + """
+    SELECT state_id, round(l, 3) AS "L", round(k, 6) AS k, round(x0, 3) AS x0, round(sse, 3) AS sse, points, TRUE AS converged FROM fits"""
+
+TWINS["fitted_projection"] = _recursive([*_AHP, "state_enrolment"], {
+    **_newton_chain(False, 25), **_UNIVERSE,
+    "m": """SELECT f.state_id, m.months, universe, l / (1 + exp(-k * (m.months - x0))) * (44.0 / 110.0) AS rate
+        FROM fits f JOIN u ON f.state_id = u.state_id, range(1, 73) m(months)""",
+}) + f"""SELECT state_id, months, round(rate, 4) AS adoption_rate, round(rate / 100 * universe, 2) AS enrolled_hh,
+    round(rate / 100 * universe * {_BLEND_VALUE}, 0) AS cost FROM m"""
+
 _S = {f"s{i}": f"sum(pow(t, {i}))" for i in range(5)} | {f"m{i}": f"sum(available * pow(t, {i}))" for i in range(3)}
 _DET = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
 TWINS["fit_quadratic"] = _with(
     ["state_ledger"],
-    l="SELECT *, CAST(year - 1995 AS DOUBLE) AS t FROM state_ledger",
+    l="SELECT *, CAST(year - 1998 AS DOUBLE) AS t FROM state_ledger",
     q="SELECT state_id, " + ", ".join(f"{text} AS {name}" for name, text in _S.items()) + " FROM l GROUP BY state_id",
     c=f"""SELECT state_id,
         (m0 * (s2 * s4 - s3 * s3) - s1 * (m1 * s4 - m2 * s3) + s2 * (m1 * s3 - m2 * s2)) / {_DET} AS c0,
