@@ -2,8 +2,8 @@
 
 ``sum(w * f)`` is linear, so totals are made per source area first and only area rows meet the crosswalk;
 household rows are never multiplied by their target areas. No join here carries a broadcast hint: Catalyst
-and adaptive execution choose by measured size, and both join inputs come straight from an exchange, so a
-source area that holds a large part of the links is split by the adaptive skew join.
+and adaptive execution choose by measured size. Where one area may hold a large part of the links the join is
+salted, so the links of a hot area are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hearthstat.functions.curves import ratio
 from hearthstat.functions.predicates import as_column, lookup
+from hearthstat.operators.joins import salted_join
 from hearthstat.operators.totals import plain_totals
 
 
@@ -38,9 +39,8 @@ def area_measures(
     return df.groupBy(*area).agg(*[F.sum(value).alias(name) for name, value in measures.items()])
 
 
-def _on_source(totals: DataFrame, links: DataFrame, area: str, source: str, how: str) -> DataFrame:
-    renamed = links.withColumnRenamed(source, area) if source != area else links
-    return totals.join(renamed, area, how)
+def _renamed(links: DataFrame, source: str, area: str) -> DataFrame:
+    return links.withColumnRenamed(source, area) if source != area else links
 
 
 def allocate(
@@ -53,21 +53,32 @@ def allocate(
     measures: Sequence[str],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Area totals moved to target areas; areas without a link drop out (see :func:`unmatched`)."""
+    """Area totals moved to target areas; areas without a link drop out (see :func:`unmatched`).
+
+    Totals that come in several rows per area (one per ``by`` value) are joined as they are.
+    """
     moved = [F.sum(F.col(name) * F.col(factor)).alias(name) for name in measures]
-    return _on_source(totals, links, area, source, "inner").groupBy(*by, target).agg(*moved)
+    return _spread_links(totals, links, area, source).groupBy(*by, target).agg(*moved)
+
+
+def _spread_links(totals: DataFrame, links: DataFrame, area: str, source: str) -> DataFrame:
+    """Every link beside the totals of its source area."""
+    return salted_join(_renamed(links, source, area), totals, [area])
 
 
 def overlap(
     totals: DataFrame, links: DataFrame, area: str, source: str
 ) -> DataFrame:
     """Area totals beside every link of the area; areas without a link stay, with NULL link columns."""
-    return _on_source(totals, links, area, source, "left")
+    return _spread_links(totals, links, area, source).unionByName(
+        unmatched(totals, links, area, source), allowMissingColumns=True
+    )
 
 
 def unmatched(totals: DataFrame, links: DataFrame, area: str, source: str) -> DataFrame:
     """Area totals of the areas that have no link."""
-    return totals.join(links.select(F.col(source).alias(area)), area, "left_anti")
+    known = links.select(F.col(source).alias(area)).distinct()
+    return totals.join(known, area, "left_anti")
 
 
 def match_rate(totals: DataFrame, links: DataFrame, area: str, source: str, weight: str) -> DataFrame:
@@ -75,7 +86,7 @@ def match_rate(totals: DataFrame, links: DataFrame, area: str, source: str, weig
     known = links.groupBy(source).agg(F.lit(1).alias("_known"))
     matched = F.col("_known").isNotNull()
     return (
-        _on_source(totals, known, area, source, "left")
+        totals.join(_renamed(known, source, area), area, "left")
         .agg(
             F.count(F.lit(1)).alias("areas"),
             F.sum(matched.cast("bigint")).alias("matched_areas"),
@@ -102,10 +113,10 @@ def compose(
     first_via, second_via = via
     first_factor, second_factor = factors
     kept = [target] if target else []
-    reduced = second.groupBy(second_via, *kept).agg(F.sum(second_factor).alias("_second_factor"))
+    reduced = second.groupBy(F.col(second_via).alias("_via"), *kept).agg(F.sum(second_factor).alias("_second_factor"))
+    links = first.select(F.col(source), F.col(first_via).alias("_via"), F.col(first_factor).alias("_first_factor"))
     return (
-        first.select(F.col(source), F.col(first_via).alias("_via"), F.col(first_factor).alias("_first_factor"))
-        .join(reduced.withColumnRenamed(second_via, "_via"), "_via")
+        salted_join(links, reduced, ["_via"])
         .groupBy(source, *kept)
         .agg(F.sum(F.col("_first_factor") * F.col("_second_factor")).alias(factor_as))
     )
@@ -120,7 +131,7 @@ def apply_share(
     measures: Mapping[str, str],
 ) -> DataFrame:
     """Area totals with ``new = old * share`` columns; an area without a share gets NULL there."""
-    joined = _on_source(totals, shares.select(source, share), area, source, "left")
+    joined = totals.join(_renamed(shares.select(source, share), source, area), area, "left")
     return joined.withColumns({new: F.col(old) * F.col(share) for new, old in measures.items()})
 
 
@@ -135,8 +146,9 @@ def redistribute(
 ) -> DataFrame:
     """Remainder of a region spread over its targets in proportion to a measure.
 
-    ``remainder`` holds rows per region (any number; they are summed). A region whose targets carry no basis, or that has no target,
-    keeps its remainder in one row with the label as target, so the grand totals never change.
+    ``remainder`` holds rows per region (any number; they are summed). A region whose targets carry no basis, or
+    that has no target, keeps its remainder in one row with the label as target, so the grand totals never
+    change. ``allocated`` is read twice.
     """
     left_over = plain_totals(remainder, measures, [region]).select(
         region, *[F.coalesce(F.col(name), F.lit(0)).cast("double").alias(f"_rest_{name}") for name in measures]
@@ -145,7 +157,7 @@ def redistribute(
     per_region = left_over.join(base, region, "left")
     spreadable = F.coalesce(F.col("_basis_total"), F.lit(0.0)) > 0
     part = F.coalesce(F.col(basis).cast("double"), F.lit(0.0)) / F.col("_basis_total")
-    spread = allocated.join(per_region.where(spreadable), region, "left").select(
+    spread = salted_join(allocated, per_region.where(spreadable), [region], "left").select(
         region,
         target,
         *[

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthstat.functions.curves import ratio
+from hearthstat.operators.joins import salted_join
 
 
 @dataclass(frozen=True)
@@ -104,24 +105,21 @@ def weighted_hist(
 
 
 def weighted_hist_auto(
-    df: DataFrame, x: str, weight: str, bins: int, by: Sequence[str] = (), groups: int | None = None
+    df: DataFrame, x: str, weight: str, bins: int, by: Sequence[str] = (), listed_groups: bool = False
 ) -> DataFrame:
     """Weight per bin for equal bins between the smallest and largest value of each group.
 
-    A group with a single value gets a range of one around it. ``groups`` is the known number of groups, for
-    callers that stack a fixed list of populations: only then is the range table small by construction, and
-    it is broadcast. Columns as in :func:`weighted_hist`.
+    A group with a single value gets a range of one around it. ``listed_groups`` says that the groups are a list
+    in the program text, as after :func:`stack_populations`: only then is the range table small by
+    construction, and it is broadcast. Columns as in :func:`weighted_hist`.
     """
     values = _by_value(df, x, weight, by)
     ranges = values.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     single = F.col("_min") == F.col("_max")
-    if by:
-        keyed = ranges.select(*[F.col(name).alias(f"_by_{name}") for name in by], "_min", "_max")
-        same = None
-        for name in by:
-            test = F.col(name).eqNullSafe(F.col(f"_by_{name}"))
-            same = test if same is None else same & test
-        ranged = values.join(F.broadcast(keyed) if groups is not None and groups <= 10_000 else keyed, same)
+    if by and listed_groups:
+        ranged = salted_join(values, F.broadcast(ranges), by, salts=1, null_safe=True)
+    elif by:
+        ranged = salted_join(values, ranges, by, null_safe=True)
     else:
         ranged = values.withColumns({
             "_min": ranges.select("_min").scalar(),

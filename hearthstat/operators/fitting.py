@@ -16,9 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthstat.operators.joins import salted_join
 from hearthstat.session import cut_lineage
 
 _EPSILON = 1e-4
+_PART_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,10 @@ def logit_line(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote:
 
 
 def _scaled_points(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float | None) -> DataFrame:
-    """One row per (group, x) with x moved to [-1, 1] and y divided by its scale; scales ride along."""
+    """One row per (group, x) with x moved to [-1, 1] and y divided by its scale; scales ride along.
+
+    A group with many x is cut into parts, so that no pass runs it in a single task.
+    """
     per_x = (
         points.dropna(how="any", subset=[*by, x, y])
         .groupBy(*by, F.col(x).cast("double").alias("_x"))
@@ -83,9 +88,12 @@ def _scaled_points(points: DataFrame, by: Sequence[str], x: str, y: str, asympto
         F.expr("(min(_x) + max(_x)) / 2").alias("_center"),
         F.expr("(max(_x) - min(_x)) / 2").alias("_half"),
         F.expr("max(_y)" if asymptote is None else f"max({float(asymptote)}D)").alias("_top"),
+        F.expr(f"CAST(ceil(count(*) / {_PART_ROWS}) AS INT)").alias("_parts"),
     )
-    return per_x.join(per_group, list(by)).selectExpr(
+    return salted_join(per_x, per_group, by).selectExpr(
         *by,
+        "_parts",
+        "CAST(pmod(xxhash64(_x), _parts) AS INT) AS _part",
         "_n",
         "try_divide(_x - _center, _half) AS _u",
         "try_divide(_y, _top) AS _v",
@@ -99,7 +107,7 @@ def _scaled_points(points: DataFrame, by: Sequence[str], x: str, y: str, asympto
 class _State:
     """Column names of the per-group solver state."""
 
-    scales = ["_center", "_half", "_top", "_points", "_inner"]
+    scales = ["_center", "_half", "_top", "_points", "_inner", "_parts"]
     control = ["_sse", "_damping", "_passes"]
 
     def __init__(self, free: bool):
@@ -138,7 +146,7 @@ def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: So
         F.expr("sum(_w * _u * _z)").alias("_b1"),
         F.sum("_n").alias("_points"),
         F.sum("_inner").alias("_inner"),
-        *[F.max(name).alias(name) for name in ("_center", "_half", "_top")],
+        *[F.max(name).alias(name) for name in ("_center", "_half", "_top", "_parts")],
     )
     slope, shift = solve_linear([["_m2", "_m1"], ["_m1", "_m0"]], ["_b1", "_b0"])
     start = {"slope": slope, "shift": shift, "height": f"{height}D"}
@@ -167,8 +175,8 @@ def _advance(scaled: DataFrame, current: DataFrame, by: Sequence[str], state: _S
         (0, 2): "_s1 * _u", (1, 2): "_s1", (2, 2): "0D",
     }
     at_trial = (
-        scaled.select(*by, "_n", "_u", "_v")
-        .join(current, list(by))
+        scaled.select(*by, "_part", "_n", "_u", "_v")
+        .join(current.withColumn("_part", F.expr("explode(sequence(0, _parts - 1))")), [*by, "_part"])
         .withColumn("_s", F.expr("1 / (1 + exp(-(_t_slope * _u + _t_shift)))"))
         .withColumns({
             "_s1": F.expr("_s * (1 - _s)"),

@@ -48,6 +48,11 @@ _PERSON = """
     lpad(CAST(l_partkey % 30 + 1 AS STRING), 2, '0') AS hisp,
     lpad(CAST(l_suppkey % 17 AS STRING), 2, '0') AS schg"""
 
+# Orders with their area; areas without links are left out.
+_LINKED_ORDERS = (
+    f"(SELECT o_orderkey, {_AREA10} AS puma_id FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey "
+    "WHERE c_custkey % 50 <> 0) linked"
+)
 _TRACT = "lpad(CAST(p_size % 10 AS STRING), 11, '0')"
 
 ROLES: dict[str, str] = {
@@ -61,24 +66,27 @@ ROLES: dict[str, str] = {
     # Persons with both area vintages of their household, for keys of two and three columns.
     "area_persons": f"""
         SELECT {_AREA20} AS area20, {_AREA10} AS area10, {_PERSON}
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey""",
+        FROM {{lineitem}}
+            JOIN (SELECT o_orderkey, c_custkey, c_nationkey FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey) placed
+            ON l_orderkey = o_orderkey""",
     # Crosswalk area -> district: share of line items per supplier nation. Areas ending -0009 have no link.
+    # Line items are counted per area and supplier before the supplier table is joined.
     "area_district": f"""
         SELECT puma_id, district, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY puma_id) AS allocation_factor
         FROM (
-            SELECT {_AREA10} AS puma_id, lpad(CAST(s_nationkey AS STRING), 2, '0') AS district, count(*) AS n
-            FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
-                 JOIN {{supplier}} ON l_suppkey = s_suppkey
-            WHERE c_custkey % 50 <> 0
+            SELECT puma_id, lpad(CAST(s_nationkey AS STRING), 2, '0') AS district, CAST(sum(n) AS BIGINT) AS n
+            FROM (
+                SELECT puma_id, l_suppkey, count(*) AS n
+                FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey
+                GROUP BY 1, 2) per_supplier
+                JOIN {{supplier}} ON l_suppkey = s_suppkey
             GROUP BY 1, 2) counted""",
     # Crosswalk area -> zip: share of line items per brand.
     "area_zip": f"""
         SELECT puma_id, zipcode, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY puma_id) AS allocation_factor
         FROM (
-            SELECT {_AREA10} AS puma_id, p_brand AS zipcode, count(*) AS n
-            FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
-                 JOIN {{part}} ON l_partkey = p_partkey
-            WHERE c_custkey % 50 <> 0
+            SELECT puma_id, p_brand AS zipcode, count(*) AS n
+            FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
             GROUP BY 1, 2) counted""",
     # Crosswalk zip -> rural / urban.
     "zip_rural": """
@@ -90,10 +98,8 @@ ROLES: dict[str, str] = {
     "area_tract": f"""
         SELECT puma22_id, tract_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY puma22_id) AS allocation_factor
         FROM (
-            SELECT {_AREA10} AS puma22_id, {_TRACT} AS tract_id, count(*) AS n
-            FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
-                 JOIN {{part}} ON l_partkey = p_partkey
-            WHERE c_custkey % 50 <> 0
+            SELECT puma_id AS puma22_id, {_TRACT} AS tract_id, count(*) AS n
+            FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
             GROUP BY 1, 2) counted""",
     "locations": f"""
         SELECT CAST(p_partkey AS STRING) AS location_id,

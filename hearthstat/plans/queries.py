@@ -604,14 +604,14 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hist_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms with 50 bins over the observed range of each of four populations."""
     return _histogram(
-        D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], groups=4)
+        D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], listed_groups=True)
     )
 
 
 @query
 def hist_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative form of the four histograms."""
-    histogram = D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], groups=4)
+    histogram = D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], listed_groups=True)
     return rounded(_histogram(D.cumulative(histogram, ["population"])), {"cumulative_share": 8})
 
 
