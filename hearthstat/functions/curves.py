@@ -21,7 +21,7 @@ def logistic(x, asymptote, rate, midpoint) -> Column:
 
 def rescale(value, old, new) -> Column:
     """The same curve drawn to another asymptote."""
-    return as_column(value) * (_number(new) / _number(old))
+    return as_column(value) * F.try_divide(_number(new), _number(old))
 
 
 def ratio(numerator, denominator) -> Column:
@@ -40,5 +40,5 @@ def blended_benefit(mix: Iterable[tuple[float, float]]) -> float:
 
 
 def peak_rate(budget, universe, benefit: float, loading: float = 1.0, periods: int = 12) -> Column:
-    """Adoption rate in percent at which the yearly cost equals the budget."""
-    return _number(budget) / (benefit * loading * periods) / _number(universe) * 100
+    """Adoption rate in percent at which the yearly cost equals the budget; NULL for an empty universe."""
+    return F.try_divide(_number(budget) / (benefit * loading * periods), _number(universe)) * 100

@@ -70,14 +70,14 @@ class MemberValue:
 
 
 def _mask(seen: int, terms: Mapping[str, tuple[int, Column]]) -> Column:
-    out = F.lit(seen).cast("bigint")
+    out = F.expr(f"{seen}L")
     for bit, condition in terms.values():
-        out = out.bitwiseOR(F.when(condition, F.lit(1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        out = out.bitwiseOR(F.when(condition, F.expr(f"{1 << bit}L")).otherwise(F.expr("0L")))
     return out
 
 
-def _is_set(bits: Column, mask: int) -> Column:
-    return bits.bitwiseAND(F.lit(mask).cast("bigint")) != 0
+def _is_set(mask: int) -> str:
+    return f"({_BITS} & {mask}L) != 0"
 
 
 def rollup_members(
@@ -127,27 +127,22 @@ def rollup_members(
             )
         per_household = person_rows.groupBy(*key).agg(F.bit_or(_BITS).alias("_member_bits"), *member_aggregates)
         merged = household_rows.join(per_household, key, "left").withColumn(
-            _BITS, F.col(_BITS).bitwiseOR(F.coalesce(F.col("_member_bits"), F.lit(0).cast("bigint")))
+            _BITS, F.expr(f"{_BITS} | coalesce(_member_bits, 0L)")
         )
     else:
         merged = (
             household_rows.unionByName(person_rows, allowMissingColumns=True)
             .groupBy(*key)
             .agg(F.max(_WEIGHT).alias(_WEIGHT), F.bit_or(_BITS).alias(_BITS), *member_aggregates)
-            .where(_is_set(F.col(_BITS), _HOUSEHOLD_SEEN))
+            .where(_is_set(_HOUSEHOLD_SEEN))
         )
     if require_member:
-        merged = merged.where(_is_set(F.col(_BITS), _MEMBER_SEEN))
+        merged = merged.where(_is_set(_MEMBER_SEEN))
 
     def flag_column(name: str, spec: Flag) -> Column:
         masks = [1 << terms[name][0] for terms in (household_terms, member_terms) if name in terms]
-        if spec.need_both:
-            met = F.lit(True)
-            for mask in masks:
-                met = met & _is_set(F.col(_BITS), mask)
-        else:
-            met = _is_set(F.col(_BITS), sum(masks))
-        return met.cast("int").alias(name)
+        met = " AND ".join(map(_is_set, masks)) if spec.need_both else _is_set(sum(masks))
+        return F.expr(f"CAST(({met}) AS INT)").alias(name)
 
     return merged.select(
         *key,

@@ -96,7 +96,7 @@ def match_observed(df: DataFrame, rate: str, observed, by: Sequence[str] = (), n
     """The curve scaled so that its largest value on the grid equals an observed rate."""
     peak = F.max(rate).over(Window.partitionBy(*by))
     target = F.lit(float(observed)) if isinstance(observed, (int, float)) else as_column(observed)
-    return df.withColumn(name, F.col(rate) * (target / peak))
+    return df.withColumn(name, F.col(rate) * F.try_divide(target, peak))
 
 
 def compare_scenarios(

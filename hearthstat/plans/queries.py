@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hearthstat.functions import codes, labels
 from hearthstat.functions import predicates as P
-from hearthstat.functions.curves import blended_benefit, logistic, peak_rate, ratio
+from hearthstat.functions.curves import blended_benefit, logistic, peak_rate, ratio, rescale
 from hearthstat.operators import crosswalk as X
 from hearthstat.operators import distribution as D
 from hearthstat.operators import fitting, panel, scenario
@@ -754,6 +754,59 @@ def ledger_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("year", F.col("year").cast("bigint")), {"cost": 2, "headroom": 2})
 
 
+@query
+def ledger_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State ledger beside the yearly costs of two scenarios, one column each."""
+    yearly = scenario.yearly_rollup(
+        _grid(spark, sf_dir).where(F.col("benefit") == "mixed"), ["state_id", "scenario"], name="program_year", maxima=()
+    )
+    costs = scenario.compare_scenarios(yearly, ["state_id", "program_year"], ["S1", "S3"], ["cost"])
+    out = panel.align(role(spark, sf_dir, "state_ledger"), costs, "year", "program_year", PROGRAM_START, ["state_id"])
+    return rounded(out.withColumn("year", F.col("year").cast("bigint")), {"S1_cost": 2, "S3_cost": 2})
+
+
+@query
+def universe_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly cost of one scenario for universes cut at two poverty levels, from one roll-up."""
+    rolled = by_area(
+        spark, sf_dir, {"at_200": eligible(), "at_135": eligible(135), "unconnected": unconnected()}, ["state_id"]
+    )
+    wide = T.weighted_totals(rolled, "hh_weight", {
+        "at_200": on("at_200") & on("unconnected"), "at_135": on("at_135") & on("unconnected"),
+    }, ["state_id"])
+    universes = wide.unpivot("state_id", ["at_200", "at_135"], "level", "universe")
+    grid = scenario.scenario_grid(
+        universes, "universe", [SCENARIOS[2]], [scenario.Benefit("mixed", blended_benefit(BENEFIT_MIX))], 1, 72
+    )
+    out = scenario.yearly_rollup(grid, ["state_id", "level", "universe"], name="program_year")
+    return rounded(
+        out.withColumn("program_year", F.col("program_year").cast("bigint")),
+        {"cost": 2, "adoption_rate": 6, "enrolled_hh": 4},
+    )
+
+
+@query
+def budget_matched_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first curve per state, drawn to the rate at which the largest yearly budget is used up."""
+    benefit = blended_benefit(BENEFIT_MIX)
+    budgets = panel.panel_reduce(role(spark, sf_dir, "state_ledger"), ["state_id"], {"available": "max"})
+    peaks = budgets.join(_universes(spark, sf_dir), "state_id").withColumn(
+        "peak", peak_rate("available", "universe", benefit, LOADING)
+    )
+    first = SCENARIOS[0]
+    months = scenario.with_periods(peaks, 1, 72).withColumn(
+        "adoption_rate",
+        rescale(logistic("months", first.asymptote, first.rate, first.midpoint), first.asymptote, "peak"),
+    )
+    yearly = scenario.yearly_rollup(
+        scenario.project(months, "universe", benefit, LOADING), ["state_id", "peak"], name="program_year"
+    )
+    return rounded(
+        yearly.withColumn("program_year", F.col("program_year").cast("bigint")),
+        {"peak": 4, "cost": 2, "adoption_rate": 4, "enrolled_hh": 3},
+    )
+
+
 def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = role(spark, sf_dir, "state_ledger").join(_universes(spark, sf_dir), "state_id")
     return scenario.capacity(ledger, "available", blended_benefit(BENEFIT_MIX), LOADING, "universe")

@@ -131,7 +131,7 @@ TWINS["subgroup_change"] = _with(
         *[_change_row(n, f" AND {n}") for n in _SUBGROUPS],
         _change_row("rural", "", " * rural_share"),
     ]),
-) + "SELECT subgroup, round(t, 4) AS total, round(l, 4) AS lost, round_even(-(l / t) * 100, 2) AS percent_change FROM c"
+) + "SELECT subgroup, round(t, 4) AS total, round(l, 4) AS lost, round_even(-(l / t) * 100, 2) + 0.0::DOUBLE AS percent_change FROM c"
 
 TWINS["crosswalk_compose_share"] = _with(_RURAL_ROLES, r=_GAP_AREAS, s=_RURAL) + f"""
     SELECT {_sumnull('hh_eligible', 'e AND u')}, {_sumnull('hh_gap', 'g AND u')},
@@ -404,7 +404,6 @@ _twin("panel_mean_after_first", ["state_ledger"], """
 
 # --- projections and budget ------------------------------------------------------------------------
 
-_BLEND = " + ".join(f"{amount} * {share}" for share, amount in Q.BENEFIT_MIX)
 _BLEND_VALUE = f"(CAST({Q.BENEFIT_MIX[0][1]} AS DOUBLE) * {Q.BENEFIT_MIX[0][0]} + CAST({Q.BENEFIT_MIX[1][1]} AS DOUBLE) * {Q.BENEFIT_MIX[1][0]})"
 _SCENARIO_ROWS = ", ".join(
     f"('{s.name}', CAST({s.asymptote} AS DOUBLE), CAST({s.rate} AS DOUBLE), CAST({s.midpoint} AS DOUBLE), "
@@ -454,6 +453,38 @@ TWINS["ledger_headroom"] = _with([*_AHP, "state_ledger"], **_GRID, c=f"""
         committed + available AS stacked, round(available - cost, 2) AS headroom
     FROM state_ledger l LEFT JOIN c ON l.state_id = c.state_id AND l.year = c.year"""
 
+TWINS["ledger_scenarios"] = _with([*_AHP, "state_ledger"], **_GRID, c=f"""
+    SELECT state_id, (months - 1) // 12 + 1 + {Q.PROGRAM_START} AS year,
+        sum(cost) FILTER (WHERE scenario = 'S1') AS c1, sum(cost) FILTER (WHERE scenario = 'S3') AS c3
+    FROM p WHERE benefit = 'mixed' GROUP BY 1, 2""") + """
+    SELECT l.state_id, CAST(l.year AS BIGINT) AS year, committed, available, round(c1, 2) AS "S1_cost", round(c3, 2) AS "S3_cost"
+    FROM state_ledger l LEFT JOIN c ON l.state_id = c.state_id AND l.year = c.year"""
+
+_LOW = Q.SCENARIOS[2]
+TWINS["universe_levels"] = _with(
+    _AHP,
+    r=_rolled({"e": _ELIGIBLE, "f": _qualifies(135), "u": _UNCONNECTED}, ["state_id"], households="area_households"),
+    v=f"""SELECT state_id, 'at_200' AS level, {_sum0('universe', 'e AND u')} FROM r GROUP BY state_id
+        UNION ALL SELECT state_id, 'at_135', {_sum0('universe', 'f AND u')} FROM r GROUP BY state_id""",
+    g=f"""SELECT v.*, months, {_LOW.asymptote} / (1 + exp(-{_LOW.rate} * (months - {_LOW.midpoint})))
+        * (CAST({_LOW.drawn_to} AS DOUBLE) / {_LOW.asymptote}) AS rate FROM v, range(1, 73) m(months)""",
+) + f"""SELECT state_id, level, universe, CAST((months - 1) // 12 + 1 AS BIGINT) AS program_year,
+    round(sum(rate / 100 * universe * {_BLEND_VALUE}), 2) AS cost, round(max(rate), 6) AS adoption_rate,
+    round(max(rate / 100 * universe), 4) AS enrolled_hh
+    FROM g GROUP BY state_id, level, universe, (months - 1) // 12"""
+
+_S1 = Q.SCENARIOS[0]
+TWINS["budget_matched_projection"] = _with(
+    [*_AHP, "state_ledger"], **_UNIVERSE,
+    b=f"""SELECT u.state_id, universe, max(available) / ({_BLEND_VALUE} * {Q.LOADING} * 12) / nullif(universe, 0) * 100 AS peak
+        FROM state_ledger l JOIN u ON l.state_id = u.state_id GROUP BY u.state_id, universe""",
+    g=f"""SELECT b.*, months, {_S1.asymptote} / (1 + exp(-{_S1.rate} * (months - {_S1.midpoint}))) * (peak / {_S1.asymptote}) AS rate
+        FROM b, range(1, 73) m(months)""",
+) + f"""SELECT state_id, round(peak, 4) AS peak, CAST((months - 1) // 12 + 1 AS BIGINT) AS program_year,
+    round(sum(rate / 100 * universe * {_BLEND_VALUE} * {Q.LOADING}), 2) AS cost, round(max(rate), 4) AS adoption_rate,
+    round(max(rate / 100 * universe), 3) AS enrolled_hh
+    FROM g GROUP BY state_id, peak, (months - 1) // 12"""
+
 _CAPACITY = {
     **_UNIVERSE,
     "c": f"""SELECT l.*, universe, available / ({Q.LOADING} * 12 * {_BLEND_VALUE}) AS households

@@ -89,3 +89,9 @@ def test_labels(spark):
     assert values(df, labels.count("x")) == ["1250.0M", "350.0M", "2.4M", "12K", None]
     assert values(df, labels.percent(F.col("x") / 1e10)) == ["12.5%", "3.5%", "0.0%", "0.0%", None]
     assert values(df, labels.thousands("x")) == ["1,250,000,000", "350,000,000", "2,406,460", "12,345", None]
+
+
+def test_empty_universe_has_no_rate(spark):
+    df = spark.createDataFrame([(5.0, 0)], "budget double, universe long")
+    assert values(df, peak_rate("budget", "universe", 33.0)) == [None]
+    assert values(df, rescale("budget", "universe", 3)) == [None]
