@@ -28,7 +28,7 @@ class Solver:
     """Limits of the solver. ``tolerance`` is the largest relative parameter step at the end."""
 
     passes: int = 120
-    passes_per_check: int = 4
+    passes_per_check: int = 2
     tolerance: float = 1e-9
     first_damping: float = 1e-3
 
@@ -70,11 +70,14 @@ def logit_line(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote:
     return line.select(*by, "k", F.expr("try_divide(-_intercept, k)").alias("x0"), "points")
 
 
-def _scaled_points(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float | None) -> DataFrame:
+def _scaled_points(
+    points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float | str | None
+) -> DataFrame:
     """One row per (group, x) with x moved to [-1, 1] and y divided by its scale; scales ride along.
 
     A group with many x is cut into parts, so that no pass runs it in a single task.
     """
+    known = F.col(asymptote) if isinstance(asymptote, str) else F.lit(asymptote)
     per_x = (
         points.dropna(how="any", subset=[*by, x, y])
         .groupBy(*by, F.col(x).cast("double").alias("_x"))
@@ -82,12 +85,13 @@ def _scaled_points(points: DataFrame, by: Sequence[str], x: str, y: str, asympto
             F.count(F.lit(1)).cast("double").alias("_n"),
             F.avg(y).alias("_y"),
             (F.var_pop(y) * F.count(F.lit(1))).alias("_inner"),
+            F.max(known.cast("double")).alias("_known"),
         )
     )
     per_group = per_x.groupBy(*by).agg(
         F.expr("(min(_x) + max(_x)) / 2").alias("_center"),
         F.expr("(max(_x) - min(_x)) / 2").alias("_half"),
-        F.expr("max(_y)" if asymptote is None else f"max({float(asymptote)}D)").alias("_top"),
+        F.max("_y" if asymptote is None else "_known").alias("_top"),
         F.expr(f"CAST(ceil(count(*) / {_PART_ROWS}) AS INT)").alias("_parts"),
     )
     return salted_join(per_x, per_group, by).selectExpr(
@@ -163,10 +167,18 @@ def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: So
     )
 
 
-def _advance(scaled: DataFrame, current: DataFrame, by: Sequence[str], state: _State, solver: Solver) -> DataFrame:
-    """One pass: evaluate the trial parameters of every group, keep or refuse them, propose the next ones."""
+def _pass_text(by: Sequence[str], state: _State, solver: Solver) -> str:
+    """SQL of one pass over ``{scaled}`` and ``{current}``: evaluate the trial parameters of every group, keep or
+    refuse them, propose the next ones.
+    """
     size, pairs, params = state.size, state.pairs, state.params
 
+    def names(*parts: Sequence[str]) -> str:
+        return ",\n    ".join(text for part in parts for text in part)
+
+    key = [f"`{name}`" for name in by]
+    on_key = ", ".join([*key, "_part"])
+
     # The curve height * s(z) with z = slope * u + shift, and its first and second derivatives.
     height = "_t_height" if state.free else "1D"
     first = [f"{height} * _s1 * _u", f"{height} * _s1", "_s"][:size]
@@ -174,58 +186,50 @@ def _advance(scaled: DataFrame, current: DataFrame, by: Sequence[str], state: _S
         (0, 0): f"{height} * _s2 * _u * _u", (0, 1): f"{height} * _s2 * _u", (1, 1): f"{height} * _s2",
         (0, 2): "_s1 * _u", (1, 2): "_s1", (2, 2): "0D",
     }
-    at_trial = (
-        scaled.select(*by, "_part", "_n", "_u", "_v")
-        .join(current.withColumn("_part", F.expr("explode(sequence(0, _parts - 1))")), [*by, "_part"])
-        .withColumn("_s", F.expr("1 / (1 + exp(-(_t_slope * _u + _t_shift)))"))
-        .withColumns({
-            "_s1": F.expr("_s * (1 - _s)"),
-            "_s2": F.expr("_s * (1 - _s) * (1 - 2 * _s)"),
-            "_r": F.expr(f"_v - {height} * _s"),
-        })
-    )
-    fresh = at_trial.groupBy(*by).agg(
-        F.expr("sum(_n * _r * _r)").alias("_new_sse"),
-        *[F.expr(f"sum(_n * {first[i]} * {first[j]})").alias(f"_new_a_{i}{j}") for i, j in pairs],
-        *[F.expr(f"sum(_n * _r * {second[i, j]})").alias(f"_new_c_{i}{j}") for i, j in pairs],
-        *[F.expr(f"sum(_n * {first[i]} * _r)").alias(f"_new_g_{i}") for i in range(size)],
-        *[F.max(name).alias(name) for name in (*state.carried, "_done")],
-    )
+    sums = [
+        "sum(_n * _r * _r) AS _new_sse",
+        *[f"sum(_n * {first[i]} * {first[j]}) AS _new_a_{i}{j}" for i, j in pairs],
+        *[f"sum(_n * _r * {second[i, j]}) AS _new_c_{i}{j}" for i, j in pairs],
+        *[f"sum(_n * {first[i]} * _r) AS _new_g_{i}" for i in range(size)],
+        *[f"max({name}) AS {name}" for name in (*state.carried, "_done")],
+    ]
     better = "coalesce(_new_sse <= _sse, false) AND NOT _done"
-    kept = fresh.selectExpr(
-        *by,
-        *state.scales,
-        "_done",
+    kept = [
         *[f"_t_{p} AS _tried_{p}" for p in params],
         *[f"if({better}, _t_{p}, _p_{p}) AS _p_{p}" for p in params],
         *[f"if({better}, _new{name}, {name}) AS {name}" for name in state.sums],
         f"if({better}, _new_sse, _sse) AS _sse",
         f"if({better}, greatest(_damping / 20, 1e-12D), least(_damping * 5, 1e12D)) AS _damping",
         "_passes + if(_done, 0, 1) AS _passes",
-    )
-
+        "_done",
+    ]
     # Newton matrix where it is positive definite, else its Gauss-Newton part alone; damped on the diagonal.
-    newton = kept.selectExpr("*", *[f"_a_{i}{j} - _c_{i}{j} AS _f_{i}{j}" for i, j in pairs])
+    newton = [f"_a_{i}{j} - _c_{i}{j} AS _f_{i}{j}" for i, j in pairs]
     minors = ["_f_00", _determinant(state.matrix("_f_", 2))] + ([_determinant(state.matrix("_f_"))] if state.free else [])
-    damped = newton.withColumn("_convex", F.expr(" AND ".join(f"{m} > 0" for m in minors))).selectExpr(
-        "*",
-        *[
-            f"if(_convex, _f_{i}{j}, _a_{i}{j})" + (f" + _damping * _a_{i}{j}" if i == j else "") + f" AS _h_{i}{j}"
-            for i, j in pairs
-        ],
-    )
+    convex = " AND ".join(f"{minor} > 0" for minor in minors)
+    damped = [
+        f"if(_convex, _f_{i}{j}, _a_{i}{j})" + (f" + _damping * _a_{i}{j}" if i == j else "") + f" AS _h_{i}{j}"
+        for i, j in pairs
+    ]
     step = solve_linear(state.matrix("_h_"), [f"_g_{i}" for i in range(size)])
-    stepped = damped.selectExpr("*", *[f"{step[i]} AS _d_{p}" for i, p in enumerate(params)])
     movement = f"greatest({', '.join(f'abs(_d_{p}) / (abs(_p_{p}) + 1e-3D)' for p in params)})"
-    return stepped.selectExpr(
-        *by,
+    proposed = [
         *[f"_p_{p}" for p in params],
         *[f"if(_done, _tried_{p}, _p_{p} + _d_{p}) AS _t_{p}" for p in params],
-        *state.sums,
-        *state.scales,
-        *state.control,
         f"_done OR coalesce({movement} < {solver.tolerance}D, true) AS _done",
-    )
+    ]
+    return f"""
+WITH parts AS (SELECT *, explode(sequence(0, _parts - 1)) AS _part FROM {{current}}),
+points AS (SELECT {on_key}, _n, _u, _v FROM {{scaled}}),
+curve AS (SELECT *, 1 / (1 + exp(-(_t_slope * _u + _t_shift))) AS _s FROM points JOIN parts USING ({on_key})),
+slopes AS (SELECT *, _s * (1 - _s) AS _s1, _s * (1 - _s) * (1 - 2 * _s) AS _s2, _v - {height} * _s AS _r FROM curve),
+fresh AS (SELECT {names(key, sums)} FROM slopes GROUP BY {', '.join(key)}),
+kept AS (SELECT {names(key, state.scales, kept)} FROM fresh),
+newton AS (SELECT *, {names(newton)} FROM kept),
+judged AS (SELECT *, {convex} AS _convex FROM newton),
+damped AS (SELECT *, {names(damped)} FROM judged),
+stepped AS (SELECT *, {names([f"{step[i]} AS _d_{p}" for i, p in enumerate(params)])} FROM damped)
+SELECT {names(key, proposed, state.sums, state.scales, state.control)} FROM stepped"""
 
 
 def fit_logistic(
@@ -233,10 +237,13 @@ def fit_logistic(
     by: Sequence[str],
     x: str,
     y: str,
-    asymptote: float | None = None,
+    asymptote: float | str | None = None,
     solver: Solver = Solver(),
 ) -> DataFrame:
-    """Logistic least-squares fit per group; ``asymptote=None`` fits the asymptote as a third parameter.
+    """Logistic least-squares fit per group.
+
+    ``asymptote`` is a number, the name of a column that is constant within a group, or None to fit it as a
+    third parameter.
 
     Columns: by columns, L, k, x0, sse, points, passes, converged. A group whose points do not determine a
     curve gets NULL parameters and ``converged = false``; nothing raises.
@@ -246,12 +253,13 @@ def fit_logistic(
     state = _State(free=asymptote is None)
     scaled = cut_lineage(_scaled_points(points, by, x, y, asymptote))
     open_groups = _first_state(scaled, by, state, solver)
+    one_pass = _pass_text(by, state, solver)
     finished: list[DataFrame] = []
     used = 0
     while True:
         batch = min(solver.passes_per_check, solver.passes - used)
         for _ in range(batch):
-            open_groups = _advance(scaled, open_groups, by, state, solver)
+            open_groups = scaled.sparkSession.sql(one_pass, scaled=scaled, current=open_groups)
         used += batch
         current = cut_lineage(open_groups)
         if used >= solver.passes:

@@ -33,7 +33,7 @@ ZIP_POPULATION = _struct(
 )
 ZIP_HOUSEHOLDS = _struct(zip=_S, year=_I, total_households=_L)
 STATES = _struct(state_id=_S, geo_name=_S, total_households=_L, year=_I)
-LEDGER = _struct(year=_I, committed_high_cost=_L, potential_pbb=_L)
+LEDGER = _struct(year=_I, committed=_L, available=_L)
 MONTHLY_PROJECTION = _struct(months=_D, adoption_rate=_D, enrolled_hh=_D, cost=_D)
 
 # CSV files whose headers hold spaces or empty names.

@@ -11,7 +11,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 def spark():
     from hearthstat.session import local_session
 
-    session = local_session("8", shuffle_partitions=4, memory="6g")
+    session = local_session("8", shuffle_partitions=2, memory="6g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

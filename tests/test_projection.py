@@ -30,24 +30,40 @@ def series(spark, named):
     return spark.createDataFrame(rows, "s string, x int, y double")
 
 
-def test_fixed_asymptote_fits(spark):
-    for asymptote, points, k, x0 in ((44.0, HIGH_POINTS, 0.126121, 26.28838), (63.0, HIGH_POINTS, 0.108905, 32.0643), (20.22, LOW_POINTS, 0.186289, 17.60684)):
-        row = fitting.fit_logistic(series(spark, {"p": points}), ["s"], "x", "y", asymptote).first()
-        assert row.converged and row.L == asymptote and row.points == len(points)
+@pytest.fixture(scope="module")
+def published_fits(spark):
+    """Three scenarios with their own asymptotes, fitted in one job."""
+    asymptotes = spark.createDataFrame([("S1", 44.0), ("S2", 63.0), ("S3", 20.22)], "s string, top double")
+    points = series(spark, {"S1": HIGH_POINTS, "S2": HIGH_POINTS, "S3": LOW_POINTS}).join(asymptotes, "s")
+    return fitting.fit_logistic(points, ["s"], "x", "y", "top")
+
+
+def test_fixed_asymptote_fits(published_fits):
+    rows = {r.s: r for r in published_fits.collect()}
+    want = {"S1": (44.0, 0.126121, 26.28838, 3), "S2": (63.0, 0.108905, 32.0643, 3), "S3": (20.22, 0.186289, 17.60684, 5)}
+    assert set(rows) == set(want)
+    for name, (asymptote, k, x0, n) in want.items():
+        row = rows[name]
+        assert row.converged and row.L == asymptote and row.points == n
         assert row.k == pytest.approx(k, rel=2e-5) and row.x0 == pytest.approx(x0, rel=2e-5)
-
-
-def test_monthly_projection_and_yearly_cost(spark):
-    fits = fitting.fit_logistic(series(spark, {"S1": HIGH_POINTS}), ["s"], "x", "y", 44.0)
-    grid = scenario.project(scenario.evaluate_curves(fits, 1, 72), F.lit(UNIVERSE), BENEFIT)
-    months = {r.months: r for r in grid.collect()}
-    # Published values: rate, enrolment and cost of months 1 and 72.
-    assert months[1].adoption_rate == pytest.approx(1.7409340550194665, rel=2e-5)
-    assert months[1].enrolled_hh == pytest.approx(336410.27999805467, rel=2e-5)
-    assert months[72].cost == pytest.approx(280400413.2143644, rel=2e-5)
-    years = scenario.yearly_rollup(grid, ["s"]).orderBy("year").collect()
-    assert [r.cost / 1e6 for r in years] == pytest.approx([276.213, 947.354, 2107.229, 2963.696, 3273.548, 3352.303], abs=0.03)
-    assert years[5].adoption_rate == pytest.approx(43.862500928401644, rel=2e-5)
+    assert rows["S1"].sse == pytest.approx(4.4995, abs=1e-4)
+
+
+def test_monthly_projection_and_yearly_cost(published_fits):
+    grid = scenario.project(scenario.evaluate_curves(published_fits, 1, 72), F.lit(UNIVERSE), BENEFIT)
+    months = {(r.s, r.months): r for r in grid.collect()}
+    # Published values of months 1 and 72.
+    assert months["S1", 1].adoption_rate == pytest.approx(1.7409340550194665, rel=2e-5)
+    assert months["S1", 1].enrolled_hh == pytest.approx(336410.27999805467, rel=2e-5)
+    assert months["S1", 72].cost == pytest.approx(280400413.2143644, rel=2e-5)
+    assert months["S2", 72].cost == pytest.approx(397605032.05791306, rel=2e-5)
+    assert months["S3", 1].cost == pytest.approx(5605940.885156713, rel=2e-5)
+    years = {(r.s, r.year): r for r in scenario.yearly_rollup(grid, ["s"]).collect()}
+    high = [276.213, 947.354, 2107.229, 2963.696, 3273.548, 3352.303]
+    low = [198.359, 834.045, 1401.915, 1533.098, 1549.172, 1550.919]
+    assert [years["S1", y].cost / 1e6 for y in range(1, 7)] == pytest.approx(high, rel=2e-5)
+    assert [years["S3", y].cost / 1e6 for y in range(1, 7)] == pytest.approx(low, rel=2e-5)
+    assert years["S1", 6].adoption_rate == pytest.approx(43.862500928401644, rel=2e-5)
 
 
 def test_rescaled_scenarios(spark):
