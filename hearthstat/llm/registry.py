@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from hearthstat.llm.op10_near_duplicates import op10_near_duplicates
 from hearthstat.llm.op7_substrings import op7_substring_dedup
 
 QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 TWINS: dict[str, str] = {}
