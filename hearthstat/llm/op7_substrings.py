@@ -42,30 +42,6 @@ class _Level:
         return out
 
 
-class _Last:
-    """The windows of a chunk at the full length: each distinct hash with its earliest place in the chunk."""
-
-    def __init__(self, hashes: np.ndarray, alive: np.ndarray, words: Words, ids: np.ndarray, parts: int):
-        at = np.flatnonzero(alive)
-        place, doc = at - words.firsts[words.docs[at]], ids[words.docs[at]]
-        order = np.lexsort((place, doc, hashes[at]))
-        self.at, self.hashes, self.place, self.doc = at[order], hashes[at][order], place[order], doc[order]
-        new = np.ones(len(at), bool)
-        new[1:] = self.hashes[1:] != self.hashes[:-1]
-        self.heads, self.which = np.flatnonzero(new), np.cumsum(new) - 1
-        self.keys = self.hashes[self.heads]
-        self.places = packets.split_rising(self.keys, parts)
-
-    def repeats(self, found: dict, step: int) -> np.ndarray:
-        """Starts of the windows that also start earlier, here or in another chunk."""
-        if not len(self.at):
-            return self.at
-        here = packets.flags_of(found, step, self.places)
-        head = self.heads[self.which]
-        later = (self.doc != self.doc[head]) | (self.place != self.place[head])
-        return self.at[later | ~here[self.which]]
-
-
 def _walk(chunk, levels: list[int], parts: int, id_col: str, found: dict, upto: int):
     """Runs the levels below ``upto`` on the answers found; gives the words and the state of level ``upto``."""
     words = Words(chunk.data, chunk.offsets)
@@ -76,7 +52,11 @@ def _walk(chunk, levels: list[int], parts: int, id_col: str, found: dict, upto:
             half = np.zeros(len(alive), bool)
             half[: max(0, len(alive) - length // 2)] = alive[length // 2 :]
             valid &= alive & half
-        state = _Last(hashes, valid, words, chunk.ids(id_col), parts) if k == len(levels) - 1 else _Level(hashes, valid, parts)
+        if k == len(levels) - 1:
+            at = np.flatnonzero(valid)
+            docs = words.docs[at]
+            return words, (at, packets.Earliest(hashes[at], chunk.ids(id_col)[docs], at - words.firsts[docs], parts))
+        state = _Level(hashes, valid, parts)
         if k == upto:
             return words, state
         alive = state.survivors(found, k, len(valid))
@@ -105,7 +85,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         def ask(chunk, name, found=None, k=k, last=last):
             _, state = _walk(chunk, levels, parts, id_col, found or {}, k)
             if last:
-                return packets.cut(k, name, state.keys, state.places, a=state.doc[state.heads].astype(np.int64), b=state.place[state.heads].astype(np.int64))
+                return state[1].ask(k, name)
             return packets.cut(k, name, state.keys, state.places)
 
         if told is None:
@@ -116,8 +96,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         told = answered if told is None else told.unionByName(answered)
 
     def use(chunk, _, found):
-        words, state = _walk(chunk, levels, parts, id_col, found, len(levels) - 1)
-        starts = state.repeats(found, len(levels) - 1)
+        words, (at, windows) = _walk(chunk, levels, parts, id_col, found, len(levels) - 1)
+        starts = at[windows.later(found, len(levels) - 1)]
         edges = np.zeros(len(words.starts) + 1, np.int64)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + length, -1)

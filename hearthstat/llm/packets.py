@@ -1,7 +1,7 @@
 """Key exchange in packets: what a chunk of documents asks of the whole corpus, and what it is told.
 
 Counting every window or n-gram of a corpus as rows of its own would shuffle many times the corpus. Here a *chunk* (some
-16 MB of whole documents of one scan task) sends every distinct key once, as sorted, delta-coded and compressed arrays cut into ranges of
+8 MB of whole documents of one scan task) sends every distinct key once, as sorted, delta-coded and compressed arrays cut into ranges of
 the key space. A range meets its packets from all chunks in one group, merges them, and answers each packet with a
 small array aligned with the keys sent. A key that fills a third of the corpus is one entry per chunk, so no range is hot.
 The documents themselves follow as compressed packs, one per chunk, and meet their answers in a cogroup on the chunk.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from hearthstat.llm.shared import shuffle_partitions, text_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 64 << 20
 REQUEST = "step int, part int, chunk long, n int, keys binary, a binary, b binary, c binary"
 ANSWER = "step int, part int, chunk long, n int, keys binary, a binary, b binary, c binary"
@@ -229,6 +229,31 @@ def merge_earliest(packets: list[dict]) -> Iterator[tuple]:
         at += len(own)
 
 
+class Earliest:
+    """Items of a chunk by key, each key with its earliest document id and place in the chunk; asks if others have it earlier."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, places: np.ndarray, parts: int):
+        self.order = np.lexsort((places, ids, keys))
+        keys, self.ids, self.at = keys[self.order], ids[self.order], places[self.order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.heads, self.which = np.flatnonzero(new), np.cumsum(new) - 1
+        self.keys = keys[self.heads]
+        self.places = split_rising(self.keys, parts)
+
+    def ask(self, step: int, name: int) -> Iterator[tuple]:
+        """Requests for ``merge_earliest``."""
+        return cut(step, name, self.keys, self.places, a=self.ids[self.heads].astype(np.int64), b=self.at[self.heads].astype(np.int64))
+
+    def later(self, found: dict, step: int) -> np.ndarray:
+        """Indices of the items whose key also stands at a smaller id or place, here or in another chunk."""
+        if not len(self.order):
+            return self.order
+        head = self.heads[self.which]
+        here = flags_of(found, step, self.places)[self.which]
+        return self.order[(self.ids != self.ids[head]) | (self.at != self.at[head]) | ~here]
+
+
 def whole_rows(table: pa.Table) -> pa.Array:
     """The columns of a table as one struct column, so that no name can clash with a result's."""
     merged = table.combine_chunks()
