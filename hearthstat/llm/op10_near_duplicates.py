@@ -119,16 +119,38 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, bands: int = BANDS, slots: int = 8) -> DataFrame:
+def _prefix_mates(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of different components that can be similar: their rarest shingles meet.
+
+    Of two sets with a similarity of p / 100 or more, ordered from the rarest shingle on, the first
+    n - ceil(p n / 100) + 1 shingles of either hold a common one. What stands from their first common shingle on must be
+    enough for the intersection. Copies that were each edited on their own have rare shingles of their own in front, and are no pair.
+    """
+    each = open_ids.join(sets.dropDuplicates(["id"]), "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rare = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "shingle", "left")
+    listed = rare.groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "shingle"))).alias("ranked"))
+    front = F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    placed = listed.select("id", "component", "n", F.posexplode(front).alias("i", "x")).where("x.held > 1")
+    fronts = placed.select("id", "component", "n", (F.col("n") - F.col("i")).alias("rest"), F.col("x.shingle").alias("shingle"))
+    mixed = fronts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    fronts = save(fronts.join(mixed, "shingle", "left_semi"), "op10-fronts")
+    other = fronts.select("shingle", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    near = (100 + percent) * F.least("rest", "rest_b") >= percent * (F.col("n") + F.col("n_b"))
+    met = fronts.join(other, "shingle").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("component_b")) & near)
+    return met.select(F.col("id").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, bands: int = BANDS) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of ``percent`` / 100 or more of their sets of word shingles.
 
     Returns one row per input row: the id column, ``n_shingles``, ``component_id`` (the smallest id of its group), ``kept``.
 
     1. Documents with equal sets form a class, which takes part by its smallest id alone.
-    2. Each bucket of a band sends one edge per member to its smallest member: as many pairs as rows, however large it is.
+    2. Each bucket of a band makes a star: its centre is the member that has the most bucket mates over all bands, as the original
+       of a group of copies has. That is one pair per row, however large a bucket is, and mostly the same pairs in all bands.
     3. Pairs that differ too much in size go; all others are checked on the full sets. Links make components.
-    4. A bucket whose untried members lie in several components yet is tried again from other members (one in each of ``slots``
-       slots, members of rare components first), until all of its pairs across components have been checked: no link between bucket mates is lost.
+    4. A star may part two documents that are similar to each other but not to its centre. So all documents of buckets that hold several components
+       yet are joined again, exactly, on the rarest shingles of their sets, across components: no link between bucket mates is lost.
 
     With bands of 4 bins a pair of similarity 0.75 misses all 32 bands with a chance of 5 in a million.
 
@@ -140,41 +162,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = save(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep")), "op10-classes")
     nodes = signed.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"]).select("id", "n_shingles", "bands")
     rows = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.max_by("n_shingles", -F.col("id")).alias("least_n")).where("least < most")
-    buckets = save(rows.join(shared, "key"), "op10-buckets")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    mates = save(rows.join(shared, "key"), "op10-buckets")
+    weights = mates.groupBy("id").agg(F.sum("members").alias("weight"))
+    buckets = save(mates.join(weights, "id").select("key", "id", "n_shingles", "weight"), "op10-buckets")
+    centres = buckets.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("order"), "id", "n_shingles")).alias("m")).select("key", F.col("m.id").alias("a"), F.col("m.n_shingles").alias("n_a"))
 
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    star = buckets.select(F.col("least").alias("a"), F.col("id").alias("b"), F.col("least_n").alias("n_a"), F.col("n_shingles").alias("n_b"))
+    star = buckets.join(centres, "key").select("key", "a", "n_a", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"))
     pairs = star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     wanted = buckets.select("id").distinct()
     sets = save(_sets(docs.join(wanted, "id", "left_semi"), "id", "text", shingle), "op10-sets")
     links = save(_similar(pairs, sets, percent), "op10-links")
     label = components(links)
 
-    untried = buckets.where(F.col("id") != F.col("least")).select("key", "id", "n_shingles")
-    while True:
-        placed = untried.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_rows = save(placed.join(mixed, "key", "left_semi"), "op10-open")
-        if open_rows.isEmpty():
-            break
-        members = open_rows.groupBy("key", "component").count()
-        chosen = (
-            open_rows.join(members, ["key", "component"]).groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"))
-            .agg(F.min(F.struct("count", F.xxhash64("id", "key").alias("order"), "id", "n_shingles", "component")).alias("m"))
-            .select("key", F.col("m.id").alias("a"), F.col("m.n_shingles").alias("n_a"), F.col("m.component").alias("component_a"))
-        )
-        chosen = save(chosen, "op10-centres")
-        fresh = (
-            open_rows.join(chosen, "key").where(F.col("component") != F.col("component_a"))
-            .select("a", F.col("id").alias("b"), "n_a", F.col("n_shingles").alias("n_b")).where(near)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        more = save(_similar(fresh, sets, percent), "op10-links")
-        untried = save(open_rows.join(chosen.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n_shingles"), "op10-untried")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            label = components(links)
+    placed = buckets.select("key", "id").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ids = save(placed.join(mixed, "key", "left_semi").select("id", "component").distinct(), "op10-open")
+    more = save(_similar(_prefix_mates(open_ids, sets, percent), sets, percent), "op10-links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
 
     group = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("id", "n_shingles", "digest").join(group, "digest", "left").withColumn("component", F.coalesce("component", "id"))
