@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hearthstat.llm.op1_quality import op1_quality_rules
 from hearthstat.llm.op10_near_duplicates import op10_near_duplicates
+from hearthstat.llm.op2_templates import op2_site_templates
 from hearthstat.llm.op3_bpe import op3_bpe
 from hearthstat.llm.op4_mixing import op4_mixing
 from hearthstat.llm.op5_ppm import op5_ppm
@@ -12,6 +13,7 @@ from hearthstat.llm.op8_suffixes import op8_suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_site_templates": op2_site_templates,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_ppm": op5_ppm,
