@@ -10,6 +10,7 @@ from hearthstat.llm.op4_mixing import op4_mixing
 from hearthstat.llm.op5_ppm import op5_ppm
 from hearthstat.llm.op7_substrings import op7_substring_dedup
 from hearthstat.llm.op8_suffixes import op8_suffix_dedup
+from hearthstat.llm.op9_va_search import OP9_SQL, op9_va_search
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -19,7 +20,10 @@ QUERIES = {
     "op5_ppm": op5_ppm,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_va_search": op9_va_search,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-TWINS: dict[str, str] = {}
+TWINS: dict[str, str] = {
+    "op9_va_search": OP9_SQL,
+}
