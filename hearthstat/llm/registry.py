@@ -8,6 +8,7 @@ from hearthstat.llm.op2_templates import op2_site_templates
 from hearthstat.llm.op3_bpe import op3_bpe
 from hearthstat.llm.op4_mixing import op4_mixing
 from hearthstat.llm.op5_ppm import op5_ppm
+from hearthstat.llm.op6_edit_counts import op6_edit_counts
 from hearthstat.llm.op7_substrings import op7_substring_dedup
 from hearthstat.llm.op8_suffixes import op8_suffix_dedup
 from hearthstat.llm.op9_va_search import OP9_SQL, op9_va_search
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_ppm": op5_ppm,
+    "op6_edit_counts": op6_edit_counts,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_va_search": op9_va_search,
