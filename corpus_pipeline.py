@@ -1,26 +1,79 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Quality rules drop documents, near-dedup keeps one document of each group, substring dedup cuts repeated passages out of texts, mixing repeats
+and cuts documents to the sources' target weights, and the encoder gives token ids. All stages but the last return the columns of documents.
+Null texts and texts without words fail the quality rules; a null id, language or source is a value like any other.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hearthstat.llm.op1_quality import quality_rules
+from hearthstat.llm.op3_bpe import digests, encode_and_decode, public_file
+from hearthstat.llm.op4_mixing import WORD, mix
 from hearthstat.llm.op7_substrings import dedup_substrings
+from hearthstat.llm.op10_near_duplicates import near_duplicates
 from hearthstat.llm.shared import save
 from hearthstat.llm.stages import DOCUMENT
 
-from pyspark.sql import functions as F
 
+def _with_text(found: DataFrame, text) -> DataFrame:
+    """The documents in ``row`` with another text, and their length in characters."""
+    return found.select("row.*", text.alias("_text")).withColumn("text", F.col("_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in their language's perplexity band."""
+    return quality_rules(docs, DOCUMENT).where("kept").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group. Rows that repeat an id and its text are one document.
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; a text without one stays as it is, white space included."""
+    The ids that go are joined, not those that stay: they are few, and texts need not move where Spark finds them small enough to broadcast.
+    """
+    found = save(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = ids.where(~F.col("kept"))
+    left = docs.select(*DOCUMENT).join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
+    repeated = ids.where("kept and n > 1").select("id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, left["doc_id"].eqNullSafe(repeated["id"]), "left_anti")
+    return once.unionByName(left.join(repeated, left["doc_id"].eqNullSafe(repeated["id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated passages; a text that has none stays as it is, white space included."""
     found = dedup_substrings(docs.select(*DOCUMENT))
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept"))
-    return found.select("row.*", text.alias("new_text")).withColumn("text", F.col("new_text")).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
+    return _with_text(found, F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each time that the mix takes a document; the last time it may take its first words only."""
+    mixed = mix(docs, DOCUMENT)
+    times = F.concat(F.array_repeat("size", F.col("passes").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")))
+    taken = mixed.where("taken > 0").select("row", "size", F.explode(times).alias("words"))
+    first = F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    return _with_text(taken, F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(first))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text of the mix, and digests of the ids and of the text that they decode to."""
+    return digests(encode_and_decode(docs.select("doc_id", "text"), public_file()), "ids")
 
 
-STAGES = [("substring dedup", substring_dedup)]
+STAGES = [
+    ("quality rules", filter_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-#: SQL cannot express a language model, near-duplicate links or byte-pair encoding; tests hold the stages to brute force.
+#: SQL cannot express a language model, near-duplicate links or byte-pair encoding; tests hold every stage to brute force.
 ORACLE_SQL = None
 
 

@@ -43,10 +43,10 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text") -> Dat
     return docs.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL("ids array<int>, decoded string").fields]))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, number of tokens, and digests of the ids and of the decoded text; then the columns in ``more``."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return encoded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *more)
 
 
 def public_file() -> str:
