@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = buckets.join(centres, "key").select("key", "a", "n_a", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"))
     pairs = star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
     wanted = buckets.select("id").distinct()
-    sets = save(_sets(docs.join(wanted, "id", "left_semi"), "id", "text", shingle), "op10-sets")
+    # the same plan at every size: texts are shuffled once, though a few ids could be broadcast
+    sets = save(_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), "id", "text", shingle), "op10-sets")
     links = save(_similar(pairs, sets, percent), "op10-links")
     label = components(links)
 
