@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthstat.functions.curves import ratio
 from hearthstat.functions.predicates import as_column, lookup
-from hearthstat.operators.joins import salted_join
+from hearthstat.operators.joins import one_per_key, salted_join
 from hearthstat.operators.totals import plain_totals
 
 
@@ -70,9 +70,7 @@ def overlap(
     totals: DataFrame, links: DataFrame, area: str, source: str
 ) -> DataFrame:
     """Area totals beside every link of the area; areas without a link stay, with NULL link columns."""
-    return _spread_links(totals, links, area, source).unionByName(
-        unmatched(totals, links, area, source), allowMissingColumns=True
-    )
+    return totals.join(_renamed(links, source, area), area, "left")
 
 
 def unmatched(totals: DataFrame, links: DataFrame, area: str, source: str) -> DataFrame:
@@ -131,7 +129,7 @@ def apply_share(
     measures: Mapping[str, str],
 ) -> DataFrame:
     """Area totals with ``new = old * share`` columns; an area without a share gets NULL there."""
-    joined = totals.join(_renamed(shares.select(source, share), source, area), area, "left")
+    joined = totals.join(_renamed(one_per_key(shares, [source], share), source, area), area, "left")
     return joined.withColumns({new: F.col(old) * F.col(share) for new, old in measures.items()})
 
 
@@ -171,6 +169,44 @@ def redistribute(
     return spread.unionByName(kept)
 
 
+def allocate_all(
+    totals: DataFrame,
+    links: DataFrame,
+    area: str,
+    source: str,
+    region: str,
+    target: str,
+    factor: str,
+    basis: str,
+    measures: Sequence[str],
+    unallocated_label: str = "unallocated",
+) -> DataFrame:
+    """:func:`allocate` and :func:`redistribute` in one pass over the totals and the links.
+
+    Areas without a link meet in one row per region, without target; a window over the rows of a region, one per target,
+    spreads it over the others in proportion to ``basis``. It stays, under the label, where no target carries any.
+    """
+    part = F.coalesce(F.col(factor).cast("double"), F.lit(1.0))
+    summed = totals.join(_renamed(links, source, area), area, "left").groupBy(region, target).agg(
+        *[F.sum(F.col(name) * part).alias(name) for name in measures]
+    )
+    rows = Window.partitionBy(region)
+    allocated = F.col(target).isNotNull()
+    base = F.coalesce(F.sum(F.when(allocated, F.col(basis))).over(rows), F.lit(0.0))
+    rest = {name: F.sum(F.when(~allocated, F.col(name))).over(rows) for name in measures}
+    spread = summed.withColumns({"_base": base, **{f"_rest_{name}": value for name, value in rest.items()}})
+    share = F.coalesce(F.col(basis), F.lit(0.0)) / F.nullif(F.col("_base"), F.lit(0.0))
+    return spread.where(allocated | (F.col("_base") <= 0)).select(
+        region,
+        F.coalesce(target, F.lit(unallocated_label)).alias(target),
+        *[
+            F.when(allocated, F.col(name) + F.coalesce(F.col(f"_rest_{name}") * share, F.lit(0.0)))
+            .otherwise(F.coalesce(F.col(name), F.lit(0.0))).alias(name)
+            for name in measures
+        ],
+    )
+
+
 def entity_means(
     entities: DataFrame, area: Column, area_as: str, flags: Sequence[str], entity: str, mean_as: str
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +44,12 @@ def stack_populations(df: DataFrame, populations: Mapping[str, Population]) -> D
 
 
 def _by_value(df: DataFrame, x: str, weight: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"))
+    return df.groupBy(*by, _known(x).alias("_x")).agg(F.sum(weight).alias("_w"))
+
+
+def _known(x: str) -> Column:
+    """The value, NULL where it is NaN."""
+    return F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
 
 
 def _bin_index(x: Column, lo: Column, width: Column, bins: Column) -> Column:
@@ -55,10 +61,11 @@ def _bin_index(x: Column, lo: Column, width: Column, bins: Column) -> Column:
     return F.greatest(F.least(settled, bins - 1), F.lit(0)).cast("int")
 
 
-def _complete(binned: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+def _complete(binned: DataFrame, by: Sequence[str], bins: int, edges: tuple[Column, Column] | None = None) -> DataFrame:
     """One row per group and bin, empty bins included.
 
-    Input: by columns, ``_bin`` (NULL outside the range), ``_w``, ``_lo``, ``_width``.
+    Input: by columns, ``_bin`` (NULL outside the range), ``_w``, ``_lo``, ``_width``; ``edges`` are a known first edge and
+    width, which hold for a table without rows, too.
     """
     per_bin = binned.groupBy(*by, "_bin").agg(
         F.sum("_w").alias("_w"), F.max("_lo").alias("_lo"), F.max("_width").alias("_width")
@@ -69,6 +76,8 @@ def _complete(binned: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
         F.max("_lo").alias("_lo"),
         F.max("_width").alias("_width"),
     )
+    if edges is not None:
+        filled = filled.withColumns({"_lo": edges[0], "_width": edges[1]})
     left = F.col("_lo") + F.col("bin") * F.col("_width")
     return (
         filled.select(*by, "_bins", "total", "_lo", "_width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -84,39 +93,54 @@ def _complete(binned: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
 
 
 def weighted_hist(
-    df: DataFrame, x: str, weight: str, lo: float, hi: float, step: float, by: Sequence[str] = ()
+    df: DataFrame, x: str, weight: str, lo: float, hi: float, step: float, by: Sequence[str] = (),
+    groups: Sequence[str] = (),
 ) -> DataFrame:
-    """Weight per bin of fixed width; values outside ``lo..hi`` are in no bin, the last bin includes ``hi``.
+    """Weight per bin of fixed width, for as many whole bins as ``lo..hi`` holds.
 
+    Values outside the bins are in none; the last bin includes its right edge. NaN counts as NULL. ``groups`` lists the
+    values of a single ``by`` column, so that a group without a row has its (empty) bins, too; without ``by``, an empty table has them.
     Columns: by columns, bin (0-based), bin_left, bin_right, weight, total (all rows, NULL values included).
     """
-    bins = round((hi - lo) / step)
+    bins = floor((hi - lo) / step + 1e-9)
+    if bins < 1:
+        raise ValueError("the range is shorter than one bin")
     low, width = F.lit(float(lo)), F.lit(float(step))
-    value = F.col(x).cast("double")
-    inside = (value >= lo) & (value <= hi)
+    value = _known(x)
+    inside = (value >= lo) & (value <= lo + bins * step)
     binned = df.select(
         *by,
         F.when(inside, _bin_index(value, low, width, F.lit(bins))).alias("_bin"),
         F.col(weight).alias("_w"),
-        low.alias("_lo"),
-        width.alias("_width"),
     )
-    return _complete(binned, by, bins)
+    return _complete(_with_groups(binned, by, groups).withColumns({"_lo": low, "_width": width}), by, bins, (low, width))
+
+
+def _with_groups(binned: DataFrame, by: Sequence[str], groups: Sequence[str]) -> DataFrame:
+    """``binned`` and one row without bin and weight for each listed group."""
+    if not groups:
+        return binned
+    if len(by) != 1:
+        raise ValueError("groups are the values of one column")
+    listed = binned.sparkSession.createDataFrame([(group,) for group in groups], f"`{by[0]}` string")
+    return binned.unionByName(listed, allowMissingColumns=True)
 
 
 def weighted_hist_auto(
-    df: DataFrame, x: str, weight: str, bins: int, by: Sequence[str] = (), listed_groups: bool = False
+    df: DataFrame, x: str, weight: str, bins: int, by: Sequence[str] = (), groups: Sequence[str] = ()
 ) -> DataFrame:
     """Weight per bin for equal bins between the smallest and largest value of each group.
 
-    A group with a single value gets a range of one around it. ``listed_groups`` says that the groups are a list
-    in the program text, as after :func:`stack_populations`: only then is the range table small by
-    construction, and it is broadcast. Columns as in :func:`weighted_hist`.
+    A group with a single value gets a range of one around it; one without a value has bins without edges. NaN counts as
+    NULL. ``groups`` lists the values of a single ``by`` column, as the names given to :func:`stack_populations`: rows of other groups
+    are left out, and the range table, which has at most as many rows as the list, is broadcast. Columns as in :func:`weighted_hist`.
     """
-    values = _by_value(df, x, weight, by)
+    if groups and len(by) != 1:
+        raise ValueError("groups are the values of one column")
+    values = _by_value(df.where(F.col(by[0]).isin(*groups)) if groups else df, x, weight, by)
     ranges = values.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     single = F.col("_min") == F.col("_max")
-    if by and listed_groups:
+    if groups:
         ranged = salted_join(values, F.broadcast(ranges), by, salts=1, null_safe=True)
     elif by:
         ranged = salted_join(values, ranges, by, null_safe=True)
@@ -134,7 +158,7 @@ def weighted_hist_auto(
             F.when(F.col("_x").isNotNull(), _bin_index(F.col("_x"), F.col("_lo"), F.col("_width"), F.lit(bins))),
         )
     )
-    return _complete(binned, by, bins)
+    return _complete(_with_groups(binned, by, groups), by, bins)
 
 
 def cumulative(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:

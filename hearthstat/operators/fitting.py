@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +24,13 @@ _PART_ROWS = 50_000
 
 @dataclass(frozen=True)
 class Solver:
-    """Limits of the solver. ``tolerance`` is the largest relative parameter step at the end."""
+    """Limits of the solver. ``tolerance`` is the largest relative parameter step at the end.
+
+    Lineage is cut, and the open groups are counted, after ``passes_per_check`` passes, then after twice as many, and so on.
+    """
 
     passes: int = 120
-    passes_per_check: int = 2
+    passes_per_check: int = 4
     tolerance: float = 1e-9
     first_damping: float = 1e-3
 
@@ -57,17 +59,19 @@ def _inside_unit(share: str) -> str:
 def logit_line(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float) -> DataFrame:
     """Closed-form logistic fit on the logit scale: a straight line through ``ln(y / (L - y))``.
 
-    y is kept inside ``(eps L, (1 - eps) L)`` so that 0 and L have a logit. Columns: by, k, x0, points.
+    y is kept inside ``(eps L, (1 - eps) L)`` so that 0 and L have a logit; ``clamped`` counts the points that were moved.
+    Columns: by, k, x0, points, clamped.
     """
     rows = points.dropna(how="any", subset=[*by, x, y]).select(
-        *by, F.col(x).cast("double").alias("_x"), F.expr(_inside_unit(f"`{y}` / {float(asymptote)}D")).alias("_share")
-    )
+        *by, F.col(x).cast("double").alias("_x"), F.expr(f"`{y}` / {float(asymptote)}D").alias("_raw")
+    ).withColumn("_share", F.expr(_inside_unit("_raw")))
     line = rows.groupBy(*by).agg(
         F.expr("regr_slope(ln(_share / (1 - _share)), _x)").alias("k"),
         F.expr("regr_intercept(ln(_share / (1 - _share)), _x)").alias("_intercept"),
         F.count(F.lit(1)).alias("points"),
+        F.expr("count_if(_share <> _raw)").alias("clamped"),
     )
-    return line.select(*by, "k", F.expr("try_divide(-_intercept, k)").alias("x0"), "points")
+    return line.select(*by, "k", F.expr("try_divide(-_intercept, k)").alias("x0"), "points", "clamped")
 
 
 def _scaled_points(
@@ -246,30 +250,24 @@ def fit_logistic(
     third parameter.
 
     Columns: by columns, L, k, x0, sse, points, passes, converged. A group whose points do not determine a
-    curve gets NULL parameters and ``converged = false``; nothing raises.
+    curve, or that is still open after the last pass, gets NULL parameters and ``converged = false``; nothing raises.
     """
     if not by:
         points, by = points.withColumn("series", F.lit("all")), ["series"]
     state = _State(free=asymptote is None)
     scaled = cut_lineage(_scaled_points(points, by, x, y, asymptote))
-    open_groups = _first_state(scaled, by, state, solver)
+    current = _first_state(scaled, by, state, solver)
     one_pass = _pass_text(by, state, solver)
-    finished: list[DataFrame] = []
-    used = 0
-    while True:
-        batch = min(solver.passes_per_check, solver.passes - used)
+    used, interval = 0, solver.passes_per_check
+    while used < solver.passes:  # finished groups ride along unchanged
+        batch = min(interval, solver.passes - used)
         for _ in range(batch):
-            open_groups = scaled.sparkSession.sql(one_pass, scaled=scaled, current=open_groups)
-        used += batch
-        current = cut_lineage(open_groups)
-        if used >= solver.passes:
-            finished.append(current)
-            break
-        finished.append(current.where("_done"))
-        open_groups = current.where("NOT _done")
-        if open_groups.isEmpty():
+            current = scaled.sparkSession.sql(one_pass, scaled=scaled, current=current)
+        current = cut_lineage(current)
+        used, interval = used + batch, 2 * interval
+        if current.where("NOT _done").isEmpty():
             break
-    return _readable(reduce(DataFrame.unionByName, finished), by, state)
+    return _readable(current, by, state)
 
 
 def _readable(current: DataFrame, by: Sequence[str], state: _State) -> DataFrame:
@@ -277,10 +275,10 @@ def _readable(current: DataFrame, by: Sequence[str], state: _State) -> DataFrame
     fitted = "_p_slope IS NOT NULL AND coalesce(_sse < double('infinity'), false)"
     return current.selectExpr(
         *by,
-        f"if(_p_slope IS NOT NULL, {height} * _top, NULL) AS L",
-        "try_divide(_p_slope, _half) AS k",
-        "_center - try_divide(_p_shift * _half, _p_slope) AS x0",
-        f"if({fitted}, (_sse + _inner) * _top * _top, NULL) AS sse",
+        f"if(_done AND _p_slope IS NOT NULL, {height} * _top, NULL) AS L",
+        "if(_done, try_divide(_p_slope, _half), NULL) AS k",
+        "if(_done, _center - try_divide(_p_shift * _half, _p_slope), NULL) AS x0",
+        f"if(_done AND {fitted}, (_sse + _inner) * _top * _top, NULL) AS sse",
         "CAST(_points AS BIGINT) AS points",
         "_passes AS passes",
         f"_done AND {fitted} AS converged",

@@ -13,11 +13,12 @@ SALTS = 8
 def salted_join(
     many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS, null_safe: bool = False
 ) -> DataFrame:
-    """Join ``many`` (any number of rows per key) with ``one`` (at most one row per key).
+    """Join ``many`` (any number of distinct rows per key) with ``one`` (few rows per key, mostly one).
 
-    A key may hold a large part of ``many``, so its rows are dealt over ``salts`` partitions and the single
-    row of ``one`` is copied to each. The salt is a hash of the row, so a recomputed task deals the same
-    rows. ``how`` is ``inner`` or ``left``; ``null_safe`` lets NULL keys meet.
+    A key may hold a large part of ``many``, so its rows are dealt over ``salts`` partitions and the
+    rows of ``one`` are copied to each; the caller raises ``salts`` with the share it expects of one key. The salt is a hash of the
+    row, so a recomputed task deals the same rows; equal rows share a salt, so sum repeated rows up before. As in any join, a key
+    that ``one`` holds twice doubles the rows of ``many``: :func:`one_per_key` fails on such tables. ``how`` is ``inner`` or ``left``; ``null_safe`` lets NULL keys meet.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
@@ -30,3 +31,14 @@ def salted_join(
     for name in on:
         same = same & F.col(name).eqNullSafe(F.col(f"_one_{name}"))
     return dealt.join(keyed, same, how).drop("_salt", "_one__salt", *[f"_one_{name}" for name in on])
+
+
+def one_per_key(df: DataFrame, on: Sequence[str], column: str) -> DataFrame:
+    """``on`` and ``column`` of a table that must hold a key once; a job over a key that stands twice fails.
+
+    Without this, a key that stands twice would silently double totals. One aggregation on the key, on which the join partitions anyway.
+    """
+    held = df.groupBy(*on).agg(F.max(column).alias(column), F.count(F.lit(1)).alias("_rows"))
+    keys = F.concat_ws(", ", *[F.col(name).cast("string") for name in on])
+    repeated = F.raise_error(F.concat(F.lit(f"{', '.join(on)} must be unique; repeated: "), keys))
+    return held.select(*on, F.when(F.col("_rows") == 1, F.col(column)).otherwise(repeated.cast(df.schema[column].dataType)).alias(column))

@@ -96,8 +96,9 @@ def rollup_members(
 
     A household without persons stays, with its person terms not met and its member aggregates NULL, unless
     ``require_member`` is set. Household rows that share key and carried columns become one row with the
-    largest weight. ``unique_key=True`` promises that this does not occur and saves a shuffle when columns
-    are carried; :func:`key_profile` checks it.
+    largest weight; NULL equals NULL there, so all rows whose key is NULL are one household without persons.
+    ``unique_key=True`` promises that no two rows share a key, NULL keys included, and saves a shuffle when columns
+    are carried; :func:`key_profile` checks both (``repeated_keys`` is 0, ``null_key_rows`` at most 1).
     """
     key, carry, values = list(key), list(carry), dict(values or {})
     household_terms: dict[str, tuple[int, Column]] = {}

@@ -197,8 +197,3 @@ def _fee(increase: Column, shares: Sequence[float], fee: float) -> Column:
 def market_size(df: DataFrame, households: str, amount: float, periods: int = 12, name: str = "market_opp") -> DataFrame:
     """Yearly revenue of the households at a flat amount per period."""
     return df.withColumn(name, F.col(households) * periods * amount)
-
-
-def renamed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
-    """Columns with a scenario prefix, ready for a side-by-side join."""
-    return df.withColumnsRenamed({name: f"{prefix}_{name}" for name in columns})

@@ -53,6 +53,11 @@ _LINKED_ORDERS = (
     f"(SELECT o_orderkey, {_AREA10} AS puma_id FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey "
     "WHERE c_custkey % 50 <> 0) linked"
 )
+# Line items counted per linked area and part, before any part column is joined: a frequent part is one row per area.
+_PER_PART = (
+    f"(SELECT puma_id, l_partkey, count(*) AS n FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey "
+    "GROUP BY 1, 2) per_part"
+)
 _TRACT = "lpad(CAST(p_size % 10 AS STRING), 11, '0')"
 
 ROLES: dict[str, str] = {
@@ -85,8 +90,8 @@ ROLES: dict[str, str] = {
     "area_zip": f"""
         SELECT puma_id, zipcode, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY puma_id) AS allocation_factor
         FROM (
-            SELECT puma_id, p_brand AS zipcode, count(*) AS n
-            FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
+            SELECT puma_id, p_brand AS zipcode, CAST(sum(n) AS BIGINT) AS n
+            FROM {_PER_PART} JOIN {{part}} ON l_partkey = p_partkey
             GROUP BY 1, 2) counted""",
     # Crosswalk zip -> rural / urban.
     "zip_rural": """
@@ -98,8 +103,8 @@ ROLES: dict[str, str] = {
     "area_tract": f"""
         SELECT puma22_id, tract_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY puma22_id) AS allocation_factor
         FROM (
-            SELECT puma_id AS puma22_id, {_TRACT} AS tract_id, count(*) AS n
-            FROM {{lineitem}} JOIN {_LINKED_ORDERS} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey
+            SELECT puma_id AS puma22_id, {_TRACT} AS tract_id, CAST(sum(n) AS BIGINT) AS n
+            FROM {_PER_PART} JOIN {{part}} ON l_partkey = p_partkey
             GROUP BY 1, 2) counted""",
     "locations": f"""
         SELECT CAST(p_partkey AS STRING) AS location_id,
@@ -121,17 +126,19 @@ ROLES: dict[str, str] = {
         FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey
         GROUP BY 1, 2, 3""",
     "zip_population": """
-        SELECT p_brand AS zip, CAST(year(l_shipdate) AS INT) AS year,
-            CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS total_hh_population,
-            CAST(sum(CASE WHEN l_partkey % 8 = 0 THEN CAST(floor(l_quantity) AS BIGINT) ELSE 0 END) AS BIGINT) AS total_black,
-            CAST(sum(CASE WHEN l_partkey % 30 > 0 AND l_partkey % 30 < 24 THEN CAST(floor(l_quantity) AS BIGINT) ELSE 0 END)
-                AS BIGINT) AS total_hispanic
-        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+        SELECT p_brand AS zip, year,
+            CAST(sum(quantity) AS BIGINT) AS total_hh_population,
+            CAST(sum(CASE WHEN l_partkey % 8 = 0 THEN quantity ELSE 0 END) AS BIGINT) AS total_black,
+            CAST(sum(CASE WHEN l_partkey % 30 > 0 AND l_partkey % 30 < 24 THEN quantity ELSE 0 END) AS BIGINT) AS total_hispanic
+        FROM (
+            SELECT l_partkey, CAST(year(l_shipdate) AS INT) AS year, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS quantity
+            FROM {lineitem} GROUP BY 1, 2) per_part
+            JOIN {part} ON l_partkey = p_partkey
         GROUP BY 1, 2""",
     "zip_households": """
-        SELECT p_brand AS zip, CAST(year(l_shipdate) AS INT) AS year, CAST(count(*) AS BIGINT) AS total_households
-        FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-        WHERE l_linestatus = 'O'
+        SELECT p_brand AS zip, year, CAST(sum(n) AS BIGINT) AS total_households
+        FROM (SELECT l_partkey, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n FROM {lineitem} GROUP BY 1, 2) per_part
+            JOIN {part} ON l_partkey = p_partkey
         GROUP BY 1, 2""",
     # Raw subscriber records with the month as text.
     "subscriber_records": """

@@ -29,7 +29,6 @@ from hearthstat.operators.members import (
     rollup_members,
 )
 from hearthstat.plans.binding import role
-from hearthstat.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -422,16 +421,14 @@ def _district_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.link_table(role(spark, sf_dir, "area_district"), "puma_id", "district", "allocation_factor")
 
 
-def _allocated(spark: SparkSession, sf_dir: str, reread: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Moved and unmatched totals; ``reread`` stores the area totals, for plans that read them several times."""
+def _allocated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Moved and unmatched totals."""
     areas = totals_per_area(spark, sf_dir, ["state_id", "area10"])
-    if reread:
-        areas = cut_lineage(areas)
     links = _district_links(spark, sf_dir)
     moved = X.allocate(
         areas, links, "area10", "puma_id", "district", "allocation_factor", AREA_MEASURES, ["state_id"]
     )
-    return cut_lineage(moved) if reread else moved, X.unmatched(areas, links, "area10", "puma_id")
+    return moved, X.unmatched(areas, links, "area10", "puma_id")
 
 
 @query
@@ -466,8 +463,10 @@ def crosswalk_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crosswalk_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per state and district with the unmatched remainder spread by eligible households."""
-    moved, rest = _allocated(spark, sf_dir, reread=True)
-    out = X.redistribute(moved, rest, "state_id", "district", "hh_eligible", AREA_MEASURES)
+    out = X.allocate_all(
+        totals_per_area(spark, sf_dir, ["state_id", "area10"]), _district_links(spark, sf_dir), "area10", "puma_id",
+        "state_id", "district", "allocation_factor", "hh_eligible", AREA_MEASURES,
+    )
     return rounded(out, dict.fromkeys(AREA_MEASURES, 4))
 
 
@@ -572,6 +571,9 @@ def _histogram(df: DataFrame, more_integers: Sequence[str] = ()) -> DataFrame:
     )
 
 
+LEVEL_POPULATIONS = ("unconnected", "all", "food_support", "medical")
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest poverty level per household for four overlapping populations, from one roll-up."""
     rolled = rollup_members(
@@ -604,14 +606,14 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hist_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histograms with 50 bins over the observed range of each of four populations."""
     return _histogram(
-        D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], listed_groups=True)
+        D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], LEVEL_POPULATIONS)
     )
 
 
 @query
 def hist_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative form of the four histograms."""
-    histogram = D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], listed_groups=True)
+    histogram = D.weighted_hist_auto(_levels(spark, sf_dir), "value", "weight", 50, ["population"], LEVEL_POPULATIONS)
     return rounded(_histogram(D.cumulative(histogram, ["population"])), {"cumulative_share": 8})
 
 

@@ -539,10 +539,12 @@ _ADOPTION = {
 TWINS["adoption_curve"] = _with(["state_enrolment"], **_ADOPTION) + "SELECT state_id, months, round(rate, 6) AS rate FROM a"
 
 TWINS["fit_logit_linear"] = _with(["state_enrolment"], **_ADOPTION, z="""
-    SELECT state_id, months, ln(greatest(least(rate / 110, 0.9999), 0.0001) / (1 - greatest(least(rate / 110, 0.9999), 0.0001))) AS z
+    SELECT state_id, months, ln(greatest(least(rate / 110, 0.9999), 0.0001) / (1 - greatest(least(rate / 110, 0.9999), 0.0001))) AS z,
+        CASE WHEN rate / 110 < 0.0001 OR rate / 110 > 0.9999 THEN 1 ELSE 0 END AS moved
     FROM a""", s="""
-    SELECT state_id, regr_slope(z, months) AS k, regr_intercept(z, months) AS i, count(*) AS points FROM z GROUP BY state_id""") + """
-    SELECT state_id, round(k, 6) AS k, round(-i / k, 4) AS x0, points FROM s"""
+    SELECT state_id, regr_slope(z, months) AS k, regr_intercept(z, months) AS i, count(*) AS points,
+        CAST(sum(moved) AS BIGINT) AS clamped FROM z GROUP BY state_id""") + """
+    SELECT state_id, round(k, 6) AS k, round(-i / k, 4) AS x0, points, clamped FROM s"""
 
 def _newton_chain(free: bool, steps: int) -> dict[str, str]:
     """Undamped Gauss-Newton in a recursive table: curve a / (1 + exp(-(b t + c))) with t = (months - 40) / 40."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +15,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -26,15 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the folder the session names in ``spark.checkpoint.dir``.
 
-    The files survive the loss of executors. Only a local session may fall back to a scratch folder.
+    The files survive the loss of executors. A job removes them when it no longer refers to them if it sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as :func:`local_session` does.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="hearthstat-checkpoint-")
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

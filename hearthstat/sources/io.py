@@ -53,9 +53,19 @@ def read_query(spark: SparkSession, query: str, jdbc: Mapping[str, object] | Non
     return spark.read.format("jdbc").options(**jdbc_options(query=query, **jdbc)).load()
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, header: bool = True) -> DataFrame:
-    """CSV with a header and an explicit schema; nothing is inferred, so codes keep their zeros."""
-    return spark.read.schema(schema).option("header", header).option("enforceSchema", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
+    """CSV with an explicit schema; nothing is inferred, so codes keep their zeros.
+
+    Header names must be the schema's, in its order (unnamed columns may have any name in the schema), or a ``ValueError`` tells the
+    difference. ``mode`` is Spark's: with FAILFAST a value that does not fit its type fails the job instead of becoming NULL.
+    """
+    if header:
+        names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+        first = spark.read.option("header", False).csv(path).limit(1).collect()
+        found = [name or "" for name in first[0]] if first else []
+        if len(found) != len(names) or any(name and name != wanted for name, wanted in zip(found, names)):
+            raise ValueError(f"the header {found} does not fit the schema {names}")
+    return spark.read.schema(schema).option("header", header).option("enforceSchema", True).option("mode", mode).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

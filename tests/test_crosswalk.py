@@ -120,3 +120,20 @@ def test_salted_join_equals_join(spark, how, null_safe):
     assert order(got) == order(want)
     with pytest.raises(ValueError):
         salted_join(many, one, ["k"], "full")
+
+
+def test_one_pass_allocation_equals_allocate_and_redistribute(spark):
+    totals = spark.createDataFrame([("s1", "a", 10.0, 4), ("s1", "b", 6.0, 2), ("s1", "x", 8.0, 1), ("s2", "x", 5.0, 3), ("s2", "y", 1.0, 1), ("s3", "a", 2.0, 0), ("s3", "x", 7.0, 7)], "state string, area string, m double, e int")
+    links = spark.createDataFrame([("a", "d1", 0.25), ("a", "d2", 0.75), ("b", "d2", 1.0)], "src string, district string, f double")
+    moved = X.allocate(totals, links, "area", "src", "district", "f", ["m", "e"], ["state"])
+    want = X.redistribute(moved, X.unmatched(totals, links, "area", "src"), "state", "district", "e", ["m", "e"])
+    got = X.allocate_all(totals, links, "area", "src", "state", "district", "f", "e", ["m", "e"])
+    show = lambda df: sorted((r["state"], r["district"], round(r["m"], 9), round(r["e"], 9)) for r in df.collect())
+    assert show(got) == show(want) and sum(r[2] for r in show(got)) == pytest.approx(39.0)
+
+
+def test_a_share_that_stands_twice_fails(spark):
+    totals = spark.createDataFrame([("a", 10.0)], "area string, m double")
+    shares = spark.createDataFrame([("a", 0.5), ("a", 0.7)], "src string, share double")
+    with pytest.raises(Exception, match="must be unique"):
+        X.apply_share(totals, shares, "area", "src", "share", {"part": "m"}).collect()

@@ -46,7 +46,7 @@ def test_observed_range_equals_numpy(spark, whole, bins):
 
 def test_whole_table_and_listed_groups_agree(spark):
     df, _ = levels(spark, seed=3)
-    whole = D.weighted_hist_auto(df.withColumn("g", F.lit("all")), "x", "w", 20, ["g"], listed_groups=True).drop("g")
+    whole = D.weighted_hist_auto(df.withColumn("g", F.lit("all")), "x", "w", 20, ["g"], ["all"]).drop("g")
     assert sorted(whole.collect()) == sorted(D.weighted_hist_auto(df, "x", "w", 20).collect())
 
 
@@ -93,3 +93,30 @@ def test_populations_overlap(spark):
         "some": D.Population(F.col("f") == 1, F.col("x"), F.col("w")),
     })
     assert sorted((r.population, r.value, r.weight) for r in out.collect()) == [("all", 10.0, 2), ("all", 20.0, 3), ("some", 10.0, 2)]
+
+
+def test_range_that_is_no_multiple_of_the_step_is_like_numpy(spark):
+    values = [0.0, 2.9, 3.0, 8.9, 9.0, 9.5, 10.0, -1.0]
+    df = spark.createDataFrame([(v, 2) for v in values], "x double, w int")
+    got = [r["weight"] for r in D.weighted_hist(df, "x", "w", 0, 10, 3).orderBy("bin").collect()]
+    assert got == np.histogram(values, bins=np.arange(0, 11, 3), weights=[2] * len(values))[0].tolist()
+    with pytest.raises(ValueError):
+        D.weighted_hist(df, "x", "w", 0, 2, 3)
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.0, 1), (3.0, 1), (float("nan"), 5), (None, 2)], "x double, w int")
+    fixed, auto = D.weighted_hist(df, "x", "w", 0, 4, 2).collect(), D.weighted_hist_auto(df, "x", "w", 2).collect()
+    for rows in (fixed, auto):
+        assert [r["weight"] for r in sorted(rows, key=lambda r: r["bin"])] == [1, 1] and {r["total"] for r in rows} == {9}
+    assert sorted((r["bin_left"], r["bin_right"]) for r in auto) == [(1.0, 2.0), (2.0, 3.0)]
+
+
+def test_empty_tables_and_groups_without_rows(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("c", 1.0, 4)], "g string, x double, w int")
+    rows = D.weighted_hist(df.limit(0), "x", "w", 0, 4, 2).collect()
+    assert sorted((r["bin_left"], r["bin_right"], r["weight"], r["total"]) for r in rows) == [(0.0, 2.0, 0, 0), (2.0, 4.0, 0, 0)]
+    rows = D.weighted_hist(df.where("g = 'a'"), "x", "w", 0, 4, 2, ["g"], ["a", "b"]).collect()
+    assert sorted((r["g"], r["bin"], r["weight"], r["bin_left"]) for r in rows) == [("a", 0, 1, 0.0), ("a", 1, 0, 2.0), ("b", 0, 0, 0.0), ("b", 1, 0, 2.0)]
+    rows = D.weighted_hist_auto(df, "x", "w", 2, ["g"], ["a", "b"]).collect()
+    assert sorted((r["g"], r["bin"], r["weight"], r["bin_left"]) for r in rows) == [("a", 0, 0, 0.5), ("a", 1, 1, 1.0), ("b", 0, 0, None), ("b", 1, 0, None)]

@@ -54,3 +54,13 @@ def test_small_frames(spark):
     assert io.shape(grid) == (72, 1) and grid.dtypes == [("months", "int")]
     assert io.peek(grid, 3).count() == 3
     assert io.literal_frame(spark, [("01", "Ohio", 5, 2022)], schemas.STATES).dtypes[2] == ("total_households", "bigint")
+
+
+def test_csv_header_must_fit_the_schema(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(ValueError):
+        io.read_csv(spark, str(tmp_path / "a.csv"), "a int, b int")
+    (tmp_path / "c.csv").write_text("a,\nx,2\n")
+    assert io.read_csv(spark, str(tmp_path / "c.csv"), "a int, spare int").collect()[0] == (None, 2)
+    with pytest.raises(Exception):
+        io.read_csv(spark, str(tmp_path / "c.csv"), "a int, spare int", mode="FAILFAST").collect()

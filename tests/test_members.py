@@ -109,6 +109,15 @@ def test_repeated_household_rows_become_one(spark):
         assert [(r.hh_weight, r.eligible) for r in row] == [(7, 1)]
 
 
+def test_null_keys_are_one_household_with_and_without_carried_columns(spark):
+    hh = spark.createDataFrame([(None, "1", "x", 5, "2", "1"), (None, "1", "x", 7, "1", "2")], HH)
+    pp = spark.createDataFrame([(None, "1", 1, 300, "2", 0.0, 0.0, "01")], PP)
+    for carry in ((), ("state",)):
+        row = rollup_members(hh, pp, ["area", "serialno"], "wgtp", flags(), carry=carry).collect()
+        assert [(r.hh_weight, r.eligible, r.veteran) for r in row] == [(7, 1, 0)]
+    assert key_profile(hh, pp, ["area", "serialno"]).first().null_key_rows == 2
+
+
 def test_household_without_persons_stays(spark):
     hh = spark.createDataFrame([("a", "1", "x", 2, "1", "3"), ("a", "2", "x", 5, "2", "1")], HH)
     pp = spark.createDataFrame([], PP)

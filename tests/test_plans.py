@@ -9,7 +9,7 @@ from hearthstat.plans.binding import role
 from hearthstat.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-EAGER = {"fit_logistic_fixed", "fit_logistic_free", "fitted_projection", "crosswalk_redistribute"}
+EAGER = {"fit_logistic_fixed", "fit_logistic_free", "fitted_projection"}
 
 
 @pytest.fixture

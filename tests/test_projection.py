@@ -193,3 +193,24 @@ def test_logit_line(spark):
     )
     row = fitting.logit_line(curve.select("s", "x", "y"), ["s"], "x", "y", 30.0).first()
     assert (row.k, row.x0, row.points) == (pytest.approx(0.2), pytest.approx(12.0), 24)
+
+
+def test_groups_still_open_after_the_last_pass_have_no_parameters(spark):
+    points = spark.createDataFrame([("a", float(x), 80 / (1 + 2.718281828 ** (-0.2 * (x - 20))) + (x % 3)) for x in range(40)], "s string, x double, y double")
+    row = fitting.fit_logistic(points, ["s"], "x", "y", 80.0, fitting.Solver(passes=1)).first()
+    assert (row.L, row.k, row.x0, row.sse, row.converged, row.passes) == (None, None, None, None, False, 1)
+    assert fitting.fit_logistic(points, ["s"], "x", "y", 80.0).first().converged
+
+
+def test_logit_line_counts_moved_points(spark):
+    points = spark.createDataFrame([("a", 1.0, 5.0), ("a", 2.0, 50.0), ("a", 3.0, 500.0)], "s string, x double, y double")
+    assert fitting.logit_line(points, ["s"], "x", "y", 100.0).first().clamped == 1
+
+
+def test_a_fit_runs_few_jobs(spark):
+    points = spark.createDataFrame([(g, float(x), 80 / (1 + 2.718281828 ** (-0.2 * (x - 20)))) for g in "abc" for x in range(40)], "s string, x double, y double")
+    spark.sparkContext.setJobGroup("few-jobs", "a fit")
+    row = fitting.fit_logistic(points, ["s"], "x", "y", 80.0).first()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert row.converged
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 24
