@@ -33,6 +33,7 @@ from hearthstat.plans.binding import role
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the registered queries (the library itself has no domain constants).
+# Thresholds, rates, mixes, shares and scenario parameters of the queries.
 THRESHOLD = 200
 GAP_BAND = (136, 200)
 LOW_INCOME = 50_000

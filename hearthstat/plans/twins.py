@@ -431,13 +431,11 @@ TWINS["logistic_projection_yearly"] = _with(_AHP, **_GRID) + """
         round(max(adoption_rate), 6) AS adoption_rate, round(max(enrolled_hh), 4) AS enrolled_hh
     FROM p GROUP BY state_id, scenario, benefit, (months - 1) // 12"""
 
-TWINS["scenario_compare"] = _with(_AHP, **_GRID) + "SELECT a.state_id, a.months, " + ", ".join(
-    f"round({t}.{c}, {d}) AS {s}_{c}"
-    for t, s in (("a", "S1"), ("b", "S3"))
+TWINS["scenario_compare"] = _with(_AHP, **_GRID) + "SELECT state_id, months, " + ", ".join(
+    f"round(max(CASE WHEN scenario = '{s}' THEN {c} END), {d}) AS {s}_{c}"
+    for s in ("S1", "S3")
     for c, d in (("adoption_rate", 6), ("enrolled_hh", 4), ("cost", 3))
-) + """ FROM (SELECT * FROM p WHERE scenario = 'S1' AND benefit = 'mixed') a
-    LEFT JOIN (SELECT * FROM p WHERE scenario = 'S3' AND benefit = 'mixed') b
-        ON a.state_id = b.state_id AND a.months = b.months"""
+) + " FROM p WHERE benefit = 'mixed' AND scenario IN ('S1', 'S3') GROUP BY state_id, months"
 
 TWINS["curve_match_observed"] = _with(_AHP, **_GRID, q=f"""
     SELECT state_id, months, universe,

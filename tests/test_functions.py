@@ -59,6 +59,23 @@ def test_codes_keep_zeros():
     assert len(codes.STATE_POSTAL_CODES) == 50
 
 
+def test_code_lists_literally():
+    # written out, so that a wrong list cannot pass on both sides of a query test
+    assert codes.VETERAN_PERIODS == "01 02 03 04 05 06 07 08 09 10 11 12 13 14".split()
+    assert codes.HISPANIC_ORIGINS == "02 03 04 05 06 07 08 09 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24".split()
+    assert codes.SCHOOL_GRADES_K12 == "02 03 04 05 06 07 08 09 10 11 12 13 14".split()
+    assert (codes.SENIOR_PRESENT, codes.YES, codes.NO, codes.NO_ACCESS) == (["1", "2"], "1", "2", "3")
+    assert {codes.STATE_POSTAL_CODES[n] for n in ("Alabama", "Iowa", "Maine", "Wyoming")} == {"AL", "IA", "ME", "WY"}
+    assert len(set(codes.STATE_POSTAL_CODES.values())) == 50
+
+
+def test_query_thresholds_literally():
+    from hearthstat.plans import queries as Q
+
+    assert (Q.THRESHOLD, Q.GAP_BAND, Q.LOW_INCOME, Q.VULNERABLE_PART, Q.OBSERVED_RATE) == (200, (136, 200), 50_000, 0.43, 19.52)
+    assert Q.BENEFIT_MIX == ((0.0685, 75.0), (0.9315, 30.0)) and Q.PORTAL_SHARES == (0.84, 0.9315, 0.6)
+
+
 def test_lookup_of_unknown_is_null(spark):
     df = spark.createDataFrame([("Ohio",), ("Puerto Rico",), (None,)], "name string").coalesce(1)
     assert values(df, P.lookup("name", codes.STATE_POSTAL_CODES)) == ["OH", None, None]
