@@ -36,17 +36,25 @@ def with_parsed_date(df: DataFrame, column: str, pattern: str, name: str) -> Dat
     return df.withColumn(name, F.try_to_timestamp(F.col(column), F.lit(pattern)).cast("date"))
 
 
-def _ordered(by: Sequence[str], period: str) -> Window:
+def _ordered(by: Sequence[str] | None, period: str) -> Window:
+    """Window over the periods of a series. One series alone is one task, so the caller has to say so with ``by=()``."""
+    if by is None:
+        raise ValueError("name the columns of the series, or pass by=() if the whole table is one series of periods")
     return Window.partitionBy(*by).orderBy(period)
 
 
-def period_diff(panel: DataFrame, value: str, period: str, by: Sequence[str] = (), name: str = "difference") -> DataFrame:
+def _over_series(panel: DataFrame, by: Sequence[str], aggregate: Column) -> Column:
+    """An aggregate over each series; over the whole table without a window."""
+    return aggregate.over(Window.partitionBy(*by)) if by else panel.agg(aggregate.alias("_all")).scalar()
+
+
+def period_diff(panel: DataFrame, value: str, period: str, by: Sequence[str] | None = None, name: str = "difference") -> DataFrame:
     """Change against the previous period of the series; 0 for the first period and next to a NULL."""
     change = F.col(value) - F.lag(value, 1).over(_ordered(by, period))
     return panel.withColumn(name, F.coalesce(change, F.lit(0)))
 
 
-def running_total(panel: DataFrame, value: str, period: str, by: Sequence[str] = (), name: str = "running") -> DataFrame:
+def running_total(panel: DataFrame, value: str, period: str, by: Sequence[str] | None = None, name: str = "running") -> DataFrame:
     """Sum of the series up to and including the period."""
     window = _ordered(by, period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return panel.withColumn(name, F.sum(value).over(window))
@@ -54,10 +62,10 @@ def running_total(panel: DataFrame, value: str, period: str, by: Sequence[str] =
 
 def share_of_total(panel: DataFrame, value: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:
     """Part of the series total; NULL when the total is zero."""
-    return panel.withColumn(name, ratio(F.col(value), F.sum(value).over(Window.partitionBy(*by))))
+    return panel.withColumn(name, ratio(F.col(value), _over_series(panel, by, F.sum(value))))
 
 
-def first_value(panel: DataFrame, value: str, period: str, by: Sequence[str] = (), name: str = "first") -> DataFrame:
+def first_value(panel: DataFrame, value: str, period: str, by: Sequence[str] | None = None, name: str = "first") -> DataFrame:
     """Value of the first period of the series, on every row."""
     return panel.withColumn(name, F.first(value).over(_ordered(by, period)))
 
@@ -87,7 +95,7 @@ def align(
 
 def mean_after_first(panel: DataFrame, value: str, period: str, by: Sequence[str] = (), name: str = "mean") -> DataFrame:
     """Mean of the series without its first period."""
-    later = F.col(period) > F.min(period).over(Window.partitionBy(*by))
+    later = F.col(period) > _over_series(panel, by, F.min(period))
     kept = panel.withColumn("_later", later)
     mean = F.avg(F.when(F.col("_later"), F.col(value))).alias(name)
     return kept.groupBy(*by).agg(mean) if by else kept.agg(mean)
@@ -95,5 +103,7 @@ def mean_after_first(panel: DataFrame, value: str, period: str, by: Sequence[str
 
 def first_periods(panel: DataFrame, period: str, n: int, by: Sequence[str] = ()) -> DataFrame:
     """The first n periods of each series (ranked per task before the shuffle)."""
+    if not by:
+        return panel.orderBy(period).limit(n)
     ranked = panel.withColumn("_rank", F.row_number().over(_ordered(by, period)))
     return ranked.where(F.col("_rank") <= n).drop("_rank")

@@ -94,7 +94,7 @@ def scenario_grid(
 
 def match_observed(df: DataFrame, rate: str, observed, by: Sequence[str] = (), name: str = "matched_rate") -> DataFrame:
     """The curve scaled so that its largest value on the grid equals an observed rate."""
-    peak = F.max(rate).over(Window.partitionBy(*by))
+    peak = F.max(rate).over(Window.partitionBy(*by)) if by else df.agg(F.max(rate).alias("_peak")).scalar()
     target = F.lit(float(observed)) if isinstance(observed, (int, float)) else as_column(observed)
     return df.withColumn(name, F.col(rate) * F.try_divide(target, peak))
 

@@ -45,6 +45,17 @@ def test_offset_alignment(spark, series):
 def test_mean_without_first_and_first_periods(series):
     assert {r.s: r["mean"] for r in panel.mean_after_first(series, "v", "year", ["s"]).collect()} == {"a": 20.0, "b": 7.0}
     assert panel.mean_after_first(series.where("s = 'a'"), "v", "year").first()[0] == 20.0
+    assert sorted(r.year for r in panel.first_periods(series.where("s = 'a'"), "year", 2).collect()) == [2024, 2025]
+
+
+def test_one_series_without_columns_has_to_be_said(series):
+    alone = series.where("s = 'a'")
+    for operation in (panel.period_diff, panel.running_total, panel.first_value):
+        with pytest.raises(ValueError):
+            operation(alone, "v", "year")
+        assert operation(alone, "v", "year", ()).count() == alone.count()
+    parts = [r["share"] for r in panel.share_of_total(alone, "v").collect()]
+    assert sum(x for x in parts if x is not None) == pytest.approx(1.0)
     assert sorted(r.year for r in panel.first_periods(series, "year", 2, ["s"]).collect()) == [2024, 2024, 2025, 2025]
 
 
