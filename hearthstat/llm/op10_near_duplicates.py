@@ -192,3 +192,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: DuckDB SQL of op10_near_duplicates, for tables whose ids do not repeat: all pairs that share a shingle, and their transitive closure.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) AS x
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+    SELECT p.a AS a, p.b AS b FROM p JOIN n AS x ON p.a = x.doc_id JOIN n AS y ON p.b = y.doc_id WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)
+), e AS (
+    SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+    SELECT doc_id, doc_id AS reached FROM d
+    UNION
+    SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a
+), g AS (
+    SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id AS doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, g.component_id AS component_id, d.doc_id = g.component_id AS kept
+FROM d JOIN g ON d.doc_id = g.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""

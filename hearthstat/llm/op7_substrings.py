@@ -119,3 +119,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL of op7_substring_dedup, for tables whose ids do not repeat.
+OP7_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), k AS (
+    SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20) AS x
+), r AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM k) AS y WHERE n > 1
+), c AS (
+    SELECT DISTINCT doc_id, s + o AS i FROM r, (SELECT unnest(range(0, 20)) AS o) AS z
+), v AS (
+    SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), t AS (
+    SELECT v.doc_id AS doc_id, count(c.i) AS n_removed, coalesce(string_agg(CASE WHEN c.i IS NULL THEN v.word END, ' ' ORDER BY v.i), '') AS kept
+    FROM v LEFT JOIN c ON v.doc_id = c.doc_id AND v.i = c.i GROUP BY v.doc_id
+)
+SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

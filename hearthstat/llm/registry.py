@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from hearthstat.llm.op1_quality import op1_quality_rules
-from hearthstat.llm.op10_near_duplicates import op10_near_duplicates
+from hearthstat.llm.op10_near_duplicates import OP10_SQL, op10_near_duplicates
 from hearthstat.llm.op2_templates import op2_site_templates
 from hearthstat.llm.op3_bpe import op3_bpe
 from hearthstat.llm.op4_mixing import op4_mixing
 from hearthstat.llm.op5_ppm import op5_ppm
 from hearthstat.llm.op6_edit_counts import op6_edit_counts
-from hearthstat.llm.op7_substrings import op7_substring_dedup
+from hearthstat.llm.op7_substrings import OP7_SQL, op7_substring_dedup
 from hearthstat.llm.op8_suffixes import op8_suffix_dedup
 from hearthstat.llm.op9_va_search import OP9_SQL, op9_va_search
 
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 TWINS: dict[str, str] = {
+    "op7_substring_dedup": OP7_SQL,
+    "op10_near_duplicates": OP10_SQL,
     "op9_va_search": OP9_SQL,
 }
