@@ -42,16 +42,22 @@ class _Level:
         return out
 
 
+def _windows(words: Words, length: int, alive: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of a length, and which to look at: all, or those of which both halves are ``alive``."""
+    hashes, valid = words.windows(length)
+    if alive is not None:
+        half = np.zeros(len(alive), bool)
+        half[: max(0, len(alive) - length // 2)] = alive[length // 2 :]
+        valid &= alive & half
+    return hashes, valid
+
+
 def _walk(chunk, levels: list[int], parts: int, id_col: str, found: dict, upto: int):
     """Runs the levels below ``upto`` on the answers found; gives the words and the state of level ``upto``."""
     words = Words(chunk.data, chunk.offsets)
     alive = None
     for k, length in enumerate(levels):
-        hashes, valid = words.windows(length)
-        if alive is not None:
-            half = np.zeros(len(alive), bool)
-            half[: max(0, len(alive) - length // 2)] = alive[length // 2 :]
-            valid &= alive & half
+        hashes, valid = _windows(words, length, alive)
         if k == len(levels) - 1:
             at = np.flatnonzero(valid)
             docs = words.docs[at]
@@ -71,7 +77,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Levels: windows of ``first`` words are counted over the corpus; only where both halves of a window of twice that
     length repeat is it looked at, and so on to ``length``. A level without candidates ends the work of its chunk, and
-    no level beyond ``length`` is needed: a longer repeat is made of repeats of ``length`` words.
+    no level beyond ``length`` is needed here: a longer repeat is made of repeats of ``length`` words. ``longest_repeats`` goes on until
+    no candidate survives.
 
     A null text has no words. Rows that repeat a document id are the same document: a window at the same place of both is
     no repeat of itself. Null ids come last. Empty tables give empty results; other columns travel in ``row`` unchanged.
@@ -116,6 +123,54 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return packets.meet(packed, told, text_col, use, schema)
 
 
+def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, first: int = FIRST) -> DataFrame:
+    """``row`` (a struct of all input columns) and ``longest``: the greatest of length, 2 length, 4 length ... words at which a window of
+    the document stands anywhere a second time; 0 if none does.
+
+    The doubling goes on until no candidate survives: as many rounds as the logarithm of the longest repeat. Odd rows as in ``dedup_substrings``.
+    """
+    levels, parts = _levels(length, first), packets.ranges_for(docs, text_col)
+    packed = packets.packs(docs, id_col, text_col)
+
+    def states(chunk, lengths, found):
+        words, alive = Words(chunk.data, chunk.offsets), None
+        for k, own in enumerate(lengths):
+            hashes, valid = _windows(words, own, alive)
+            state = _Level(hashes, valid, parts)
+            yield words, state
+            if k in found:
+                alive = state.survivors(found, k, len(valid))
+
+    told, k = None, 0
+    while True:
+        lengths = levels + [length * 2**i for i in range(1, max(0, k + 2 - len(levels)))]
+
+        def ask(chunk, name, found=None, lengths=tuple(lengths[: k + 1]), k=k):
+            *_, (_, state) = states(chunk, lengths, found or {})
+            return packets.cut(k, name, state.keys, state.places, a=(state.count > 1).astype(np.uint8))
+
+        if told is None:
+            asked = packets.requests(docs, id_col, text_col, ask)
+        else:
+            asked = packets.meet(packed, told, text_col, lambda chunk, name, found, ask=ask: packets.rows_table(ask(chunk, name, found)), packets.REQUEST)
+        answered = save(packets.answers(asked, packets.merge_presence), f"op7-longest{k}")
+        told = answered if told is None else told.unionByName(answered)
+        if answered.where(F.regexp_replace(F.hex("a"), "0", "") != "").isEmpty():
+            break
+        k += 1
+
+    def use(chunk, _, found, lengths=tuple(lengths[: k + 1])):
+        longest = np.zeros(len(chunk), np.int64)
+        for i, (words, state) in enumerate(states(chunk, lengths, found)):
+            if lengths[i] >= length:
+                alive = state.survivors(found, i, len(words.docs))
+                longest[np.unique(words.docs[alive])] = lengths[i]
+        return pa.table({"row": packets.whole_rows(chunk.table), "longest": longest})
+
+    schema = T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL("longest long").fields])
+    return packets.meet(packed, told, text_col, use, schema)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

@@ -204,12 +204,14 @@ def values_of(found: dict, step: int, places: np.ndarray, dtype, column: str = "
 
 
 def merge_presence(packets: list[dict]) -> Iterator[tuple]:
-    """For each key sent: whether another chunk has sent it too, one bit."""
+    """For each key sent: whether another chunk has sent it too, or the bit in ``a`` is set already; one bit."""
     keys = [expand(p["keys"], np.uint64, rising=True) for p in packets]
     distinct, count = np.unique(np.concatenate(keys), return_counts=True)
     distinct = distinct[count > 1]
     for p, own in zip(packets, keys):
         bits = np.isin(own, distinct, assume_unique=True) if len(distinct) else np.zeros(len(own), bool)
+        if p["a"] is not None:
+            bits |= expand(p["a"], np.uint8).astype(bool)
         yield (p["step"], p["part"], p["chunk"], p["n"], None, np.packbits(bits).tobytes(), None, None)
 
 

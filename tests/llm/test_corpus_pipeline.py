@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 
 import pytest
 import test_op1_quality
-import test_op4_mixing
 import test_op7_substrings
 import test_op10_near_duplicates
 from tokenizers import Tokenizer

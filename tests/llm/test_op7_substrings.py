@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hearthstat.llm.op7_substrings import dedup_substrings, op7_substring_dedup
+from hearthstat.llm.op7_substrings import dedup_substrings, longest_repeats, op7_substring_dedup
 
 LAST = 2**63 - 1
 
@@ -51,6 +51,23 @@ def test_empty_table_and_clashing_columns(spark):
     assert (row["n_words"], row["n_removed"], row["kept"]) == (45, 44, "w")
 
 
+def test_doubling_goes_on_until_nothing_repeats(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50:220])), (3, " ".join(words[100:125] + ["x"] * 3)), (4, "a b c"), (5, None)]
+    rows += [(6, " ".join(rnd.choice("abcdefgh") for _ in range(300))), (7, "z " * 100)]
+    seen = {}
+    for doc, text in rows:
+        own = (text or "").split()
+        for n in (20, 40, 80, 160, 320):
+            for s in range(len(own) - n + 1):
+                seen.setdefault((n, tuple(own[s : s + n])), []).append(doc)
+    want = {doc: max([k[0] for k, docs in seen.items() if doc in docs and len(docs) > 1], default=0) for doc, _ in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["row"]["doc_id"]: r["longest"] for r in longest_repeats(df).collect()} == want == {1: 160, 2: 160, 3: 20, 4: 0, 5: 0, 6: 0, 7: 80}
+    assert longest_repeats(df.limit(0)).count() == 0
+
+
 def test_query_on_table(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
