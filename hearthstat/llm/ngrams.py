@@ -12,11 +12,11 @@ from hearthstat.llm.words import mix
 
 #: Bytes that no UTF-8 text holds: before a text's first byte, and after its last.
 BEFORE, END = 0xFE, 0xFF
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def blocks(texts: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts in groups of some 2 MB: the n-gram of every byte and end, and how many each text has."""
+    """Texts in groups of some 1 MB: the n-gram of every byte and end, and how many each text has."""
 
     def grams(held):
         pad = bytes([BEFORE]) * (order - 1)

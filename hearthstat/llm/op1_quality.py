@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from hearthstat.llm import ngrams, packets
 from hearthstat.llm.ngrams import add_up, group_sums, look_up
 from hearthstat.llm.shared import save
-from hearthstat.llm.words import Words, lower_ascii
+from hearthstat.llm.words import Words, lower_ascii, per_text
 
 ORDER = 5
 LANGUAGES = 4096
@@ -32,10 +32,9 @@ class Counts:
         spans[words.starts] += 1
         spans[words.ends] -= 1
         in_word = np.cumsum(spans[:-1], dtype=np.int8).view(bool)
-        per_text = lambda marks: np.diff(np.concatenate(([0], np.cumsum(marks)))[chunk.offsets]).astype(np.int64)
         self.n_words = words.counts
-        self.word_chars = per_text(in_word & ((chunk.data & 0xC0) != 0x80))
-        self.n_symbols = per_text(_SYMBOLS[chunk.data])
+        self.word_chars = per_text(in_word & ((chunk.data & 0xC0) != 0x80), chunk.offsets)
+        self.n_symbols = per_text(_SYMBOLS[chunk.data], chunk.offsets)
         self.n_dup_lines = np.zeros(len(chunk), np.int64)
         for i in range(len(chunk)):
             lines = [line for line in chunk.text(i).split(b"\n") if line.strip()]

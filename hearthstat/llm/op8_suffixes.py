@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from hearthstat.llm import packets
 from hearthstat.llm.packets import Chunk, Earliest
 from hearthstat.llm.shared import save, text_bytes
-from hearthstat.llm.words import mix, powers
+from hearthstat.llm.words import mix, per_text, powers
 
 LENGTH = 100
 GRAM = 50
@@ -328,8 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first[1:] &= ~gone[:-1]
         cuts = chunk.offsets[:-1][chunk.offsets[:-1] < len(gone)]
         first[cuts] = gone[cuts]
-        sums = lambda marks: np.diff(np.concatenate(([0], np.cumsum(marks)))[chunk.offsets])
-        lost, spans = sums(gone), sums(first)
+        lost, spans = per_text(gone, chunk.offsets), per_text(first, chunk.offsets)
         kept = [chunk.data[a:b][~gone[a:b]].tobytes() if x else chunk.data[a:b].tobytes() for a, b, x in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), lost.tolist())]
         return pa.table({"row": packets.whole_rows(chunk.table), "n_bytes": np.diff(chunk.offsets), "n_removed": lost, "n_spans": spans, "kept": pa.array(kept, pa.binary())})
 

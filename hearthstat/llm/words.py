@@ -56,6 +56,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
+def per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many marks are set in each text of a buffer."""
+    sums = np.cumsum(marks, dtype=np.int32)
+    return np.diff(np.where(offsets > 0, sums[offsets - 1], 0)).astype(np.int64) if len(sums) else np.zeros(len(offsets) - 1, np.int64)
+
+
 class Words:
     """Words of a buffer of texts; ``offsets`` bounds the texts. Words never cross texts."""
 
