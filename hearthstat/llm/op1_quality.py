@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +14,14 @@ from pyspark.sql import types as T
 from hearthstat.llm import ngrams, packets
 from hearthstat.llm.ngrams import add_up, group_sums, look_up
 from hearthstat.llm.shared import save
-from hearthstat.llm.words import Words, lower_ascii, per_text
+from hearthstat.llm.words import Words, lower_ascii, mix, per_text
 
 ORDER = 5
 LANGUAGES = 4096
 LOWER, UPPER = 4.0, 4.0
 SETTLE = 8000
+SKETCH = 4
+_PLACE = "key long, rank long, chunk long, place int"
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _MASK = lambda j: np.uint64((1 << 8 * j) - 1)
 
@@ -55,6 +58,67 @@ class Counts:
         self.failed = (self.n_words < 10) | (100 * self.n_repeat_words > 20 * self.n_words)
 
 
+def sketches(chunk: packets.Chunk) -> np.ndarray:
+    """``SKETCH`` least hashes of each text's windows of five words in lower case; near copies share most of them. 0 where there is no window."""
+    words = Words(lower_ascii(chunk.data), chunk.offsets)
+    hashes, valid = words.windows(5)
+    at = np.flatnonzero(valid)
+    out = np.zeros((SKETCH, len(chunk)), np.uint64)
+    if len(at):
+        docs = words.docs[at]
+        heads = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+        for k in range(SKETCH):
+            out[k, docs[heads]] = np.minimum.reduceat(mix(hashes[at] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), heads)
+    return out
+
+
+def _places(chunk: packets.Chunk, name: int, lang: str) -> pa.RecordBatch:
+    """A row for each sketch of each text that passes the base rules, and one that names the chunk."""
+    rows = np.flatnonzero(~Counts(chunk).failed)
+    own = chunk.table[lang].to_pylist()
+    tongue = np.array([xxhash.xxh3_64_intdigest(own[i] or "") for i in rows.tolist()], np.uint64)
+    rank = np.array([xxhash.xxh3_64_intdigest(chunk.text(i)) for i in rows.tolist()], np.uint64)
+    least = sketches(chunk)[:, rows]
+    with np.errstate(over="ignore"):
+        keys = [mix(least[k] ^ mix(tongue + np.uint64(k))) for k in range(SKETCH)]
+    columns = (
+        np.concatenate([*keys, np.array([name], np.int64).view(np.uint64)]).view(np.int64),
+        np.append(np.tile(rank.view(np.int64), SKETCH), 0),
+        np.full(SKETCH * len(rows) + 1, name, np.int64),
+        np.append(np.tile(rows, SKETCH), -1).astype(np.int32),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rank", "chunk", "place"])
+
+
+def _learnt(docs: DataFrame, id_col: str, text_col: str, lang: str) -> dict[int, bytes]:
+    """By chunk, a bit for each row: whether the model learns it.
+
+    Of the texts of a language that share a sketch, the one of least hash is first. A text that is first in all of its sketches is learnt, once:
+    of copies and near copies, whatever their number, one is.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for chunk in packets.chunks(batches, text_col):
+            yield _places(chunk, chunk.name(id_col), lang)
+
+    def bits(table: pa.Table) -> pa.Table:
+        places = table["place"].to_numpy()
+        flags = np.zeros(places.max() + 1, bool)
+        flags[places[places >= 0]] = True
+        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    first = docs.mapInArrow(run, _PLACE).groupBy("key").agg(F.min(F.struct("rank", "chunk", "place")).alias("first")).select("first.*")
+    won = first.groupBy("chunk", "place").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {SKETCH} or place < 0")
+    return {r["chunk"]: bytes(r["bits"]) for r in won.select("chunk", "place").groupBy("chunk").applyInArrow(bits, "chunk long, bits binary").collect()}
+
+
+def _flags(learnt: dict[int, bytes], name: int, n: int) -> np.ndarray:
+    if name not in learnt:
+        raise RuntimeError("an unknown chunk: the input changed between two reads")
+    found = np.unpackbits(np.frombuffer(learnt[name], np.uint8))[:n].astype(bool)
+    return np.append(found, np.zeros(n - len(found), bool))
+
+
 def discounts(counts_of_counts) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts of 0, 1, 2 and 3 or more; usual fixed ones where an estimate is out of bounds."""
     n1, n2, n3, n4 = (float(x) for x in counts_of_counts)
@@ -112,6 +176,7 @@ def _orders(keys: np.ndarray, counts: np.ndarray, order: int) -> Iterator[tuple[
 def _merge_model(asked: list[dict], order: int, languages: int, parts: int) -> Iterator[tuple]:
     """The merged model of a range as sorted arrays, its counts of counts, and its share of the n-grams of three bytes."""
     step, part = asked[0]["step"], asked[0]["part"]
+    asked = list({p["chunk"]: p for p in asked}.values())  # chunks of one name are copies
     keys, counts = add_up(np.concatenate([packets.expand(p["keys"], np.uint64, rising=True) for p in asked]), np.concatenate([packets.expand(p["a"], np.uint32) for p in asked]).astype(np.int64))
     keys, counts = keys[counts > 0], counts[counts > 0]
     if not len(keys):
@@ -154,17 +219,17 @@ def _merge_answers(asked: list[dict], order: int, low: dict) -> Iterator[tuple]:
 
 
 class _Asked:
-    """The n-grams of a chunk by language, with counts from documents that pass the base rules."""
+    """The n-grams of a chunk by language, with counts from the documents that are learnt."""
 
-    def __init__(self, chunk: packets.Chunk, failed: np.ndarray, lang: str, order: int, codes: dict[str, int], parts: int):
+    def __init__(self, chunk: packets.Chunk, learnt: np.ndarray, lang: str, order: int, codes: dict[str, int], parts: int):
         code = np.array([codes[x or ""] for x in chunk.table[lang].to_pylist()], np.int64)
         self.groups = []
         for c in np.unique(code).tolist():
             rows = np.flatnonzero(code == c)
             texts = [lower_ascii(np.frombuffer(chunk.text(i), np.uint8)).tobytes() for i in rows.tolist()]
-            good, counts = ngrams.count([t for t, bad in zip(texts, failed[rows].tolist()) if not bad], order)
-            poor, _ = ngrams.count([t for t, bad in zip(texts, failed[rows].tolist()) if bad], order)
-            keys, counts = add_up(np.concatenate((good, poor)), np.concatenate((counts, np.zeros(len(poor), np.int64))))
+            taught, counts = ngrams.count([t for t, own in zip(texts, learnt[rows].tolist()) if own], order)
+            others, _ = ngrams.count([t for t, own in zip(texts, learnt[rows].tolist()) if not own], order)
+            keys, counts = add_up(np.concatenate((taught, others)), np.concatenate((counts, np.zeros(len(others), np.int64))))
             self.groups.append((c, rows, texts, keys, counts, *ngrams.by_context(keys, parts)))
 
     def rows(self, name: int) -> Iterator[tuple]:
@@ -174,7 +239,8 @@ class _Asked:
 
 def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
     """Counts and log probability of every text: ``row`` (a struct of the columns in ``carry``), the base counts, ``base_failed``,
-    ``language``, ``n_bytes`` and ``log10_per_byte``: the mean log10 probability of its bytes and its end in its language's model."""
+    ``language``, ``n_bytes``, ``log10_per_byte``: the mean log10 probability of its bytes and its end in its language's model, and ``learnt``:
+    whether the model learns this row; of copies and near copies it learns one."""
     parts = packets.ranges_for(docs, text_col)
     named = [r[0] for r in docs.select(F.coalesce(F.col(lang), F.lit("")).alias("l")).distinct().limit(LANGUAGES + 1).collect()]
     if len(named) > LANGUAGES:
@@ -182,7 +248,9 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
     codes = {x: i for i, x in enumerate(sorted(named))}
     n = max(len(codes), 1)
 
-    asked = save(packets.requests(docs, id_col, text_col, lambda chunk, name: _Asked(chunk, Counts(chunk).failed, lang, order, codes, parts).rows(name)), "op1-asked")
+    learnt = docs.sparkSession.sparkContext.broadcast(_learnt(docs, id_col, text_col, lang))
+
+    asked = save(packets.requests(docs, id_col, text_col, lambda chunk, name: _Asked(chunk, _flags(learnt.value, name, len(chunk)), lang, order, codes, parts).rows(name)), "op1-asked")
     model = save(packets.answers(asked, lambda p: _merge_model(p, order, n, parts)), "op1-model")
     stats = {(r[0] - 2 * n, r[1]): r[2] for r in model.where(F.col("step") >= 2 * n).groupBy("step", "part").agg(F.sum("chunk")).collect()}
     low: dict[int, list] = {c: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for c in range(n)}
@@ -193,10 +261,11 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
     tables = docs.sparkSession.sparkContext.broadcast({c: LowOrders(*add_up(np.concatenate(k), np.concatenate(v)), upper(c)) for c, (k, v) in low.items()})
     told = packets.answers(asked.unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
 
-    def use(chunk, _, found):
+    def use(chunk, name, found):
         counts = Counts(chunk)
         logs = np.zeros(len(chunk))
-        own = _Asked(chunk, counts.failed, lang, order, codes, parts)
+        taught = _flags(learnt.value, name, len(chunk))
+        own = _Asked(chunk, taught, lang, order, codes, parts)
         for c, rows, texts, keys, _, by, places in own.groups:
             values = ngrams.answered(found, c, by, places, np.float32)
             logs[rows] = ngrams.sums_per_text(texts, order, keys, values) / (np.array([len(t) for t in texts]) + 1)
@@ -205,9 +274,10 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
             "n_words": counts.n_words, "word_chars": counts.word_chars, "n_symbols": counts.n_symbols, "n_dup_lines": counts.n_dup_lines,
             "n_repeat_words": counts.n_repeat_words, "base_failed": counts.failed,
             "language": pa.array([x or "" for x in chunk.table[lang].to_pylist()], pa.string()), "n_bytes": np.diff(chunk.offsets), "log10_per_byte": logs,
+            "learnt": taught,
         })
 
-    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, n_bytes long, log10_per_byte double"
+    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, n_bytes long, log10_per_byte double, learnt boolean"
     schema = T.StructType([T.StructField("row", docs.select(*carry).schema), *T.StructType.fromDDL(fields).fields])
     return packets.meet(packets.packs(docs, id_col, text_col), told, text_col, use, schema)
 
@@ -217,10 +287,11 @@ def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settl
 
     The mean log probability of a short text scatters more. So its distance from the language's median log perplexity is
     taken times sqrt(bytes / (bytes + settle)). A band runs from ``lower`` spreads below to ``upper`` spreads above zero; the spread is half the
-    distance from the 16th to the 84th percentile of the deviations of the language's base-passing documents.
+    distance from the 16th to the 84th percentile of the deviations. Median and spread are taken over the language's learnt documents, or over its
+    base-passing ones where no column says which are learnt.
     """
     log = -F.col("log10_per_byte")
-    passing = measured.where(~F.col("base_failed"))
+    passing = measured.where("learnt" if "learnt" in measured.columns else ~F.col("base_failed"))
     # the tables joined here have at most LANGUAGES rows, which measure() has checked
     middle = passing.groupBy("language").agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
     deviation = (log - F.col("middle")) * F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + settle))
@@ -229,19 +300,19 @@ def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settl
     bands = middle.join(spread, "language").select("language", "middle", (-lower * (F.col("m")[1] - F.col("m")[0]) / 2).alias("least"), (upper * (F.col("m")[1] - F.col("m")[0]) / 2).alias("most"))
     judged = measured.join(F.broadcast(bands), "language", "left").withColumns({"perplexity": F.pow(F.lit(10.0), log), "deviation": deviation})
     inside = F.coalesce(F.col("deviation").between(F.col("least"), F.col("most")), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "log10_per_byte")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "log10_per_byte", "learnt")
 
 
 def quality_rules(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", order: int = ORDER, lower: float = LOWER, upper: float = UPPER, settle: int = SETTLE) -> DataFrame:
     """Base rules and language-specific perplexity bands; one row per input row, see ``measure`` and ``judge``.
 
-    The model of each language is counted over all of its base-passing documents, with no pruning: n-grams of ``order`` bytes
+    The model of each language is counted over its base-passing documents, one of each group of copies and near copies, with no pruning: n-grams of ``order`` bytes
     in sorted arrays by range, the lower orders by continuation counts, modified Kneser-Ney discounts per order. All n-grams
     with the same three bytes before the last are in one range, so a range has every context of three bytes or more in full.
     Shorter contexts go to every range; there are at most 2 ** 24 counts per language.
 
-    A null or empty text has no words and fails the base rules. A null language is one of its own. Rows that repeat count as
-    often as they stand. Empty tables give empty results; columns outside ``carry`` are not in the result.
+    A null or empty text has no words and fails the base rules. A null language is one of its own. Rows that repeat are
+    learnt once and judged alike. Empty tables give empty results; columns outside ``carry`` are not in the result.
     """
     return judge(save(measure(docs, carry, id_col, text_col, lang, order), "op1-measured"), lower, upper, settle)
 

@@ -81,3 +81,34 @@ def test_query_on_table(spark):
     got = op1_quality_rules(spark, sf).collect()
     assert {r[0]: tuple(r)[1:7] for r in got} == {i: counts(t) for i, t in texts.items()}
     assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def prose(seed, n=300):
+    rnd = random.Random(seed)
+    words = random.Random(0)
+    lexicon = ["".join(words.choice(["ba", "ko", "ti", "ren", "sul", "mo", "da", "ver"]) for _ in range(words.randint(1, 4))) for _ in range(400)]
+    return " ".join(rnd.choice(lexicon) for _ in range(n))
+
+
+def random_letters(seed, n=300):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+
+def near_copy(text, seed):
+    rnd, words = random.Random(seed), text.split()
+    for at in rnd.sample(range(len(words)), 2):
+        words[at] = rnd.choice(words)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("copies", [2, 50, 300, 2000])
+def test_copies_do_not_decide(spark, copies):
+    rows = [(i, "en", prose(i)) for i in range(150)]
+    rows += [(10_000 + i, "en", prose(5)) for i in range(copies)]
+    rows += [(20_000 + i, "en", near_copy(prose(7), i)) for i in range(copies)]
+    rows += [(30_000 + i, "en", random_letters(i)) for i in range(3)]
+    got = {r["row"]["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string"), ["doc_id"]).collect()}
+    assert len(got) == len(rows)
+    assert [i for i in (*range(150), *range(10_000, 10_000 + copies), *range(20_000, 20_000 + copies)) if not got[i]] == []
+    assert [i for i in range(30_000, 30_003) if got[i]] == []
