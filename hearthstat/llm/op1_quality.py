@@ -219,10 +219,10 @@ def _merge_answers(asked: list[dict], order: int, low: dict) -> Iterator[tuple]:
 
 
 class _Asked:
-    """The n-grams of a chunk by language, with counts from the documents that are learnt."""
+    """The n-grams of a chunk by model, with counts from the documents that are learnt: language c has the models 2 * c and 2 * c + 1, one a fold."""
 
-    def __init__(self, chunk: packets.Chunk, learnt: np.ndarray, lang: str, order: int, codes: dict[str, int], parts: int):
-        code = np.array([codes[x or ""] for x in chunk.table[lang].to_pylist()], np.int64)
+    def __init__(self, chunk: packets.Chunk, learnt: np.ndarray, folds: np.ndarray, lang: str, order: int, codes: dict[str, int], parts: int):
+        code = 2 * np.array([codes[x or ""] for x in chunk.table[lang].to_pylist()], np.int64) + folds
         self.groups = []
         for c in np.unique(code).tolist():
             rows = np.flatnonzero(code == c)
@@ -237,20 +237,26 @@ class _Asked:
             yield from packets.cut(c, name, keys[by], places, a=counts[by].astype(np.uint32))
 
 
-def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
+def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", order: int = ORDER, apart: bool = False) -> DataFrame:
     """Counts and log probability of every text: ``row`` (a struct of the columns in ``carry``), the base counts, ``base_failed``,
-    ``language``, ``n_bytes``, ``log10_per_byte``: the mean log10 probability of its bytes and its end in its language's model, and ``learnt``:
-    whether the model learns this row; of copies and near copies it learns one."""
+    ``language``, ``n_bytes``, ``log10_per_byte``: the mean log10 probability of its bytes and its end in its language's model; ``learnt``:
+    whether the model learns this row (of copies and near copies it learns one); and ``fold``.
+
+    With ``apart``, a language's texts fall into two folds by their first sketch, with a model each, and a text is scored by the model of the other
+    fold: never by counts of its own, of its copies, or (but for the few whose first sketch differs) of its near copies. Else there is one fold.
+    """
     parts = packets.ranges_for(docs, text_col)
     named = [r[0] for r in docs.select(F.coalesce(F.col(lang), F.lit("")).alias("l")).distinct().limit(LANGUAGES + 1).collect()]
     if len(named) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: {lang} is no language column")
     codes = {x: i for i, x in enumerate(sorted(named))}
-    n = max(len(codes), 1)
+    n = max(2 * len(codes), 1)
+    folds_of = lambda chunk: (sketches(chunk)[0] >> np.uint64(32) & np.uint64(apart)).astype(np.int64)
+    other = lambda step: step.bitwiseXOR(F.lit(int(apart)))
 
     learnt = docs.sparkSession.sparkContext.broadcast(_learnt(docs, id_col, text_col, lang))
 
-    asked = save(packets.requests(docs, id_col, text_col, lambda chunk, name: _Asked(chunk, _flags(learnt.value, name, len(chunk)), lang, order, codes, parts).rows(name)), "op1-asked")
+    asked = save(packets.requests(docs, id_col, text_col, lambda chunk, name: _Asked(chunk, _flags(learnt.value, name, len(chunk)), folds_of(chunk), lang, order, codes, parts).rows(name)), "op1-asked")
     model = save(packets.answers(asked, lambda p: _merge_model(p, order, n, parts)), "op1-model")
     stats = {(r[0] - 2 * n, r[1]): r[2] for r in model.where(F.col("step") >= 2 * n).groupBy("step", "part").agg(F.sum("chunk")).collect()}
     low: dict[int, list] = {c: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for c in range(n)}
@@ -259,25 +265,25 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
         low[r["step"] - n][1].append(packets.expand(bytes(r["a"]), np.int64))
     upper = lambda c: [discounts([stats.get((c, 4 * j + k), 0) for k in range(4)]) for j in range(order - 3)]
     tables = docs.sparkSession.sparkContext.broadcast({c: LowOrders(*add_up(np.concatenate(k), np.concatenate(v)), upper(c)) for c, (k, v) in low.items()})
-    told = packets.answers(asked.unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
+    told = packets.answers(asked.withColumn("step", other(F.col("step"))).unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
 
     def use(chunk, name, found):
         counts = Counts(chunk)
         logs = np.zeros(len(chunk))
-        taught = _flags(learnt.value, name, len(chunk))
-        own = _Asked(chunk, taught, lang, order, codes, parts)
+        taught, folds = _flags(learnt.value, name, len(chunk)), folds_of(chunk)
+        own = _Asked(chunk, taught, folds, lang, order, codes, parts)
         for c, rows, texts, keys, _, by, places in own.groups:
-            values = ngrams.answered(found, c, by, places, np.float32)
+            values = ngrams.answered(found, c ^ int(apart), by, places, np.float32)
             logs[rows] = ngrams.sums_per_text(texts, order, keys, values) / (np.array([len(t) for t in texts]) + 1)
         return pa.table({
             "row": packets.whole_rows(chunk.table.select(carry)),
             "n_words": counts.n_words, "word_chars": counts.word_chars, "n_symbols": counts.n_symbols, "n_dup_lines": counts.n_dup_lines,
             "n_repeat_words": counts.n_repeat_words, "base_failed": counts.failed,
             "language": pa.array([x or "" for x in chunk.table[lang].to_pylist()], pa.string()), "n_bytes": np.diff(chunk.offsets), "log10_per_byte": logs,
-            "learnt": taught,
+            "learnt": taught, "fold": folds,
         })
 
-    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, n_bytes long, log10_per_byte double, learnt boolean"
+    fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, n_bytes long, log10_per_byte double, learnt boolean, fold long"
     schema = T.StructType([T.StructField("row", docs.select(*carry).schema), *T.StructType.fromDDL(fields).fields])
     return packets.meet(packets.packs(docs, id_col, text_col), told, text_col, use, schema)
 
@@ -285,22 +291,25 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
 def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settle: int = SETTLE) -> DataFrame:
     """Adds ``perplexity`` (per byte), ``deviation``, the bounds ``least`` and ``most`` of its language's band, and ``kept``.
 
-    The mean log probability of a short text scatters more. So its distance from the language's median log perplexity is
+    The mean log probability of a short text scatters more. So its distance from the median log perplexity of its language (and fold: what one model scored) is
     taken times sqrt(bytes / (bytes + settle)). A band runs from ``lower`` spreads below to ``upper`` spreads above zero; the spread is half the
     distance from the 16th to the 84th percentile of the deviations. Median and spread are taken over the language's learnt documents, or over its
     base-passing ones where no column says which are learnt.
     """
     log = -F.col("log10_per_byte")
+    model = ["language", "fold"] if "fold" in measured.columns else ["language"]
     passing = measured.where("learnt" if "learnt" in measured.columns else ~F.col("base_failed"))
-    # the tables joined here have at most LANGUAGES rows, which measure() has checked
-    middle = passing.groupBy("language").agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
+    # the tables joined here have at most 2 * LANGUAGES rows, which measure() has checked
+    middle = passing.groupBy(*model).agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
     deviation = (log - F.col("middle")) * F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + settle))
     marks = F.percentile_approx(deviation, F.array(F.lit(0.16), F.lit(0.84)), 10_000)
-    spread = passing.join(F.broadcast(middle), "language").groupBy("language").agg(marks.alias("m"))
-    bands = middle.join(spread, "language").select("language", "middle", (-lower * (F.col("m")[1] - F.col("m")[0]) / 2).alias("least"), (upper * (F.col("m")[1] - F.col("m")[0]) / 2).alias("most"))
-    judged = measured.join(F.broadcast(bands), "language", "left").withColumns({"perplexity": F.pow(F.lit(10.0), log), "deviation": deviation})
+    spread = passing.join(F.broadcast(middle), model).groupBy("language").agg(marks.alias("m"))
+    bands = spread.select("language", (-lower * (F.col("m")[1] - F.col("m")[0]) / 2).alias("least"), (upper * (F.col("m")[1] - F.col("m")[0]) / 2).alias("most"))
+    judged = measured.join(F.broadcast(middle), model, "left").join(F.broadcast(bands), "language", "left")
+    # a fold in which no text is learnt has nothing to be judged by
+    judged = judged.withColumns({"perplexity": F.pow(F.lit(10.0), log), "deviation": F.coalesce(deviation, F.when(~F.col("base_failed"), 0.0))})
     inside = F.coalesce(F.col("deviation").between(F.col("least"), F.col("most")), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "log10_per_byte", "learnt")
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "log10_per_byte", "learnt", "fold")
 
 
 def quality_rules(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", order: int = ORDER, lower: float = LOWER, upper: float = UPPER, settle: int = SETTLE) -> DataFrame:
@@ -309,12 +318,13 @@ def quality_rules(docs: DataFrame, carry: list[str], id_col: str = "doc_id", tex
     The model of each language is counted over its base-passing documents, one of each group of copies and near copies, with no pruning: n-grams of ``order`` bytes
     in sorted arrays by range, the lower orders by continuation counts, modified Kneser-Ney discounts per order. All n-grams
     with the same three bytes before the last are in one range, so a range has every context of three bytes or more in full.
-    Shorter contexts go to every range; there are at most 2 ** 24 counts per language.
+    Shorter contexts go to every range; there are at most 2 ** 24 counts per model.
+    Each language has two models, of one half of its documents each, and a text is scored by the half it is not in.
 
     A null or empty text has no words and fails the base rules. A null language is one of its own. Rows that repeat are
     learnt once and judged alike. Empty tables give empty results; columns outside ``carry`` are not in the result.
     """
-    return judge(save(measure(docs, carry, id_col, text_col, lang, order), "op1-measured"), lower, upper, settle)
+    return judge(save(measure(docs, carry, id_col, text_col, lang, order, apart=True), "op1-measured"), lower, upper, settle)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import base64
 import math
 import os
 import random
@@ -112,3 +113,41 @@ def test_copies_do_not_decide(spark, copies):
     assert len(got) == len(rows)
     assert [i for i in (*range(150), *range(10_000, 10_000 + copies), *range(20_000, 20_000 + copies)) if not got[i]] == []
     assert [i for i in range(30_000, 30_003) if got[i]] == []
+
+
+def wrapped(data, width=60):
+    return "\n".join(data[k : k + width] for k in range(0, len(data), width))
+
+
+def test_noise_in_numbers_goes(spark):
+    rnd = random.Random(11)
+    clean = [(i, "en", prose(i, 200 + i % 300)) for i in range(300)]
+    ascii_ = ["".join(chr(rnd.randint(32, 126)) for _ in range(size)) for size in (1000, 3000) for _ in range(5)]
+    base64_ = [wrapped(base64.b64encode(rnd.randbytes(size)).decode()) for size in (1000, 3000) for _ in range(5)]
+    letters = [random_letters(i, 250) for i in range(10)]
+    words = "der und nicht aber weil wenn schon wieder zwischen gegen \u00fcber f\u00fcr straße häuser bücher jetzt möchte".split()
+    other = [" ".join(rnd.choice(words) + rnd.choice(["", "n", "er", "lich"]) for _ in range(300)) for _ in range(5)]
+    noise = [(1000 + k, "en", text) for k, text in enumerate([*ascii_, *base64_, *letters, *other])]
+    df = spark.createDataFrame(clean + noise, "doc_id long, lang string, text string")
+    got = {r["row"]["doc_id"]: r for r in quality_rules(df, ["doc_id"]).collect()}
+    assert [i for i, _, _ in noise if got[i]["kept"]] == []
+    assert sum(not got[i]["kept"] for i, _, _ in clean) <= 3
+
+
+def test_scored_by_the_other_fold(spark):
+    rows = [(i, "en", prose(i, 40)) for i in range(30)] + [(100 + i, "en", prose(3, 40)) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r["row"]["doc_id"]: r for r in measure(df, ["doc_id"], apart=True).collect()}
+    texts = {i: t for i, _, t in rows}
+    models = [kneser_ney([lowered(t) for i, t in texts.items() if got[i]["learnt"] and got[i]["fold"] == f]) for f in (0, 1)]
+    assert sum(got[i]["learnt"] for i in (3, *range(100, 105))) == 1 and {r["fold"] for r in got.values()} == {0, 1}
+    for i, text in texts.items():
+        data, p = lowered(text), models[1 - got[i]["fold"]]
+        want = sum(math.log10(p(data[k - 4 : k + 1])) for k in range(4, len(data))) / (len(data) - 4)
+        assert got[i]["log10_per_byte"] == pytest.approx(want, rel=1e-5), i
+
+
+def test_fold_without_learnt_texts(spark):
+    rows = [("en", 0, True, -0.6 + 0.001 * i) for i in range(-5, 6)] + [("en", 1, False, -0.2)]
+    df = spark.createDataFrame(rows, "language string, fold long, learnt boolean, log10_per_byte double").selectExpr("*", "false as base_failed", "5000L as n_bytes")
+    assert all(r["kept"] for r in judge(df).collect())
