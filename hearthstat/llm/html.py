@@ -109,15 +109,15 @@ class Page:
 
         self.content = self._content()
 
-    def _content(self) -> list[bool]:
-        """Elements that lie in the page's main content and in nothing unwanted: in articles, else in main, else anywhere but in a header."""
+    def _content(self, removed: list[bool] | None = None) -> list[bool]:
+        """Elements that lie in the page's main content and in nothing unwanted or ``removed``: in articles, else in main, else anywhere but in a header."""
         gone = [False] * len(self.names)
         for wanted in ("article", "main", ""):
             inside = [False] * len(self.names)
             inside[0] = not wanted
             for i in range(1, len(self.names)):
                 parent = self.parents[i]
-                gone[i] = gone[parent] or self.unwanted[i] or (not wanted and self.names[i] == "header")
+                gone[i] = gone[parent] or self.unwanted[i] or bool(removed and removed[i]) or (not wanted and self.names[i] == "header")
                 inside[i] = (inside[parent] or self.names[i] == wanted) and not gone[i]
             if any(inside):
                 break
@@ -137,13 +137,10 @@ class Page:
         return out
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks of the main content, without elements whose subtree is one of ``templates``, joined by an empty line."""
+        """Blocks of the main content of what is left without elements whose subtree is one of ``templates``, joined by an empty line."""
         kept = self.content
         if templates:
-            hashes = self.hashes()
-            kept = list(kept)
-            for i in range(1, len(kept)):
-                kept[i] = kept[i] and hashes[i] not in templates and (kept[self.parents[i]] or not self.content[self.parents[i]])
+            kept = self._content([i > 0 and h in templates for i, h in enumerate(self.hashes())])
         blocks, held = [], []
         for node, text in self.events:
             if text is None:

@@ -15,56 +15,68 @@ from hearthstat.llm.html import BLOCK, Page
 from hearthstat.llm.shared import save
 
 SHARE = 0.5
-LEAST = 16
+LEAST = 3
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+_SECTION = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)/"
 
 
 def _subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """(host, subtree, context): the block elements of each page's main content, with a hash of that content; subtree 0 stands for the page."""
+    """(site, subtree, context): all block elements of each page, with a hash of its main content; subtree 0 stands for the page.
+
+    A page's sites are its host and, where the path has a first folder, that folder of the host (``section``).
+    """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
-            for host, html in zip(batch.column("host").to_pylist(), batch.column(html_col).to_pylist()):
+            for host, section, html in zip(*(batch.column(c).to_pylist() for c in ("host", "section", html_col))):
                 page = Page(html or "")
                 hashes = page.hashes()
                 outer = [i for i in range(len(hashes)) if page.content[i] and not (i and page.content[page.parents[i]])]
                 context = xxhash.xxh3_64_intdigest(" ".join(str(hashes[i]) for i in outer)) >> 1
-                found.add((host, 0, context))
-                found.update((host, hashes[i], context) for i in range(1, len(hashes)) if page.content[i] and page.names[i] in BLOCK and i not in outer)
+                blocks = {0, *(hashes[i] for i in range(1, len(hashes)) if page.names[i] in BLOCK)}
+                found.update((site, block, context) for site in {host, section} for block in blocks)
             rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "subtree", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["site", "subtree", "context"])
 
-    return pages.mapInArrow(run, "host string, subtree long, context long")
+    return pages.mapInArrow(run, "site string, subtree long, context long")
 
 
 def site_templates(pages: DataFrame, html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, templates): per host, the subtrees that stand in at least ``share``, and ``least``, of its different main contents.
+    """(section, templates): the subtrees that stand in at least ``share``, and ``least``, of the different main contents of the section or of its host.
 
-    A subtree counts once per distinct content, so copies of a page do not make its article a template. Counts are partial before they are shuffled.
-    A host has at most 1 / share times the blocks of a page, whatever its number of pages.
+    ``pages`` has ``host`` and ``section``. A subtree counts once per distinct content, so copies of a page do not make its article a template. Counts are
+    partial before they are shuffled. A site has at most 1 / share times the blocks of a page, whatever its number of pages.
     """
-    counted = _subtrees(pages, html_col).distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    counted = _subtrees(pages, html_col).distinct().groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n"))
     counted = save(counted.where(f"n >= {least} or subtree = 0"), "op2-counts")
-    whole = counted.where("subtree = 0").select("host", F.col("n").alias("contents"))
-    recurring = counted.where("subtree <> 0").join(whole, "host").where(F.col("n") >= share * F.col("contents"))
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    whole = counted.where("subtree = 0").select("site", F.col("n").alias("contents"))
+    recurring = counted.where("subtree <> 0").join(whole, "site").where(F.col("n") >= share * F.col("contents"))
+    of_site = save(recurring.groupBy("site").agg(F.collect_list("subtree").alias("own")), "op2-sites")
+    sections = pages.select("host", "section").distinct()
+    above = of_site.select(F.col("site").alias("host"), F.col("own").alias("above"))
+    none = F.array().cast("array<bigint>")
+    both = F.array_union(F.coalesce("own", none), F.coalesce("above", none))
+    joined = sections.join(of_site.withColumnRenamed("site", "section"), "section", "left").join(above, "host", "left")
+    return joined.select("section", both.alias("templates")).where("size(templates) > 0")
 
 
 def extract_text(pages: DataFrame, carry: list[str], url_col: str = "url", html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``row`` (a struct of the columns in ``carry``) and ``text``: the main text of every page, its blocks joined by an empty line.
 
-    The main content is what articles hold, else ``main``, else the page; menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles and reader comments are left out by element name and by words in class, id and role. Then subtrees of the
-    content that recur over the host's contents (``site_templates``) are deleted. Character references are decoded and white space becomes one space.
+    First the block subtrees that recur over the contents of the page's host or of its first folder (``site_templates``) are deleted, wherever on the page they stand.
+    Of what is left, the main content is what articles hold, else ``main``, else the page; menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
+    styles and reader comments are left out by element name and by words in class, id and role. Character references are decoded and white space becomes one space.
 
     A null or empty html gives an empty text; a null url is a host of its own. Rows that repeat stand for themselves. Unclosed and misplaced tags
     are read as browsers do in the common cases. Empty tables give empty results.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.trim(F.col(url_col))), _HOST, 1), F.lit(""))
-    hosted = pages.select(F.struct(*carry).alias("row"), host.alias("host"), F.col(html_col).alias("html"))
-    templates = save(site_templates(hosted.select("host", "html"), "html", share, least), "op2-templates")
-    joined = hosted.join(templates, "host", "left").select("row", "html", "templates")
+    folder = F.coalesce(F.regexp_extract(F.lower(F.trim(F.col(url_col))), _SECTION, 1), F.lit(""))
+    section = F.when(folder == "", host).otherwise(F.concat(host, F.lit("/"), folder))
+    hosted = pages.select(F.struct(*carry).alias("row"), host.alias("host"), section.alias("section"), F.col(html_col).alias("html"))
+    templates = save(site_templates(hosted.select("host", "section", "html"), "html", share, least), "op2-templates")
+    joined = hosted.join(templates, "section", "left").select("row", "html", "templates")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,6 +42,16 @@ def test_recurring_subtrees_go_but_copied_articles_stay(spark):
     assert extract_text(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_small_hosts_pages_without_article_and_folders(spark):
+    rows = [(i, f"http://small.example/{i}", f"<div class=x><p>Home of things</p></div><div><p>text {i}</p></div><div>all rights {'kept' if i else 'left'}</div>") for i in range(3)]
+    rows += [(100 + i, f"http://big.example/{'shop' if i < 6 else 'blog'}/{i}", ("<div>Basket of the shop</div>" if i < 6 else "") + f"<p>page {i}</p>") for i in range(60)]
+    rows += [(200 + i, f"http://two.example/{i}", f"<p>Shared words</p><p>page {i}</p>") for i in range(2)]
+    got = {r["row"]["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert [got[i] for i in range(3)] == ["text 0\n\nall rights left", *(f"text {i}\n\nall rights kept" for i in (1, 2))]
+    assert all(got[100 + i] == f"page {i}" for i in range(60))
+    assert all(got[200 + i] == f"Shared words\n\npage {i}" for i in range(2))
+
+
 def test_query_on_table(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
