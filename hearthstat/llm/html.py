@@ -22,13 +22,19 @@ _ENDS = {
     "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, set()),
 }
 
-#: Elements that are never the article's text, and words in class, id or role that say the same of any element.
+#: Elements that are never the article's text; words of class, id or role that say the same wherever they stand (adverts, notices, comments, forms);
+#: words that say it outside articles and main only; and words that may stand beside these in a name of several words.
 DROPPED = frozenset("head script style template noscript iframe object svg math canvas audio video nav footer aside form button select textarea input dialog menu title".split())
+PLAIN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal"
+    " comment comments commentlist respond disqus replies reader-comments newsletter subscribe paywall login signup".split()
+)
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal alert menu nav navbar navigation"
-    " breadcrumb breadcrumbs sidebar footer masthead contentinfo complementary search comment comments commentlist respond disqus replies reader-comments related share sharing"
-    " social newsletter subscribe paywall login signup widget pagination".split()
+    "banner alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead contentinfo complementary search related share sharing"
+    " social widget pagination".split()
 )
+_BESIDE = HINTS | PLAIN | frozenset("area bar block box container form list overlay panel section slot unit wrap wrapper".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
@@ -39,19 +45,23 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
-def _hinted(attributes: str) -> bool:
-    for _, value in _NAMED.findall(attributes):
-        for word in value.strip("\"'").lower().split():
-            if word in HINTS or any(part in HINTS for part in _PARTS.split(word)):
-                return True
-    return bool(_HIDDEN.search(attributes))
+def _named(word: str, names: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of the names, or is made of one of them and words that may stand beside it."""
+    parts = [part for part in _PARTS.split(word) if part]
+    return word in names or (bool(parts) and parts[0] in names and all(part in _BESIDE for part in parts))
+
+
+def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is unwanted wherever it stands, and whether it is outside articles and main. The id of a heading says nothing."""
+    words = [w for kind, value in _NAMED.findall(attributes) if kind.lower() != "id" or name not in _HEADINGS for w in value.strip("\"'").lower().split()]
+    return bool(_HIDDEN.search(attributes)) or any(_named(w, PLAIN) for w in words), any(_named(w, HINTS) for w in words)
 
 
 class Page:
-    """Elements in page order (``names``, ``parents``, ``unwanted``) and ``events``: (element, text) or (element, None) for a block border."""
+    """Elements in page order (``names``, ``parents``, ``unwanted``, ``hinted``) and ``events``: (element, text) or (element, None) for a block border."""
 
     def __init__(self, text: str):
-        self.names, self.parents, self.unwanted = [""], [0], [False]
+        self.names, self.parents, self.unwanted, self.hinted = [""], [0], [False], [False]
         self.events: list[tuple[int, str | None]] = []
         stack = [0]
 
@@ -90,7 +100,9 @@ class Page:
             self.names.append(name)
             self.parents.append(stack[-1])
             spared = name in ("html", "body", "main") or (name == "article" and not last_open({"article"}, ()))
-            self.unwanted.append(name in DROPPED or (bool(attributes) and not spared and _hinted(attributes)))
+            plain, hinted = _hinted(name, attributes) if attributes and not spared else (False, False)
+            self.unwanted.append(name in DROPPED or plain)
+            self.hinted.append(hinted)
             own = len(self.names) - 1
             if name in BLOCK:
                 self.events.append((own, None))
@@ -110,17 +122,29 @@ class Page:
         self.content = self._content()
 
     def _content(self, removed: list[bool] | None = None) -> list[bool]:
-        """Elements that lie in the page's main content and in nothing unwanted or ``removed``: in articles, else in main, else anywhere but in a header."""
-        gone = [False] * len(self.names)
-        for wanted in ("article", "main", ""):
-            inside = [False] * len(self.names)
-            inside[0] = not wanted
-            for i in range(1, len(self.names)):
-                parent = self.parents[i]
-                gone[i] = gone[parent] or self.unwanted[i] or bool(removed and removed[i]) or (not wanted and self.names[i] == "header")
-                inside[i] = (inside[parent] or self.names[i] == wanted) and not gone[i]
-            if any(inside):
-                break
+        """Elements that lie in the page's main content and in nothing unwanted or ``removed``: in articles, else in main, else anywhere but in a header.
+
+        Where there is a main element, articles are the content only if they hold three quarters of its text.
+        """
+        articles, main, page = (self._inside(wanted, removed) for wanted in ("article", "main", ""))
+        if not any(main):
+            return articles if any(articles) else page
+        lengths = [0] * len(self.names)
+        for node, text in self.events:
+            lengths[node] += len(" ".join(text.split())) if text else 0
+        whole, within = self._inside("main", removed, self.hinted), [i and a and m for i, (a, m) in enumerate(zip(articles, main))]
+        of = lambda inside: sum(n for n, own in zip(lengths, inside) if own)
+        return articles if any(within) and 4 * of(within) >= 3 * of(whole) else main
+
+    def _inside(self, wanted: str, removed: list[bool] | None = None, besides: list[bool] | None = None) -> list[bool]:
+        """Elements that lie in an element of the ``wanted`` name and in nothing unwanted, ``removed`` or ``besides``."""
+        gone, inside = [False] * len(self.names), [False] * len(self.names)
+        inside[0] = not wanted
+        for i in range(1, len(self.names)):
+            parent = self.parents[i]
+            hinted = self.hinted[i] and not (wanted and inside[parent])
+            gone[i] = gone[parent] or self.unwanted[i] or hinted or bool(removed and removed[i] or besides and besides[i]) or (not wanted and self.names[i] == "header")
+            inside[i] = (inside[parent] or self.names[i] == wanted) and not gone[i]
         return inside
 
     def hashes(self) -> list[int]:

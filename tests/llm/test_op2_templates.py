@@ -25,6 +25,19 @@ def test_pages(source, text):
     assert Page(source).text() == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<article><h2 id="related-work">Related work</h2><h2 id="comments">Comments</h2><p>x</p></article>', "Related work\n\nComments\n\nx"),
+    ('<article><section id="social-impact">a</section><div class="share-price">b</div><p class="menu-item-text">c</p><div class="post-widget">d</div></article>', "a\n\nb\n\nc\n\nd"),
+    ('<main><div class="search">a</div><div class="ad-slot">b</div><div class="cookie-banner">c</div><div role="search">d</div></main>', "a\n\nd"),
+    ('<main><h1>T</h1><p>body</p><article>teaser</article></main>', "T\n\nbody\n\nteaser"),
+    ('<main><p>by x</p><article><p>a long article text that is most of it</p></article></main>', "a long article text that is most of it"),
+    ('<div class="sidebar"><article>side</article></div><main><p>body</p></main>', "body"),
+    ('<div class="sidebar">s</div><div class="share-box">s</div><p class="share-price">p</p>', "p"),
+])
+def test_names_are_whole_and_main_text_stays(source, text):
+    assert Page(source).text() == text
+
+
 def test_recurring_subtrees_go_but_copied_articles_stay(spark):
     page = lambda i, extra="": f"<article><h1>t{i}</h1><p>text {i}</p>{extra}</article>"
     box = "<div><p>Read <i>more</i> here</p></div>"
