@@ -65,6 +65,12 @@ def test_small_hosts_pages_without_article_and_folders(spark):
     assert all(got[200 + i] == f"Shared words\n\npage {i}" for i in range(2))
 
 
+def test_near_copies_on_a_small_host_keep_their_text(spark):
+    rows = [(i, f"http://n.example/{i}", f"<article><h1>t</h1><p>the same text</p><p>edit {i}</p></article>") for i in range(4)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert all(r["text"] == f"t\n\nthe same text\n\nedit {r['row']['page_id']}" for r in got)
+
+
 def test_query_on_table(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
