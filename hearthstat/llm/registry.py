@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hearthstat.llm.op1_quality import op1_quality_rules
 from hearthstat.llm.op10_near_duplicates import OP10_SQL, op10_near_duplicates
+from hearthstat.llm.op12_conversations import op12_conversation_repair
 from hearthstat.llm.op2_templates import op2_site_templates
 from hearthstat.llm.op3_bpe import op3_bpe
 from hearthstat.llm.op4_mixing import op4_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_va_search": op9_va_search,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 TWINS: dict[str, str] = {
