@@ -5,6 +5,7 @@ from __future__ import annotations
 from hearthstat.llm.op1_quality import op1_quality_rules
 from hearthstat.llm.op10_near_duplicates import OP10_SQL, op10_near_duplicates
 from hearthstat.llm.op12_conversations import op12_conversation_repair
+from hearthstat.llm.op13_vector_codes import OP13_SQL, op13_vector_codes
 from hearthstat.llm.op2_templates import op2_site_templates
 from hearthstat.llm.op3_bpe import op3_bpe
 from hearthstat.llm.op4_mixing import op4_mixing
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_va_search": op9_va_search,
     "op10_near_duplicates": op10_near_duplicates,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 TWINS: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op10_near_duplicates": OP10_SQL,
     "op9_va_search": OP9_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
