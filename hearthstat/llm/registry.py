@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hearthstat.llm.op1_quality import op1_quality_rules
 from hearthstat.llm.op10_near_duplicates import OP10_SQL, op10_near_duplicates
+from hearthstat.llm.op11_embeddings import OP11_SQL, op11_embedding_groups
 from hearthstat.llm.op12_conversations import op12_conversation_repair
 from hearthstat.llm.op13_vector_codes import OP13_SQL, op13_vector_codes
 from hearthstat.llm.op2_templates import op2_site_templates
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_va_search": op9_va_search,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_embedding_groups": op11_embedding_groups,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -34,5 +36,6 @@ TWINS: dict[str, str] = {
     "op7_substring_dedup": OP7_SQL,
     "op10_near_duplicates": OP10_SQL,
     "op9_va_search": OP9_SQL,
+    "op11_embedding_groups": OP11_SQL,
     "op13_vector_codes": OP13_SQL,
 }
