@@ -1,14 +1,15 @@
 """Least-squares curve fits for every group of a table at once.
 
 Points are first reduced to one row per (group, x): count, mean and inner variation of y, which is all that
-a least-squares fit can see. Each pass of the damped Newton solver is one grouped aggregation of gradient
-and curvature sums over those rows for all open groups; the small linear system is solved as column
-arithmetic and the parameters stay rows of a DataFrame. Lineage is cut every few passes with a reliable
-checkpoint.
+a least-squares fit can see. A group whose x are few (calendar periods, say) then becomes one row with its points as an array,
+and the damped Newton solver runs inside an expression over that row: all groups, all passes, one aggregation. For a group with more x than
+one row should hold, each pass is a grouped aggregation of gradient and curvature sums; lineage is cut every few passes with a reliable
+checkpoint. Both forms are built from the same expressions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -19,20 +20,22 @@ from hearthstat.operators.joins import salted_join
 from hearthstat.session import cut_lineage
 
 _EPSILON = 1e-4
-_PART_ROWS = 50_000
+_PART_ROWS = 4_096
 
 
 @dataclass(frozen=True)
 class Solver:
     """Limits of the solver. ``tolerance`` is the largest relative parameter step at the end.
 
-    Lineage is cut, and the open groups are counted, after ``passes_per_check`` passes, then after twice as many, and so on.
+    A group of at most ``row_points`` distinct x is solved within one row. Of larger ones lineage is cut, and the open ones are counted, every
+    ``passes_per_check`` passes.
     """
 
     passes: int = 120
     passes_per_check: int = 4
     tolerance: float = 1e-9
     first_damping: float = 1e-3
+    row_points: int = _PART_ROWS
 
 
 def _determinant(m: Sequence[Sequence[str]]) -> str:
@@ -75,7 +78,7 @@ def logit_line(points: DataFrame, by: Sequence[str], x: str, y: str, asymptote:
 
 
 def _scaled_points(
-    points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float | str | None
+    points: DataFrame, by: Sequence[str], x: str, y: str, asymptote: float | str | None, part_rows: int
 ) -> DataFrame:
     """One row per (group, x) with x moved to [-1, 1] and y divided by its scale; scales ride along.
 
@@ -96,7 +99,7 @@ def _scaled_points(
         F.expr("(min(_x) + max(_x)) / 2").alias("_center"),
         F.expr("(max(_x) - min(_x)) / 2").alias("_half"),
         F.max("_y" if asymptote is None else "_known").alias("_top"),
-        F.expr(f"CAST(ceil(count(*) / {_PART_ROWS}) AS INT)").alias("_parts"),
+        F.expr(f"CAST(ceil(count(*) / {part_rows}) AS INT)").alias("_parts"),
     )
     return salted_join(per_x, per_group, by).selectExpr(
         *by,
@@ -139,8 +142,9 @@ class _State:
         return [[f"{prefix}{min(i, j)}{max(i, j)}" for j in range(size)] for i in range(size)]
 
 
-def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: Solver) -> DataFrame:
-    """Start from the weighted logit line; a free height starts a little above the data."""
+def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: Solver, listed: bool = False) -> DataFrame:
+    """Start from the weighted logit line; a free height starts a little above the data. ``listed`` adds the points as an array."""
+    points = [F.sort_array(F.collect_list(F.struct("_u", "_n", "_v"))).alias("_list")] if listed else []
     height = 1.1 if state.free else 1.0
     weighted = scaled.withColumn("_share", F.expr(_inside_unit(f"_v / {height}D"))).withColumns({
         "_z": F.expr("ln(_share / (1 - _share))"),
@@ -155,6 +159,7 @@ def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: So
         F.sum("_n").alias("_points"),
         F.sum("_inner").alias("_inner"),
         *[F.max(name).alias(name) for name in ("_center", "_half", "_top", "_parts")],
+        *points,
     )
     slope, shift = solve_linear([["_m2", "_m1"], ["_m1", "_m0"]], ["_b1", "_b0"])
     start = {"slope": slope, "shift": shift, "height": f"{height}D"}
@@ -168,72 +173,128 @@ def _first_state(scaled: DataFrame, by: Sequence[str], state: _State, solver: So
         f"{solver.first_damping}D AS _damping",
         "0 AS _passes",
         f"{slope} IS NULL AS _done",
+        *(["_list"] if listed else []),
     )
 
 
-def _pass_text(by: Sequence[str], state: _State, solver: Solver) -> str:
-    """SQL of one pass over ``{scaled}`` and ``{current}``: evaluate the trial parameters of every group, keep or
-    refuse them, propose the next ones.
+class _Pass:
+    """Expressions of one pass, in stages: each names columns made from those of the stage before.
+
+    Per point: ``curve`` and ``slopes``, then ``sums`` over the points. Per group: evaluate the trial parameters, keep or refuse
+    them, propose the next ones.
     """
-    size, pairs, params = state.size, state.pairs, state.params
 
-    def names(*parts: Sequence[str]) -> str:
-        return ",\n    ".join(text for part in parts for text in part)
+    def __init__(self, state: _State, solver: Solver):
+        size, pairs, params = state.size, state.pairs, state.params
+        # The curve height * s(z) with z = slope * u + shift, and its first and second derivatives.
+        height = "_t_height" if state.free else "1D"
+        first = [f"{height} * _s1 * _u", f"{height} * _s1", "_s"][:size]
+        second = {
+            (0, 0): f"{height} * _s2 * _u * _u", (0, 1): f"{height} * _s2 * _u", (1, 1): f"{height} * _s2",
+            (0, 2): "_s1 * _u", (1, 2): "_s1", (2, 2): "0D",
+        }
+        self.curve = {"_s": "1 / (1 + exp(-(_t_slope * _u + _t_shift)))"}
+        self.slopes = {"_s1": "_s * (1 - _s)", "_s2": "_s * (1 - _s) * (1 - 2 * _s)", "_r": f"_v - {height} * _s"}
+        self.sums = {
+            "_new_sse": "_n * _r * _r",
+            **{f"_new_a_{i}{j}": f"_n * {first[i]} * {first[j]}" for i, j in pairs},
+            **{f"_new_c_{i}{j}": f"_n * _r * {second[i, j]}" for i, j in pairs},
+            **{f"_new_g_{i}": f"_n * {first[i]} * _r" for i in range(size)},
+        }
+        better = "coalesce(_new_sse <= _sse, false) AND NOT _done"
+        kept = {
+            **{f"_tried_{p}": f"_t_{p}" for p in params},
+            **{f"_p_{p}": f"if({better}, _t_{p}, _p_{p})" for p in params},
+            **{name: f"if({better}, _new{name}, {name})" for name in state.sums},
+            "_sse": f"if({better}, _new_sse, _sse)",
+            "_damping": f"if({better}, greatest(_damping / 20, 1e-12D), least(_damping * 5, 1e12D))",
+            "_passes": "_passes + if(_done, 0, 1)",
+            "_done": "_done",
+        }
+        # Newton matrix where it is positive definite, else its Gauss-Newton part alone; damped on the diagonal.
+        newton = {f"_f_{i}{j}": f"_a_{i}{j} - _c_{i}{j}" for i, j in pairs}
+        minors = ["_f_00", _determinant(state.matrix("_f_", 2))] + ([_determinant(state.matrix("_f_"))] if state.free else [])
+        judged = {"_convex": " AND ".join(f"{minor} > 0" for minor in minors)}
+        damped = {
+            f"_h_{i}{j}": f"if(_convex, _f_{i}{j}, _a_{i}{j})" + (f" + _damping * _a_{i}{j}" if i == j else "")
+            for i, j in pairs
+        }
+        step = solve_linear(state.matrix("_h_"), [f"_g_{i}" for i in range(size)])
+        stepped = {f"_d_{p}": step[i] for i, p in enumerate(params)}
+        movement = f"greatest({', '.join(f'abs(_d_{p}) / (abs(_p_{p}) + 1e-3D)' for p in params)})"
+        proposed = {
+            **{f"_p_{p}": f"_p_{p}" for p in params},
+            **{f"_t_{p}": f"if(_done, _tried_{p}, _p_{p} + _d_{p})" for p in params},
+            **{name: name for name in (*state.sums, *state.control)},
+            "_done": f"_done OR coalesce({movement} < {solver.tolerance}D, true)",
+        }
+        #: Stages of a group's row; those marked True add columns, the others replace them.
+        self.stages = [(kept, False), (newton, True), (judged, True), (damped, True), (stepped, True), (proposed, False)]
+
+
+def _pass_text(by: Sequence[str], state: _State, one: _Pass) -> str:
+    """SQL of one pass over ``{scaled}`` and ``{current}`` for all groups, with the points of a group in many rows."""
+
+    def names(columns: dict[str, str]) -> str:
+        return ", ".join(f"{text} AS {name}" for name, text in columns.items())
 
     key = [f"`{name}`" for name in by]
     on_key = ", ".join([*key, "_part"])
-
-    # The curve height * s(z) with z = slope * u + shift, and its first and second derivatives.
-    height = "_t_height" if state.free else "1D"
-    first = [f"{height} * _s1 * _u", f"{height} * _s1", "_s"][:size]
-    second = {
-        (0, 0): f"{height} * _s2 * _u * _u", (0, 1): f"{height} * _s2 * _u", (1, 1): f"{height} * _s2",
-        (0, 2): "_s1 * _u", (1, 2): "_s1", (2, 2): "0D",
-    }
-    sums = [
-        "sum(_n * _r * _r) AS _new_sse",
-        *[f"sum(_n * {first[i]} * {first[j]}) AS _new_a_{i}{j}" for i, j in pairs],
-        *[f"sum(_n * _r * {second[i, j]}) AS _new_c_{i}{j}" for i, j in pairs],
-        *[f"sum(_n * {first[i]} * _r) AS _new_g_{i}" for i in range(size)],
-        *[f"max({name}) AS {name}" for name in (*state.carried, "_done")],
-    ]
-    better = "coalesce(_new_sse <= _sse, false) AND NOT _done"
-    kept = [
-        *[f"_t_{p} AS _tried_{p}" for p in params],
-        *[f"if({better}, _t_{p}, _p_{p}) AS _p_{p}" for p in params],
-        *[f"if({better}, _new{name}, {name}) AS {name}" for name in state.sums],
-        f"if({better}, _new_sse, _sse) AS _sse",
-        f"if({better}, greatest(_damping / 20, 1e-12D), least(_damping * 5, 1e12D)) AS _damping",
-        "_passes + if(_done, 0, 1) AS _passes",
-        "_done",
-    ]
-    # Newton matrix where it is positive definite, else its Gauss-Newton part alone; damped on the diagonal.
-    newton = [f"_a_{i}{j} - _c_{i}{j} AS _f_{i}{j}" for i, j in pairs]
-    minors = ["_f_00", _determinant(state.matrix("_f_", 2))] + ([_determinant(state.matrix("_f_"))] if state.free else [])
-    convex = " AND ".join(f"{minor} > 0" for minor in minors)
-    damped = [
-        f"if(_convex, _f_{i}{j}, _a_{i}{j})" + (f" + _damping * _a_{i}{j}" if i == j else "") + f" AS _h_{i}{j}"
-        for i, j in pairs
-    ]
-    step = solve_linear(state.matrix("_h_"), [f"_g_{i}" for i in range(size)])
-    movement = f"greatest({', '.join(f'abs(_d_{p}) / (abs(_p_{p}) + 1e-3D)' for p in params)})"
-    proposed = [
-        *[f"_p_{p}" for p in params],
-        *[f"if(_done, _tried_{p}, _p_{p} + _d_{p}) AS _t_{p}" for p in params],
-        f"_done OR coalesce({movement} < {solver.tolerance}D, true) AS _done",
-    ]
-    return f"""
+    ride = ", ".join([*key, *state.scales])
+    sums = names({name: f"sum({text})" for name, text in one.sums.items()} | {name: f"max({name})" for name in (*state.carried, "_done")})
+    text = f"""
 WITH parts AS (SELECT *, explode(sequence(0, _parts - 1)) AS _part FROM {{current}}),
 points AS (SELECT {on_key}, _n, _u, _v FROM {{scaled}}),
-curve AS (SELECT *, 1 / (1 + exp(-(_t_slope * _u + _t_shift))) AS _s FROM points JOIN parts USING ({on_key})),
-slopes AS (SELECT *, _s * (1 - _s) AS _s1, _s * (1 - _s) * (1 - 2 * _s) AS _s2, _v - {height} * _s AS _r FROM curve),
-fresh AS (SELECT {names(key, sums)} FROM slopes GROUP BY {', '.join(key)}),
-kept AS (SELECT {names(key, state.scales, kept)} FROM fresh),
-newton AS (SELECT *, {names(newton)} FROM kept),
-judged AS (SELECT *, {convex} AS _convex FROM newton),
-damped AS (SELECT *, {names(damped)} FROM judged),
-stepped AS (SELECT *, {names([f"{step[i]} AS _d_{p}" for i, p in enumerate(params)])} FROM damped)
-SELECT {names(key, proposed, state.sums, state.scales, state.control)} FROM stepped"""
+curve AS (SELECT *, {names(one.curve)} FROM points JOIN parts USING ({on_key})),
+slopes AS (SELECT *, {names(one.slopes)} FROM curve),
+stage0 AS (SELECT {', '.join(key)}, {sums} FROM slopes GROUP BY {', '.join(key)})"""
+    for i, (columns, adds) in enumerate(one.stages):
+        text += f",\nstage{i + 1} AS (SELECT {'*' if adds else ride}, {names(columns)} FROM stage{i})"
+    return f"{text}\nSELECT * FROM stage{len(one.stages)}"
+
+
+def _bound(text: str, owners: Sequence[tuple[str, set[str] | None]]) -> str:
+    """The expression with each name read from the first variable that owns it; an owner of None has all names."""
+
+    def owned(m: re.Match) -> str:
+        return next(f"{variable}.{m[0]}" for variable, names in owners if names is None or m[0] in names)
+
+    return re.sub(r"\b_[a-z]\w*", owned, text)
+
+
+def _struct(columns: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{name}', {text}" for name, text in columns.items())})"
+
+
+def _solved_text(state: _State, one: _Pass, passes: int) -> str:
+    """Expression of the state after all passes, over a row with its first state in columns and its points in ``_list``."""
+    point = ["_n", "_u", "_v"]
+    on_curve = [*point, *one.curve]
+    on_slopes = [*on_curve, *one.slopes]
+
+    def per_point(variable: str, old: list[str], new: dict[str, str]) -> str:
+        owners = [(variable, set(old)), ("s", None)]
+        return _struct({name: f"{variable}.{name}" for name in old} | {name: _bound(text, owners) for name, text in new.items()})
+
+    curve = f"transform(_list, p -> {per_point('p', point, one.curve)})"
+    slopes = f"transform({curve}, q -> {per_point('q', on_curve, one.slopes)})"
+    zero = _struct(dict.fromkeys(one.sums, "0D"))
+    added = _struct({name: f"t.{name} + {_bound(text, [('r', set(on_slopes)), ('s', None)])}" for name, text in one.sums.items()})
+    fresh = f"aggregate({slopes}, {zero}, (t, r) -> {added})"
+
+    # each stage binds the row of the stage before to a variable: a one-element array stands for the binding
+    held = [name for name in (*state.carried, "_done") if name not in state.scales]
+    row = _struct({name: f"f.{name}" for name in one.sums} | {name: f"s.{name}" for name in held})
+    body = f"element_at(transform(array({fresh}), f -> {row}), 1)"
+    names = [*one.sums, *held]
+    for i, (columns, adds) in enumerate(one.stages):
+        variable = f"v{i}"
+        made = {name: _bound(text, [(variable, None)]) for name, text in columns.items()}
+        if adds:
+            made = {name: f"{variable}.{name}" for name in names} | made
+        body, names = f"element_at(transform(array({body}), {variable} -> {_struct(made)}), 1)", list(made)
+    start = _struct({name: name for name in names})
+    return f"aggregate(sequence(1, {passes}), {start}, (s, i) -> if(s._done, s, {body}))"
 
 
 def fit_logistic(
@@ -255,19 +316,34 @@ def fit_logistic(
     if not by:
         points, by = points.withColumn("series", F.lit("all")), ["series"]
     state = _State(free=asymptote is None)
-    scaled = cut_lineage(_scaled_points(points, by, x, y, asymptote))
+    one = _Pass(state, solver)
+    scaled = cut_lineage(_scaled_points(points, by, x, y, asymptote, solver.row_points))
+    solved = _within_rows(scaled.where("_parts = 1"), by, state, one, solver)
+    large = scaled.where("_parts > 1")
+    if not large.isEmpty():
+        solved = solved.unionByName(_over_rows(large, by, state, one, solver))
+    return _readable(solved, by, state)
+
+
+def _within_rows(scaled: DataFrame, by: Sequence[str], state: _State, one: _Pass, solver: Solver) -> DataFrame:
+    """Last state of groups of one part: a group is a row, and an expression runs all passes over it."""
+    first = _first_state(scaled, by, state, solver, listed=True)
+    solved = first.withColumn("_solved", F.expr(_solved_text(state, one, solver.passes)))
+    return solved.select(*by, *state.scales, "_solved.*")
+
+
+def _over_rows(scaled: DataFrame, by: Sequence[str], state: _State, one: _Pass, solver: Solver) -> DataFrame:
+    """Last state of groups of several parts: a pass is an aggregation over their rows. Finished groups ride along unchanged."""
     current = _first_state(scaled, by, state, solver)
-    one_pass = _pass_text(by, state, solver)
-    used, interval = 0, solver.passes_per_check
-    while used < solver.passes:  # finished groups ride along unchanged
-        batch = min(interval, solver.passes - used)
+    text, used = _pass_text(by, state, one), 0
+    while used < solver.passes:
+        batch = min(solver.passes_per_check, solver.passes - used)
         for _ in range(batch):
-            current = scaled.sparkSession.sql(one_pass, scaled=scaled, current=current)
-        current = cut_lineage(current)
-        used, interval = used + batch, 2 * interval
+            current = scaled.sparkSession.sql(text, scaled=scaled, current=current)
+        current, used = cut_lineage(current), used + batch
         if current.where("NOT _done").isEmpty():
             break
-    return _readable(current, by, state)
+    return current
 
 
 def _readable(current: DataFrame, by: Sequence[str], state: _State) -> DataFrame:
