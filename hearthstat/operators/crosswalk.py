@@ -2,8 +2,8 @@
 
 ``sum(w * f)`` is linear, so totals are made per source area first and only area rows meet the crosswalk;
 household rows are never multiplied by their target areas. No join here carries a broadcast hint: Catalyst
-and adaptive execution choose by measured size. Where one area may hold a large part of the links the join is
-salted, so the links of a hot area are spread over several tasks.
+and adaptive execution choose by measured size. Where one area may hold a large part of the links its key is counted and, if hot,
+salted, so its links are spread over several tasks.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def apply_share(
     measures: Mapping[str, str],
 ) -> DataFrame:
     """Area totals with ``new = old * share`` columns; an area without a share gets NULL there."""
-    joined = totals.join(_renamed(one_per_key(shares, [source], share), source, area), area, "left")
+    joined = totals.join(_renamed(one_per_key(shares.select(source, share), [source]), source, area), area, "left")
     return joined.withColumns({new: F.col(old) * F.col(share) for new, old in measures.items()})
 
 
@@ -183,22 +183,24 @@ def allocate_all(
 ) -> DataFrame:
     """:func:`allocate` and :func:`redistribute` in one pass over the totals and the links.
 
-    Areas without a link meet in one row per region, without target; a window over the rows of a region, one per target,
-    spreads it over the others in proportion to ``basis``. It stays, under the label, where no target carries any.
+    Areas without a link meet in one row per region; a window over the rows of a region, one per target, spreads it over the others
+    in proportion to ``basis``. It stays, under the label, where no target carries any. A link counts as one even if its factor is NULL, which moves
+    nothing, or its target is NULL, which is a target of its own.
     """
-    part = F.coalesce(F.col(factor).cast("double"), F.lit(1.0))
-    summed = totals.join(_renamed(links, source, area), area, "left").groupBy(region, target).agg(
+    linked = F.col("_linked").isNotNull()
+    part = F.when(linked, F.col(factor).cast("double")).otherwise(1.0)
+    summed = totals.join(_renamed(links, source, area).withColumn("_linked", F.lit(True)), area, "left").groupBy(region, target, linked.alias("_allocated")).agg(
         *[F.sum(F.col(name) * part).alias(name) for name in measures]
     )
     rows = Window.partitionBy(region)
-    allocated = F.col(target).isNotNull()
+    allocated = F.col("_allocated")
     base = F.coalesce(F.sum(F.when(allocated, F.col(basis))).over(rows), F.lit(0.0))
     rest = {name: F.sum(F.when(~allocated, F.col(name))).over(rows) for name in measures}
     spread = summed.withColumns({"_base": base, **{f"_rest_{name}": value for name, value in rest.items()}})
     share = F.coalesce(F.col(basis), F.lit(0.0)) / F.nullif(F.col("_base"), F.lit(0.0))
     return spread.where(allocated | (F.col("_base") <= 0)).select(
         region,
-        F.coalesce(target, F.lit(unallocated_label)).alias(target),
+        F.when(allocated, F.col(target)).otherwise(F.lit(unallocated_label)).alias(target),
         *[
             F.when(allocated, F.col(name) + F.coalesce(F.col(f"_rest_{name}") * share, F.lit(0.0)))
             .otherwise(F.coalesce(F.col(name), F.lit(0.0))).alias(name)
@@ -216,15 +218,15 @@ def entity_means(
 
 
 def attach_means(allocated: DataFrame, means: DataFrame, area: str) -> DataFrame:
-    """Allocated weights beside the mean of their area; areas known on one side only drop out."""
-    return allocated.join(means, area, "inner")
+    """Allocated weights beside the mean of their area; areas known on one side only drop out, and an area with two means fails the job."""
+    return allocated.join(one_per_key(means, [area]), area, "inner")
 
 
 def share_times_total(
     shares: DataFrame, totals: DataFrame, on: str, share: str, total: str, product_as: str
 ) -> DataFrame:
-    """A share known per area times a total known per area."""
-    return shares.join(totals, on, "inner").withColumn(product_as, F.col(share) * F.col(total))
+    """A share known per area times a total known per area; an area that stands twice on either side fails the job."""
+    return one_per_key(shares, [on]).join(one_per_key(totals, [on]), on, "inner").withColumn(product_as, F.col(share) * F.col(total))
 
 
 def decorate(
@@ -236,8 +238,8 @@ def decorate(
     code_as: str = "code",
     rates: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Area totals with the columns of a name table, a code from a fixed map, and rate columns."""
-    out = totals.join(names, on, "left")
+    """Area totals with the columns of a name table, a code from a fixed map, and rate columns. An area with two names fails the job."""
+    out = totals.join(one_per_key(names, [on]), on, "left")
     if codes is not None:
         out = out.withColumn(code_as, lookup(name, codes))
     return out.withColumns({new: ratio(top, bottom) for new, (top, bottom) in (rates or {}).items()})

@@ -1,8 +1,7 @@
 """Weighted histograms, cumulative distributions and threshold classes.
 
-Rows are summed per bin (per distinct value first, where the range has to be found), with map-side combine;
-after that a group has at most ``bins`` rows, which is the only size the collected arrays and the
-running-total window ever see.
+Rows are summed per bin with map-side combine, where the range has to be found after a first scan for it; after that a group has at
+most ``bins`` rows, which is the only size the collected arrays and the running-total window ever see.
 """
 
 from __future__ import annotations
@@ -43,15 +42,16 @@ def stack_populations(df: DataFrame, populations: Mapping[str, Population]) -> D
     return df.select(F.inline(F.array_compact(F.array(*entries))))
 
 
-def _by_value(df: DataFrame, x: str, weight: str, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by, _known(x).alias("_x")).agg(F.sum(weight).alias("_w"))
-
-
 def _known(x: str) -> Column:
     """The value, NULL where it is NaN."""
     return F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
 
 
+def _finite(x: str) -> Column:
+    """The value, NULL where it is NaN or infinite: an infinite value is outside every range that is found in the data."""
+    return F.when(F.abs(_known(x)) < float("inf"), F.col(x).cast("double"))
+
+
 def _bin_index(x: Column, lo: Column, width: Column, bins: Column) -> Column:
     """Left-closed bin of a value at or above ``lo``, corrected against the bin edges; the last bin is closed."""
     rough = F.floor((x - lo) / width)
@@ -131,24 +131,29 @@ def weighted_hist_auto(
 ) -> DataFrame:
     """Weight per bin for equal bins between the smallest and largest value of each group.
 
-    A group with a single value gets a range of one around it; one without a value has bins without edges. NaN counts as
-    NULL. ``groups`` lists the values of a single ``by`` column, as the names given to :func:`stack_populations`: rows of other groups
-    are left out, and the range table, which has at most as many rows as the list, is broadcast. Columns as in :func:`weighted_hist`.
+    A group with a single value gets a range of one around it; one without a value has bins without edges. NaN counts as NULL;
+    infinite values are in no bin. Columns as in :func:`weighted_hist`.
+
+    Two scans: one finds the range, the next adds up weights per bin, so a task sends at most ``bins`` rows per group. ``groups`` lists the values
+    of a single ``by`` column, as the names given to :func:`stack_populations`: rows of other groups are left out, and the range table, which has at
+    most as many rows as the list, is broadcast. With ``by`` alone the number of groups is not known; there, rows are added up per distinct value
+    before they meet their range.
     """
     if groups and len(by) != 1:
         raise ValueError("groups are the values of one column")
-    values = _by_value(df.where(F.col(by[0]).isin(*groups)) if groups else df, x, weight, by)
-    ranges = values.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    if groups:
+        df = df.where(F.col(by[0]).isin(*groups))
+    values = df.select(*by, _finite(x).alias("_x"), F.col(weight).alias("_w"))
+    # both scans read the weight, so that Spark finds the same exchange below them and makes it once
+    found = values.groupBy(*by).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count("_w").alias("_weights"))
+    ranges = found.where("_weights >= 0").drop("_weights")
     single = F.col("_min") == F.col("_max")
     if groups:
-        ranged = salted_join(values, F.broadcast(ranges), by, salts=1, null_safe=True)
+        ranged = values.join(F.broadcast(ranges), list(by))
     elif by:
-        ranged = salted_join(values, ranges, by, null_safe=True)
+        ranged = salted_join(values.groupBy(*by, "_x").agg(F.sum("_w").alias("_w")), ranges, by, null_safe=True)
     else:
-        ranged = values.withColumns({
-            "_min": ranges.select("_min").scalar(),
-            "_max": ranges.select("_max").scalar(),
-        })
+        ranged = values.withColumns({name: ranges.select(name).scalar() for name in ("_min", "_max")})
     low = F.when(single, F.col("_min") - 0.5).otherwise(F.col("_min"))
     high = F.when(single, F.col("_max") + 0.5).otherwise(F.col("_max"))
     binned = (

@@ -16,7 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthstat.operators.joins import salted_join
 from hearthstat.session import cut_lineage
 
 _EPSILON = 1e-4
@@ -101,7 +100,8 @@ def _scaled_points(
         F.max("_y" if asymptote is None else "_known").alias("_top"),
         F.expr(f"CAST(ceil(count(*) / {part_rows}) AS INT)").alias("_parts"),
     )
-    return salted_join(per_x, per_group, by).selectExpr(
+    # one row per group on the right; adaptive execution splits a group that is too large for a task
+    return per_x.join(per_group, list(by)).selectExpr(
         *by,
         "_parts",
         "CAST(pmod(xxhash64(_x), _parts) AS INT) AS _part",

@@ -6,9 +6,10 @@ term)``, both sides can be aggregated on their own key instead:
 
 * without carried columns, household and person rows meet in a single aggregation (one shuffle, no join,
   no sort; partial aggregation folds a hot key before the shuffle);
-* with carried columns (a state or area next to the key), persons are aggregated first and joined 1:1.
+* with carried columns (a state or area next to the key), persons are aggregated first and joined 1:1. This is also the form for tables
+  that are stored in buckets by the key: there, neither side is shuffled.
 
-All condition results of a row travel in one 64-bit mask that is combined with ``bit_or``.
+All condition results of a row travel in one 64-bit mask that is combined with ``bit_or``; beyond 61 conditions, in several.
 """
 
 from __future__ import annotations
@@ -69,15 +70,40 @@ class MemberValue:
         return functions[self.how](name).alias(name)
 
 
-def _mask(seen: int, terms: Mapping[str, tuple[int, Column]]) -> Column:
-    out = F.expr(f"{seen}L")
-    for bit, condition in terms.values():
-        out = out.bitwiseOR(F.when(condition, F.expr(f"{1 << bit}L")).otherwise(F.expr("0L")))
-    return out
+class _Terms:
+    """Places of conditions in the masks, and the masks of a row."""
 
+    def __init__(self) -> None:
+        self.next = _FIRST_FREE_BIT
+        self.places: dict[str, tuple[int, int, Column]] = {}
 
-def _is_set(mask: int) -> str:
-    return f"({_BITS} & {mask}L) != 0"
+    def add(self, name: str, condition: Column | None) -> None:
+        if condition is not None:
+            self.places[name] = (*divmod(self.next, _MASK_BITS), condition)
+            self.next += 1
+
+    @property
+    def words(self) -> list[str]:
+        return [f"{_BITS}_{word}" for word in range(-(-self.next // _MASK_BITS))]
+
+    def masks(self, seen: int, side: str) -> list[Column]:
+        out = [F.expr(f"{seen if word == 0 else 0}L") for word in range(len(self.words))]
+        for name, (word, bit, condition) in self.places.items():
+            if name.startswith(side):
+                out[word] = out[word].bitwiseOR(F.when(condition, F.expr(f"{1 << bit}L")).otherwise(F.expr("0L")))
+        return [mask.alias(name) for mask, name in zip(out, self.words)]
+
+    def met(self, names: Sequence[str], need_all: bool) -> str:
+        masks: dict[int, int] = {}
+        tests = []
+        for word, bit, _ in (self.places[name] for name in names if name in self.places):
+            masks[word] = masks.get(word, 0) | 1 << bit
+            tests.append(_is_set(1 << bit, word))
+        return " AND ".join(tests) if need_all else " OR ".join(_is_set(mask, word) for word, mask in masks.items())
+
+
+def _is_set(mask: int, word: int = 0) -> str:
+    return f"({_BITS}_{word} & {mask}L) != 0"
 
 
 def rollup_members(
@@ -91,6 +117,7 @@ def rollup_members(
     require_member: bool = False,
     unique_key: bool = False,
     weight_as: str = "hh_weight",
+    bucketed: bool = False,
 ) -> DataFrame:
     """One row per household: key, carried columns, weight, 0/1 flags, member aggregates.
 
@@ -98,51 +125,42 @@ def rollup_members(
     ``require_member`` is set. Household rows that share key and carried columns become one row with the
     largest weight; NULL equals NULL there, so all rows whose key is NULL are one household without persons.
     ``unique_key=True`` promises that no two rows share a key, NULL keys included, and saves a shuffle when columns
-    are carried; :func:`key_profile` checks both (``repeated_keys`` is 0, ``null_key_rows`` at most 1).
+    are carried; :func:`key_profile` checks both (``repeated_keys`` is 0, ``null_key_rows`` at most 1). ``bucketed=True`` says that both tables are
+    stored in as many buckets by the key (:func:`hearthstat.sources.io.write_bucketed`): each side is then aggregated where it lies, and they meet without a shuffle.
     """
     key, carry, values = list(key), list(carry), dict(values or {})
-    household_terms: dict[str, tuple[int, Column]] = {}
-    member_terms: dict[str, tuple[int, Column]] = {}
-    next_bit = _FIRST_FREE_BIT
+    terms = _Terms()
     for name, spec in flags.items():
-        for terms, condition in ((household_terms, spec.household), (member_terms, spec.member)):
-            if condition is not None:
-                terms[name] = (next_bit, condition)
-                next_bit += 1
-    if next_bit > _MASK_BITS:
-        raise ValueError(f"{next_bit} conditions do not fit one roll-up; split the flags over two")
-
-    household_rows = households.select(
-        *key, *carry, F.col(weight).alias(_WEIGHT), _mask(_HOUSEHOLD_SEEN, household_terms).alias(_BITS)
-    )
+        terms.add(f"household {name}", spec.household)
+        terms.add(f"member {name}", spec.member)
+    words = terms.words
+    any_bits = [F.bit_or(word).alias(word) for word in words]
+
+    household_rows = households.select(*key, *carry, F.col(weight).alias(_WEIGHT), *terms.masks(_HOUSEHOLD_SEEN, "household "))
     member_columns = [spec.value.alias(name) for name, spec in values.items()]
     member_aggregates = [spec.aggregate(name) for name, spec in values.items()]
-    person_rows = persons.dropna(how="any", subset=key).select(
-        *key, _mask(_MEMBER_SEEN, member_terms).alias(_BITS), *member_columns
-    )
+    person_rows = persons.dropna(how="any", subset=key).select(*key, *terms.masks(_MEMBER_SEEN, "member "), *member_columns)
 
-    if carry:
+    if carry or bucketed:
         if not unique_key:
-            household_rows = household_rows.groupBy(*key, *carry).agg(
-                F.max(_WEIGHT).alias(_WEIGHT), F.bit_or(_BITS).alias(_BITS)
-            )
-        per_household = person_rows.groupBy(*key).agg(F.bit_or(_BITS).alias("_member_bits"), *member_aggregates)
-        merged = household_rows.join(per_household, key, "left").withColumn(
-            _BITS, F.expr(f"{_BITS} | coalesce(_member_bits, 0L)")
+            household_rows = household_rows.groupBy(*key, *carry).agg(F.max(_WEIGHT).alias(_WEIGHT), *any_bits)
+        member_bits = [F.bit_or(word).alias(f"_member{word}") for word in words]
+        per_household = person_rows.groupBy(*key).agg(*member_bits, *member_aggregates)
+        merged = household_rows.join(per_household, key, "left").withColumns(
+            {word: F.expr(f"{word} | coalesce(_member{word}, 0L)") for word in words}
         )
     else:
         merged = (
             household_rows.unionByName(person_rows, allowMissingColumns=True)
             .groupBy(*key)
-            .agg(F.max(_WEIGHT).alias(_WEIGHT), F.bit_or(_BITS).alias(_BITS), *member_aggregates)
+            .agg(F.max(_WEIGHT).alias(_WEIGHT), *any_bits, *member_aggregates)
             .where(_is_set(_HOUSEHOLD_SEEN))
         )
     if require_member:
         merged = merged.where(_is_set(_MEMBER_SEEN))
 
     def flag_column(name: str, spec: Flag) -> Column:
-        masks = [1 << terms[name][0] for terms in (household_terms, member_terms) if name in terms]
-        met = " AND ".join(map(_is_set, masks)) if spec.need_both else _is_set(sum(masks))
+        met = terms.met([f"household {name}", f"member {name}"], spec.need_both)
         return F.expr(f"CAST(({met}) AS INT)").alias(name)
 
     return merged.select(

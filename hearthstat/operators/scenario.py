@@ -162,11 +162,11 @@ def fund_income(
     period: str,
     shares: Sequence[float],
     fee: float,
-    by: Sequence[str] = (),
+    by: Sequence[str] | None = None,
     increase_as: str = "increase_hh",
     income_as: str = "fund_income",
 ) -> DataFrame:
-    """Income from a fee per new household, after the given shares."""
+    """Income from a fee per new household, after the given shares. ``by`` names the series; ``()`` says that the table is one."""
     out = period_diff(panel, households, period, by, increase_as)
     return out.withColumn(income_as, _fee(F.col(increase_as), shares, fee))
 
@@ -177,7 +177,7 @@ def fund_income_spread(
     period: str,
     shares: Sequence[float],
     fee: float,
-    by: Sequence[str] = (),
+    by: Sequence[str] | None = None,
     increase_as: str = "new_households",
     income_as: str = "fund_income",
 ) -> DataFrame:

@@ -380,7 +380,7 @@ def _state_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, {"eligible": eligible(), "unconnected": unconnected()}, ["state_id"], weighted()
     )
     totals = T.weighted_totals(rolled, "hh_weight", area_conditions(), ["state_id"])
-    names = T.latest_period(role(spark, sf_dir, "states"), "year").select(
+    names = T.latest_rows(role(spark, sf_dir, "states"), "year", ["state_id"]).select(
         "state_id", F.col("geo_name").alias("state_name"), "total_households"
     )
     return X.decorate(
@@ -405,14 +405,10 @@ def area_rates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def latest_period_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demographic totals of the latest year of the household table, over two tables joined on zip and year."""
-    households = role(spark, sf_dir, "zip_households")
-    joined = role(spark, sf_dir, "zip_population").join(households, ["zip", "year"])
-    return T.latest_period(joined, "year", households).agg(
-        F.sum("total_households").alias("households"),
-        F.sum("total_hh_population").alias("population"),
-        F.sum("total_black").alias("black"),
-        F.sum("total_hispanic").alias("latino"),
-    )
+    population = role(spark, sf_dir, "zip_population").withColumn("known", F.lit(True))
+    joined = role(spark, sf_dir, "zip_households").join(population, ["zip", "year"], "left")
+    sources = {"households": "total_households", "population": "total_hh_population", "black": "total_black", "latino": "total_hispanic"}
+    return T.latest_totals(joined, "year", {new: T.total_where(old, F.col("known"), "null") for new, old in sources.items()})
 
 
 # --- crosswalks ------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.operators import crosswalk as X
+from hearthstat.operators import joins
 from hearthstat.operators.joins import salted_join
 
 
@@ -137,3 +138,50 @@ def test_a_share_that_stands_twice_fails(spark):
     shares = spark.createDataFrame([("a", 0.5), ("a", 0.7)], "src string, share double")
     with pytest.raises(Exception, match="must be unique"):
         X.apply_share(totals, shares, "area", "src", "share", {"part": "m"}).collect()
+
+
+def test_links_without_factor_or_target_are_links(spark):
+    totals = spark.createDataFrame([("r", "a", 10.0), ("r", "b", 4.0), ("q", "c", 3.0)], "region string, area string, m double")
+    links = spark.createDataFrame([("a", "t1", None), ("a", "t2", 0.5), ("a", None, 0.25), ("d", "t9", 1.0)], "area string, t string, f double")
+    got = X.allocate_all(totals, links, "area", "area", "region", "t", "f", "m", ["m"])
+    moved = X.allocate(totals, links, "area", "area", "t", "f", ["m"], ["region"])
+    want = X.redistribute(moved, X.unmatched(totals, links, "area", "area"), "region", "t", "m", ["m"])
+    rows = {(r.region, r.t): r.m for r in got.collect()}
+    assert rows == {(r.region, r.t): r.m for r in want.collect()}
+    assert rows == {("r", "t1"): None, ("r", "t2"): pytest.approx(5 + 4 * 5 / 7.5), ("r", None): pytest.approx(2.5 + 4 * 2.5 / 7.5), ("q", "unallocated"): 3.0}
+
+
+def test_keys_that_stand_twice_fail(spark):
+    totals = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, m double")
+    twice = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", 3.0)], "id string, name string, s double")
+    once = twice.where("name <> 'y'").union(spark.createDataFrame([(None, "n", 1.0), (None, "n", 1.0)], "id string, name string, s double"))
+    for made in (lambda right: X.decorate(totals, right, "id", "name"), lambda right: X.attach_means(totals, right, "id"), lambda right: X.share_times_total(right.select("id", "s"), totals, "id", "s", "m", "p"),
+                 lambda right: X.share_times_total(totals, right.select("id", "s"), "id", "m", "s", "p"), lambda right: X.apply_share(totals, right, "id", "id", "s", {"new": "m"})):
+        assert made(once).count() == 2
+        with pytest.raises(Exception, match="must be unique; repeated: a"):
+            made(twice).collect()
+
+
+def test_only_hot_keys_are_salted(spark):
+    many = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), F.col("id"))
+    one = spark.createDataFrame([("hot", 1), ("k0", 2), ("k10", 3), ("none", 4)], "k string, v int")
+    hot = joins.hot_keys(many, ["k"], hot_rows=1000).collect()
+    assert [tuple(r) for r in hot] == [("hot", 58)]
+    assert joins.hot_keys(many, ["k"]).count() == 0
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one, "k", how).select("k", "id", "v").collect()))
+        for null_safe in (False, True):
+            got = joins.salted_join(many, one, ["k"], how, hot_rows=1000, null_safe=null_safe)
+            assert sorted(map(str, got.select("k", "id", "v").collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = joins.salted_join(many, one, ["k"], hot_rows=1000)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert max(sizes) < 0.25 * sum(sizes) and "BroadcastHashJoin" in text and "SortMergeJoin" in text

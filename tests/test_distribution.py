@@ -120,3 +120,23 @@ def test_empty_tables_and_groups_without_rows(spark):
     assert sorted((r["g"], r["bin"], r["weight"], r["bin_left"]) for r in rows) == [("a", 0, 1, 0.0), ("a", 1, 0, 2.0), ("b", 0, 0, 0.0), ("b", 1, 0, 2.0)]
     rows = D.weighted_hist_auto(df, "x", "w", 2, ["g"], ["a", "b"]).collect()
     assert sorted((r["g"], r["bin"], r["weight"], r["bin_left"]) for r in rows) == [("a", 0, 0, 0.5), ("a", 1, 1, 1.0), ("b", 0, 0, None), ("b", 1, 0, None)]
+
+
+def test_infinite_values_are_outside_an_observed_range(spark):
+    df = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 1), ("a", float("inf"), 5), ("a", float("-inf"), 7), ("b", float("inf"), 2)], "g string, x double, w long")
+    for groups in ((), ("a", "b")):
+        out = {(r.g, r.bin): (r.bin_left, r.bin_right, r.weight, r.total) for r in D.weighted_hist_auto(df, "x", "w", 2, ["g"], groups).collect()}
+        assert out["a", 0] == (1.0, 2.0, 1, 14) and out["a", 1] == (2.0, 3.0, 1, 14)
+        assert out["b", 0] == (None, None, 0, 2)
+    assert [r.weight for r in D.weighted_hist_auto(df.where("g = 'a'"), "x", "w", 2).orderBy("bin").collect()] == [1, 1]
+
+
+def test_observed_range_sends_bins_and_no_values(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("g"), F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("w"))
+    out = D.weighted_hist_auto(df, "x", "w", 10, ["g"], ["g0", "g1"])
+    assert {r.weight for r in out.collect()} == {1000}
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    keys = [k for k in __import__("re").findall(r"HashAggregate\(keys=\[([^]]*)\]", text)]
+    assert keys and not any("_x#" in k for k in keys)
+    written = [line for line in text.split("\n") if "partial_" in line]
+    assert all("_bin#" in line or "partial_min" in line or "collect_list" in line for line in written)

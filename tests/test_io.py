@@ -64,3 +64,30 @@ def test_csv_header_must_fit_the_schema(spark, tmp_path):
     assert io.read_csv(spark, str(tmp_path / "c.csv"), "a int, spare int").collect()[0] == (None, 2)
     with pytest.raises(Exception):
         io.read_csv(spark, str(tmp_path / "c.csv"), "a int, spare int", mode="FAILFAST").collect()
+
+
+def test_every_csv_file_must_have_the_header(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,2\n3,4\n")
+    (folder / "2.csv").write_text("a,b\n5,6\n")
+    assert sorted(map(tuple, io.read_csv(spark, str(folder), "a int, b int").collect())) == [(1, 2), (3, 4), (5, 6)]
+    (folder / "3.csv").write_text("b,a\n7,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_csv(spark, str(folder), "a int, b int").collect()
+    (folder / "3.csv").write_text("a,b,c\n7,8,9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_csv(spark, str(folder), "a int, b int").collect()
+    assert io.read_csv(spark, [str(folder / "1.csv"), str(folder / "2.csv")], "a int, b int").count() == 3
+
+
+def test_files_with_unnamed_columns_are_compared_too(spark, tmp_path):
+    folder = tmp_path / "unnamed"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,\n1,2\n9,9\n")
+    (folder / "2.csv").write_text("a,\n3,4\n")
+    assert sorted(map(tuple, io.read_csv(spark, str(folder), "a int, spare int").collect())) == [(1, 2), (3, 4), (9, 9)]
+    for other in ("spare,a\n5,6\n", "a,spare\n5,6\n", "a,,more\n5,6,7\n"):
+        (folder / "3.csv").write_text(other)
+        with pytest.raises(Exception, match="(?i)header"):
+            io.read_csv(spark, str(folder), "a int, spare int").collect()

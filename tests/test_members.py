@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthstat.functions import predicates as P
+from hearthstat.operators import members
 from hearthstat.operators.members import (
     MemberValue, both_flag, either_flag, household_flag, key_profile, member_flag, rollup_members,
 )
+from hearthstat.sources import io
 
 HH = "area string, serialno string, state string, wgtp long, fs string, accessinet string"
 PP = "area string, serialno string, pwgtp long, povpip int, hins4 string, pap double, ssip double, vps string"
@@ -149,8 +151,43 @@ def test_key_profile(spark):
     assert row.orphan_person_keys == 1
 
 
-def test_too_many_conditions_are_refused(spark):
-    hh, pp = random_tables(spark, 6, households=1)
-    many = {f"f{i}": household_flag(P.no_internet()) for i in range(70)}
-    with pytest.raises(ValueError):
-        rollup_members(hh, pp, ["area", "serialno"], "wgtp", many)
+def test_a_hundred_flags(spark):
+    rng = random.Random(9)
+    households = spark.createDataFrame([(i, 1, rng.randrange(1 << 50)) for i in range(40)], "id int, w int, h long")
+    persons = spark.createDataFrame([(rng.randrange(45), rng.randrange(1 << 50)) for _ in range(120)], "id int, m long")
+    bit = lambda name, k: F.expr(f"shiftright({name}, {k}) % 2 = 1")
+    flags = {f"h{k}": members.household_flag(bit("h", k)) for k in range(50)} | {f"m{k}": members.member_flag(bit("m", k)) for k in range(50)}
+    flags |= {f"e{k}": members.either_flag(bit("h", k), bit("m", k)) for k in range(0, 50, 7)} | {f"b{k}": members.both_flag(bit("h", k), bit("m", k)) for k in range(0, 50, 7)}
+    own = {}
+    for r in persons.collect():
+        own.setdefault(r.id, []).append(r.m)
+    for options in ({}, {"bucketed": True}, {"carry": ["h"]}):
+        out = members.rollup_members(households, persons, ["id"], "w", flags, **options).collect()
+        assert len(out) == 40
+        for r, (h,) in ((r, [x.h for x in households.collect() if x.id == r.id]) for r in out):
+            for k in range(50):
+                any_member = any(m >> k & 1 for m in own.get(r.id, []))
+                assert (r[f"h{k}"], r[f"m{k}"]) == (h >> k & 1, int(any_member))
+                if k % 7 == 0:
+                    assert (r[f"e{k}"], r[f"b{k}"]) == (int(h >> k & 1 or any_member), int(bool(h >> k & 1 and any_member)))
+
+
+def test_bucketed_tables_meet_without_an_exchange(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}/bucketed'")
+    try:
+        rng = random.Random(10)
+        households = spark.createDataFrame([("a", i, i % 3, rng.randrange(5)) for i in range(300)] + [("a", None, 4, 1), ("b", 7, 2, 2)], "area string, id int, w int, x int")
+        persons = spark.createDataFrame([(rng.choice("ab"), rng.randrange(320), rng.randrange(5)) for _ in range(900)] + [("a", None, 1)], "area string, id int, y int")
+        io.write_bucketed(households, "bucketed.households", ["area", "id"], 4)
+        io.write_bucketed(persons, "bucketed.persons", ["area", "id"], 4)
+        flags = {"any": members.either_flag(F.col("x") == 1, F.col("y") == 1), "both": members.both_flag(F.col("x") == 1, F.col("y") == 1)}
+        values = {"most": members.MemberValue("max", F.col("y"))}
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for carry in ([], ["x"]):
+            laid = members.rollup_members(spark.table("bucketed.households"), spark.table("bucketed.persons"), ["area", "id"], "w", flags, values, carry, bucketed=True)
+            plain = members.rollup_members(households, persons, ["area", "id"], "w", flags, values, carry)
+            assert sorted(map(str, laid.collect())) == sorted(map(str, plain.select(*laid.columns).collect()))
+            assert "Exchange" not in laid._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE bucketed CASCADE")

@@ -221,3 +221,11 @@ def test_a_fit_runs_few_jobs(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert row.converged
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 10  # three actions, and their shuffles
+
+
+def test_income_needs_its_series_named(spark):
+    df = spark.createDataFrame([("a", 1, 10.0), ("b", 2, 50.0)], "s string, year int, h double")
+    for made in (scenario.fund_income, scenario.fund_income_spread):
+        with pytest.raises(ValueError, match="series"):
+            made(df, "h", "year", (0.5,), 1.0)
+        assert made(df.where("s = 'a'"), "h", "year", (0.5,), 1.0, by=()).count() == 1

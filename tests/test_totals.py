@@ -58,3 +58,50 @@ def test_top_k_leaves_out_missing(spark):
 def test_summary(spark):
     row = T.summary(spark.createDataFrame([(2024,), (2025,), (2040,)], "x int"), "x").first()
     assert (row.sum, row.max, row.median) == (6089, 2040, 2025.0)
+
+
+def medians(df, by=()):
+    """Groups, exact medians and Spark's own, as text so that NaN equals NaN."""
+    return sorted(map(str, T.exact_median(df, "x", by).collect())), sorted(map(str, df.groupBy(*by).agg(F.median("x").alias("median")).where("median IS NOT NULL").collect()))
+
+
+def test_exact_median_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_001).select((F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / 1024.0 - 2.0**40).alias("x"), F.col("id"))
+    got, want = medians(df)
+    assert got == want and len(got) == 1
+    got, want = medians(df.withColumn("g", F.when(F.col("id") % 10 > 0, "hot").otherwise((F.col("id") % 7).cast("string"))), ["g"])
+    assert got == want and len(got) == 8
+
+
+def test_exact_median_of_ties_and_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "even": [1.0, 2.0, 3.0, 10.0], "odd": [5.0, -1.0, 2.0], "tie": [4.0] * 7 + [1.0, 9.0], "half": [1.0, 1.0, 2.0, 2.0], "one": [3.5], "null": [None, None], "some": [None, 7.0, None, 8.0],
+        "nan": [nan, nan, 1.0], "last": [1.0, nan], "inf": [-inf, inf, inf], "ends": [-1e308, 1e308], "both": [-inf, 1.0], "tiny": [5e-324, 1e-323, -5e-324, 0.0], "near": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0 + 3 * 2**-52], "sign": [-2.0, -1.0, -3.0, 0.0, -0.0, 1e-9],
+    }
+    rows = [(g, x) for g, own in groups.items() for x in own] + [(None, 2.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got, want = medians(df, ["g"])
+    assert got == want and len(got) == len(groups)
+    for own in groups.values():
+        got, want = medians(df.sparkSession.createDataFrame([(x,) for x in own], "x double"))
+        assert got == want
+    assert T.exact_median(df.limit(0), "x").count() == 0
+    assert tuple(T.summary(df.limit(0), "x").first()) == (None, None, None, None)
+    found = {r.g: (r["sum"], r.median) for r in T.summary(df, "x", ["g"]).collect()}
+    assert found[None] == (5.0, 2.5) and found["null"] == (None, None) and len(found) == len(groups) + 1
+
+
+def test_no_aggregate_of_the_median_buffers_values(spark):
+    text = T.summary(spark.range(9).select((F.col("id") % 3).alias("g"), F.col("id").alias("x")), "x", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "median" not in text.split("Project")[0] and "percentile" not in text and "ObjectHashAggregate" not in text
+
+
+def test_latest_rows_and_totals(spark):
+    rows = [("a", 2020, 1), ("a", 2022, 2), ("a", 2022, 3), ("b", 2021, 4), (None, 2022, 5), ("c", None, 6)]
+    df = spark.createDataFrame(rows, "k string, year int, x int")
+    assert sorted(map(str, T.latest_rows(df, "year", ["k"]).collect())) == sorted(map(str, T.latest_period(df, "year").collect()))
+    assert T.latest_rows(df.limit(0), "year", ["k"]).count() == 0
+    totals = T.latest_totals(df, "year", {"s": F.sum("x"), "n": F.count("k")})
+    assert tuple(totals.first()) == (10, 2)
+    assert tuple(T.latest_totals(df.limit(0), "year", {"s": F.sum("x")}).first()) == (None,)
