@@ -20,7 +20,6 @@ PERCENT = 75
 BINS = 128
 BANDS = 32
 _DOC_BLOCK = 2048
-_NULL_ID = (1 << 63) - 1
 
 
 def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +76,14 @@ def band_keys(hashes: np.ndarray, bounds: np.ndarray, bins: int, bands: int) ->
     return keys.view(np.int64)
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins: int, bands: int) -> DataFrame:
-    schema = "id long, n_shingles long, digest binary, bands array<long>"
+def _signatures(docs: DataFrame, shingle: int, bins: int, bands: int) -> DataFrame:
+    """For each row its number, id, text key, set size, digest of the set and band keys."""
+    schema = "id long, doc long, text_key long, n_shingles long, digest binary, bands array<long>"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, text_col):
+        for chunk in chunks(batches, "text"):
             hashes, bounds = shingle_sets(chunk, shingle)
-            ids = chunk.ids(id_col)
+            named = chunk.table.select(["id", "doc", "text_key"]).combine_chunks()
             for at in range(0, len(chunk), _DOC_BLOCK):
                 sizes = np.diff(bounds[at : at + _DOC_BLOCK + 1])
                 some = np.flatnonzero(sizes)
@@ -92,19 +92,28 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins:
                     keys[some] = band_keys(hashes, np.append(bounds[at + some], bounds[at + some[-1] + 1]), bins, bands)
                 digests = [xxhash.xxh3_128_digest(hashes[bounds[at + i] : bounds[at + i + 1]].tobytes()) if size else None for i, size in enumerate(sizes.tolist())]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(sizes)]), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), listed], names=["id", "n_shingles", "digest", "bands"])
+                own = pa.Table.from_arrays([*named.slice(at, len(sizes)).columns, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), listed], names=["id", "doc", "text_key", "n_shingles", "digest", "bands"])
+                yield from own.combine_chunks().to_batches()
 
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """The full set of each row number. Rows that repeat an id and its text come one after the other, and count once."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, text_col, limit=4 << 20):
+        last = None
+        for chunk in chunks(batches, "text", limit=4 << 20):
             hashes, bounds = shingle_sets(chunk, shingle)
+            ids = chunk.ids("id")
+            new = np.ones(len(ids), bool)
+            new[1:] = ids[1:] != ids[:-1]
+            new[0] = ids[0] != last
+            last = ids[-1]
             listed = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.ids(id_col)), listed], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), listed], names=["id", "shingles"]).filter(pa.array(new))
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return texts.mapInArrow(run, "id long, shingles array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,12 +149,14 @@ def _prefix_mates(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return met.select(F.col("id").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bins: int = BINS, bands: int = BANDS, keyed: bool = False) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of ``percent`` / 100 or more of their sets of word shingles.
 
-    Returns one row per input row: the id column, ``n_shingles``, ``component_id`` (the smallest id of its group), ``kept``.
+    Returns one row per input row: the id column, ``n_shingles``, ``component_id`` (the smallest id of its group), ``kept``; with ``keyed`` also
+    ``text_key``, Spark's 64-bit hash of the text, which tells rows of one id apart.
 
-    1. Documents with equal sets form a class, which takes part by its smallest id alone.
+    1. Documents with equal sets form a class, which takes part as one of its rows. Rows have numbers of their own, so neither
+       null nor repeated ids join what is not similar.
     2. Each bucket of a band makes a star: its centre is the member that has the most bucket mates over all bands, as the original
        of a group of copies has. That is one pair per row, however large a bucket is, and mostly the same pairs in all bands.
     3. Pairs that differ too much in size go; all others are checked on the full sets. Links make components.
@@ -154,13 +165,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With bands of 4 bins a pair of similarity 0.75 misses all 32 bands with a chance of 5 in a million.
 
-    A null or empty text, or one without words, has no shingles and links with nothing. A null id counts as the largest, and
-    is null in the result. Rows that repeat an id count as copies of their set. Other columns are not read. Empty in, empty out.
+    A null or empty text, or one without words, has no shingles and links with nothing. A null id is no smallest id: ``component_id`` is null only if no
+    row of the group has an id, and of those rows the one of least ``text_key`` is kept. Rows that repeat an id and its text stay or
+    go together; rows that repeat an id with other texts are documents of their own. Other columns are not read. Empty in, empty out.
     """
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    signed = save(_signatures(docs, "id", "text", shingle, bins, bands), "op10-signatures")
-    classes = save(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep")), "op10-classes")
-    nodes = signed.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"]).select("id", "n_shingles", "bands")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    signed = save(_signatures(docs.withColumn("id", F.monotonically_increasing_id()), shingle, bins, bands), "op10-signatures")
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min("doc").alias("least"), F.min(F.when(F.col("doc").isNull(), F.col("text_key"))).alias("least_key"))
+    classes = save(classes, "op10-classes")
+    nodes = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "n_shingles", "bands")
     rows = nodes.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     mates = save(rows.join(shared, "key"), "op10-buckets")
@@ -171,9 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     star = buckets.join(centres, "key").select("key", "a", "n_a", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"))
     pairs = star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    wanted = buckets.select("id").distinct()
-    # the same plan at every size: texts are shuffled once, though a few ids could be broadcast
-    sets = save(_sets(docs.join(wanted.hint("merge"), "id", "left_semi"), "id", "text", shingle), "op10-sets")
+    wanted = signed.select("id", F.col("doc").alias("wanted_doc"), F.col("text_key").alias("wanted_key")).join(buckets.select("id").distinct(), "id", "left_semi")
+    # the same plan at every size: texts are shuffled once, though a few ids could be broadcast; merged rows lie in the order of their ids
+    texts = docs.join(wanted.hint("merge"), docs["doc"].eqNullSafe(F.col("wanted_doc")) & (docs["text_key"] == F.col("wanted_key"))).select("id", "text")
+    sets = save(_sets(texts, shingle), "op10-sets")
     links = save(_similar(pairs, sets, percent), "op10-links")
     label = components(links)
 
@@ -184,10 +198,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
-    group = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    joined = signed.select("id", "n_shingles", "digest").join(group, "digest", "left").withColumn("component", F.coalesce("component", "id"))
-    shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return joined.select(shown("id").alias(id_col), "n_shingles", shown("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    group = save(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "op10-groups")
+    first = group.groupBy("component").agg(F.min("least").alias("component_id"), F.min("least_key").alias("least_key"))
+    found = signed.select("doc", "text_key", "n_shingles", "digest").join(group.select("digest", "component").join(first, "component"), "digest", "left")
+    alone = F.col("digest").isNull()
+    nameless = F.col("component_id").isNull() & (F.col("text_key") == F.col("least_key"))
+    kept = F.when(alone, True).when(F.col("doc").isNull(), nameless).otherwise(F.col("doc") == F.col("component_id"))
+    shown = [F.col("doc").alias(id_col), "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept")]
+    return found.select(*shown, *(["text_key"] if keyed else []))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

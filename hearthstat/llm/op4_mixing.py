@@ -17,6 +17,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 BLOCK = 16
+LEAST_BLOCKS = 50
 SHARD = 1 << 20
 SOURCES = 1_000_000
 SEED = 41
@@ -88,45 +89,49 @@ def mix(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str
     Returns ``row`` (a struct of the columns in ``carry``), ``size`` (words), ``source_size``, ``target`` (of the source, in words), ``passes`` (whole
     copies) and ``extra`` (words from the document's start in the last, partial pass), ``taken`` = passes * size + extra.
 
-    Sources in code-point order, null last, weigh ``weights`` in turn. Blocks of ``block`` words go to sources by Sainte-Laguë
-    on their targets, then to bundles of shards and to shards by their words. A shard holds about ``shard`` words of one source, dealt by a
-    seeded hash of the id; its documents are laid end to end in seeded order and cut into blocks, and its quota takes whole passes, then the first
-    blocks of the next. So a source's words differ from its target by a few blocks, and only one document per shard is cut.
+    Sources in code-point order, null last, weigh ``weights`` in turn. Equal blocks go to sources by Sainte-Laguë
+    on their targets, then to bundles of shards and to shards by their words. A block has at most ``block`` words, and fewer where the smallest source has
+    less than ``LEAST_BLOCKS`` of them: down to one word, so a small source comes as near to its target as a large one. A shard holds about ``shard`` words of
+    one source, dealt by a seeded hash of the id and text; its documents are laid end to end in seeded order, ``repeats`` times over, and cut into blocks, of which its quota takes
+    the first: whole passes, then part of one. So a source's words differ from its target by about a block, and only one document per shard is cut.
+    A source that is to be taken as often as may be is taken whole.
 
     Bounds: the table of sources goes through the driver, and may have a million rows (else an error); a group that is apportioned has about
     the square root of a source's number of shards; windows hold one shard.
 
     A null or empty text has no words, and none are taken. A null source is a source. Rows that repeat take part each for itself. Reruns agree,
-    since order depends on ids and sizes alone. Empty in, empty out.
+    since order depends on ids and texts alone, and rows that share both are alike. Empty in, empty out.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = save(docs.select(F.struct(*carry).alias("row"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("order"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "op4-sized")
+    sized = save(docs.select(F.struct(*carry).alias("row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("order"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "op4-sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size")).limit(SOURCES + 1).collect()
     if len(sources) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources: {source_col} is no source column")
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [r[1] for r in sources]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], share, repeats)
+    block = max(1, min(block, min((s for s in sizes if s), default=block) // LEAST_BLOCKS))
     shards = [max(1, -(-s // shard)) for s in sizes]
     bundles = [max(1, int(n**0.5)) for n in shards]
-    # what a source may take is not above its blocks, counted as if they were all whole, times the passes
-    seats = apportion(np.array(goals), round(sum(goals) / block), np.array([repeats * -(-s // block) for s in sizes], np.int64)) if sources else []
+    seats = apportion(np.array(goals), round(sum(goals) / block), np.array([-(-repeats * s // block) for s in sizes], np.int64)) if sources else []
     plan = docs.sparkSession.createDataFrame(
         [(r[0], i, r[1], goals[i], int(seats[i]), shards[i], bundles[i]) for i, r in enumerate(sources)],
         "source string, number long, source_size long, target double, seats long, shards long, bundles long",
     )
     placed = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop("source").withColumn("shard", F.pmod("order", "shards"))
     dealt = placed.withColumn("bundle", F.pmod("shard", "bundles")).groupBy("number", "seats", "bundle", "shard").agg(F.sum("size").alias("tokens"))
-    dealt = save(dealt.withColumn("blocks", F.ceil(F.col("tokens") / block)).withColumn("most", F.col("blocks") * repeats), "op4-shards")
+    dealt = save(dealt.withColumn("most", F.ceil(F.col("tokens") * repeats / block)), "op4-shards")
     of_bundles = dealt.groupBy("number", "seats", "bundle").agg(F.sum("tokens").alias("tokens"), F.sum("most").alias("most"))
     per_bundle = _give(of_bundles, ["number"], "bundle").withColumnRenamed("given", "seats")
     per_shard = _give(dealt.drop("seats").join(per_bundle, ["number", "bundle"]), ["number", "bundle"], "shard").select("number", "shard", "given")
-    quotas = dealt.select("number", "shard", "tokens", "blocks").join(per_shard, ["number", "shard"])
+    quotas = dealt.select("number", "shard", "tokens").join(per_shard, ["number", "shard"])
 
     laid = W.partitionBy("number", "shard").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(laid), F.lit(0))
-    passes = F.when(F.col("blocks") > 0, F.floor(F.col("given") / F.col("blocks"))).otherwise(0)
-    rest = (F.col("given") - F.col("passes") * F.col("blocks")) * block
+    whole = F.col("target") >= repeats * F.col("source_size")
+    words = F.when(whole, repeats * F.col("tokens")).otherwise(F.least(F.col("given") * block, repeats * F.col("tokens")))
+    passes = F.when(F.col("tokens") > 0, F.floor(words / F.col("tokens"))).otherwise(0)
+    rest = words - F.col("passes") * F.col("tokens")
     return (
         placed.join(quotas, ["number", "shard"]).withColumn("before", before).withColumn("passes", passes)
         .withColumn("extra", F.greatest(F.lit(0), F.least(rest - F.col("before"), F.col("size"))))

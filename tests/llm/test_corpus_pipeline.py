@@ -88,3 +88,12 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert out and {r["doc_id"] for r in out} <= {*range(30), None} and all(r["n_tokens"] == len(r["ids"]) > 0 for r in out)
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_an_id_are_lost_for_no_other(spark):
+    prose = lambda k: " ".join(f"word{(k * 7919 + j * j) % 9973}" for j in range(60))
+    rows = [(None, prose(1), "en", "s", 1), (None, prose(2), "en", "s", 1), (None, prose(3), None, "s", 1), (4, prose(1) + " end", "en", "s", 1)]
+    rows += [(7, prose(5), "en", "s", 1), (7, prose(5), "de", "t", 1), (7, prose(5), "de", "s", 1), (7, prose(6), "en", "s", 1), (None, prose(8), "en", "b", 1), (None, prose(8), "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert got == {rows[1], rows[2], rows[3], rows[6], rows[7], rows[9]}

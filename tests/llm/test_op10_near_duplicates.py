@@ -63,6 +63,31 @@ def test_empty_null_and_repeated_ids(spark):
     ])
 
 
+def prose(k, changed=0):
+    return " ".join("new" if j < changed else f"word{(k * 7919 + j * j) % 9973}" for j in range(90))
+
+
+def test_rows_that_share_an_id_are_not_joined_by_it(spark):
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(3)), (5, prose(1, 1)), (None, prose(4)), (None, prose(4, 1)), (None, prose(4)), (6, prose(6)), (6, prose(7)), (8, prose(7, 1)), (2**63 - 1, prose(8)), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by_text = {}
+    for r in near_duplicates(df, keyed=True).join(df.select("text", F.xxhash64("text").alias("text_key")).distinct(), "text_key").collect():
+        by_text.setdefault((r.doc_id, r.text), set()).add((r.component_id, r.kept))
+    assert all(len(found) == 1 for found in by_text.values()) and len(by_text) == len(set(rows))
+    got = {key: next(iter(found)) for key, found in by_text.items()}
+    assert got[None, prose(1)] == (5, False) and got[5, prose(1, 1)] == (5, True)
+    assert got[None, prose(2)] == got[None, prose(3)] == got[None, ""] == (None, True)
+    assert sorted([got[None, prose(4)], got[None, prose(4, 1)]]) == [(None, False), (None, True)]
+    assert got[6, prose(6)] == got[6, prose(7)] == (6, True) and got[8, prose(7, 1)] == (6, False)
+    assert got[2**63 - 1, prose(8)] == (2**63 - 1, True)
+
+
+def test_very_long_text(spark):
+    rows = [(1, prose(1) * 3000), (2, prose(1) * 3000 + " end"), (3, prose(2))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_query_on_table(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
