@@ -7,7 +7,7 @@ Null texts and texts without words fail the quality rules; a null id, language o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthstat.llm.op1_quality import quality_rules
@@ -30,19 +30,19 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate group. Rows that repeat an id and its text are one document.
+    """The document of smallest id of each near-duplicate group. Rows that repeat an id and its text are one document, the first by its other columns.
 
-    The ids that go are joined, not those that stay: they are few, and texts need not move where Spark finds them small enough to broadcast.
+    A row is named by its id and a hash of its text. What goes is joined, not what stays: it is little, and texts need not move where Spark
+    finds it small enough to broadcast.
     """
-    found = save(near_duplicates(docs.select("doc_id", "text")), "near-duplicates")
-    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = ids.where(~F.col("kept"))
-    left = docs.select(*DOCUMENT).join(gone, docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
-    repeated = ids.where("kept and n > 1").select("id")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, left["doc_id"].eqNullSafe(repeated["id"]), "left_anti")
-    return once.unionByName(left.join(repeated, left["doc_id"].eqNullSafe(repeated["id"]), "left_semi").dropDuplicates(["doc_id", "text"]))
+    found = save(near_duplicates(docs.select("doc_id", "text"), keyed=True), "near-duplicates")
+    rows = found.groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    named = docs.select(*DOCUMENT)
+    row = named["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(named["text"]) == F.col("text_key"))
+    left = named.join(rows.where("not kept or n > 1"), row, "left_anti")
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    repeated = named.join(rows.where("kept and n > 1"), row, "left_semi").withColumn("_number", F.row_number().over(first)).where("_number = 1").drop("_number")
+    return left.unionByName(repeated)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
