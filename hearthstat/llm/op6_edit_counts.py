@@ -1,24 +1,35 @@
-"""Token counts that follow edits: a segment tree per document over runs of pre-tokens; only touched runs are encoded again."""
+"""Token counts that follow edits: a segment tree per document over runs of pre-tokens, kept as a table; only touched runs are encoded again."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from hearthstat.llm.bpe import PieceEncoder, piece_encoder
 from hearthstat.llm.op3_bpe import public_file
-from hearthstat.llm.packets import chunks, whole_rows
+from hearthstat.llm.packets import chunks
+from hearthstat.llm.shared import save
 
 RUN = 64
-_PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|[\x20\x09-\x0D]+")
+BLOCK_BYTES = 2 << 20
 _SPACES = " \t\n\x0b\f\r"
 
 #: An edit: from which character of the text as it then is, how many characters go, and what comes in their place.
 Edit = tuple[int, int, str]
+#: A tree's leaves: characters and tokens of each run. Inner nodes are sums of these and are added up when a tree is opened.
+_TREE = "text string, chars array<int>, tokens array<int>, n_tokens long"
+
+
+def run_borders(text: str, run: int) -> list[int]:
+    """Where runs of ``run`` pieces begin, and the end. A piece is a word with the white space after it, and before it at the text's start."""
+    every = re.compile(rf"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{run}}}|[\x20\x09-\x0D]+")
+    return [0, *(m.end() for m in every.finditer(text))] if text else [0, 0]
 
 
 class SegmentTree:
@@ -27,19 +38,15 @@ class SegmentTree:
     No token spans white space, and every run but the last ends in it; so a run's tokens do not depend on its neighbours.
     """
 
-    def __init__(self, text: str, encoder: PieceEncoder, run: int = RUN):
+    def __init__(self, text: str, chars: list[int], tokens: list[int], encoder: PieceEncoder):
         self.encoder, self.encoded = encoder, 0
-        pieces = _PIECE.findall(text)
-        self.runs = ["".join(pieces[i : i + run]) for i in range(0, len(pieces), run)] or [""]
+        ends = np.cumsum(chars).tolist()
+        self.runs = [text[end - n : end] for end, n in zip(ends, chars)]
         self.leaves = 1
         while self.leaves < len(self.runs):
             self.leaves *= 2
-        self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
-        words = [r.encode().split() for r in self.runs]
-        sizes = iter([len(t) for t in encoder([w for own in words for w in own])])
-        for i, own in enumerate(words):
-            self.chars[self.leaves + i] = len(self.runs[i])
-            self.tokens[self.leaves + i] = sum(next(sizes) for _ in own)
+        pad = [0] * (self.leaves - len(chars))
+        self.chars, self.tokens = ([0] * self.leaves + list(own) + pad for own in (chars, tokens))
         for node in range(self.leaves - 1, 0, -1):
             self._add_up(node)
 
@@ -89,51 +96,118 @@ class SegmentTree:
     def text(self) -> str:
         return "".join(self.runs)
 
+    @property
+    def sums(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the runs."""
+        return self.chars[self.leaves : self.leaves + len(self.runs)], self.tokens[self.leaves : self.leaves + len(self.runs)]
+
+
+def tree_sums(texts: list[str], encoder: PieceEncoder, run: int = RUN) -> Iterator[tuple[list[int], list[int]]]:
+    """Characters and tokens of every text's runs. All words of the texts are encoded in one call."""
+    borders = [run_borders(t, run) for t in texts]
+    words = [[t[a:b].encode().split() for a, b in zip(own, own[1:])] for t, own in zip(texts, borders)]
+    sizes = np.fromiter(map(len, encoder([w for own in words for part in own for w in part])), np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *(len(part) for own in words for part in own)])]
+    each = np.diff(ends)
+    at = 0
+    for own in borders:
+        n = len(own) - 1
+        yield np.diff(own).tolist(), each[at : at + n].tolist()
+        at += n
+
+
+def build_trees(docs: DataFrame, path: str, carry: list[str], text_col: str = "text", run: int = RUN) -> DataFrame:
+    """The table of trees: ``row`` (a struct of the columns in ``carry``), ``text``, the characters and tokens of its runs of ``run`` pieces, and ``n_tokens``.
+
+    Write it once; :func:`edit_trees` takes it, and the updated table again. One pass without a shuffle. A null text is empty. Rows that repeat stand
+    for themselves. Empty in, empty out.
+    """
+
+    def run_all(batches) -> Iterator[pa.RecordBatch]:
+        encoder = piece_encoder(path)
+        for chunk in chunks(batches, "_text", BLOCK_BYTES):
+            texts = [chunk.text(i).decode() for i in range(len(chunk))]
+            sums = list(tree_sums(texts, encoder, run))
+            rows = [(t, c, n, sum(n)) for t, (c, n) in zip(texts, sums)]
+            yield _trees(chunk.table["row"].combine_chunks(), rows)
+
+    named = docs.selectExpr(f"struct({', '.join(f'`{c}`' for c in carry)}) AS row", f"`{text_col}` AS _text")
+    return named.mapInArrow(run_all, T.StructType([named.schema["row"], *T.StructType.fromDDL(_TREE).fields]))
 
-def edit_aware_counts(docs: DataFrame, path: str, edits: str | Callable[[str], Iterable[Edit]], text_col: str = "text", run: int = RUN) -> DataFrame:
-    """Token counts of every text before and after its edits, which are applied one after the other.
 
-    ``edits`` gives a text's edits, or names a column of array<struct<start: int, length: int, text: string>>. Returns ``row`` (a struct of all input
-    columns), ``n_tokens``, ``n_edits``, ``n_tokens_after``, ``n_encoded`` (pieces encoded for the edits alone) and ``edited`` (the text after them).
+def _trees(row: pa.Array, rows: list[tuple], **more: list[int]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
+    row = pa.concat_arrays(row.chunks) if isinstance(row, pa.ChunkedArray) else row
+    columns = [row, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), *(pa.array(own, pa.int64()) for own in more.values())]
+    return pa.RecordBatch.from_arrays(columns, names=["row", "text", "chars", "tokens", "n_tokens", *more])
 
-    A tree has one leaf per ``run`` pieces. An edit walks down by characters, encodes the touched runs anew (and the next ones, as
-    long as a piece goes on over the border), and adds up the sums on the way to the root. One pass without a shuffle.
 
-    A null text is empty; null edits are none, and an edit with a null is left out; places outside the text are cut to it. Rows that repeat stand for themselves. Empty in, empty out.
+def edit_trees(trees: DataFrame, path: str, edits: str | Callable[[str], Iterable[Edit]], n_edits: str = "n_edits", n_encoded: str = "n_encoded") -> DataFrame:
+    """The table of trees after edits, which are applied one after the other, and how many edits and newly encoded pieces each text had.
+
+    ``edits`` gives a text's edits, or names a field of ``row`` that is array<struct<start: int, length: int, text: string>>. A tree's inner sums are
+    added up from its leaves. An edit walks down by characters, encodes the touched runs anew (and the next ones, as
+    long as a piece goes on over the border), and adds up the sums on the way to the root. Texts without edits are not opened. One pass without a shuffle.
+
+    Null edits are none, and an edit with a null is left out; places outside the text are cut to it. Empty in, empty out.
     """
 
     def run_all(batches) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
-        for chunk in chunks(batches, text_col, 2 << 20):
-            listed = chunk.table[edits].to_pylist() if isinstance(edits, str) else None
-            out = []
-            for i in range(len(chunk)):
-                text = chunk.text(i).decode()
-                tree = SegmentTree(text, encoder, run)
-                before = tree.tokens[1]
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            listed = pc.struct_field(column["row"], edits).to_pylist() if isinstance(edits, str) else None
+            rows, edited, encoded = [], [], []
+            for i, (text, chars, tokens, n) in enumerate(zip(*(column[c].to_pylist() for c in ("text", "chars", "tokens", "n_tokens")))):
                 own = [(e["start"], e["length"], e["text"]) for e in listed[i] or () if e and None not in e.values()] if listed is not None else list(edits(text))
-                for edit in own:
-                    tree.edit(*edit)
-                out.append((before, len(own), tree.tokens[1], tree.encoded, tree.text))
-            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(),) * 4 + (pa.string(),))]
-            yield pa.RecordBatch.from_arrays([whole_rows(chunk.table), *columns], names=["row", "n_tokens", "n_edits", "n_tokens_after", "n_encoded", "edited"])
+                again = 0
+                if own:
+                    tree = SegmentTree(text, chars, tokens, encoder)
+                    for edit in own:
+                        tree.edit(*edit)
+                    text, (chars, tokens), n, again = tree.text, tree.sums, tree.tokens[1], tree.encoded
+                rows.append((text, chars, tokens, n))
+                edited.append(len(own))
+                encoded.append(again)
+            yield _trees(column["row"], rows, **{n_edits: edited, n_encoded: encoded})
 
-    fields = T.StructType.fromDDL("n_tokens long, n_edits long, n_tokens_after long, n_encoded long, edited string").fields
-    return docs.mapInArrow(run_all, T.StructType([T.StructField("row", docs.schema), *fields]))
+    given = trees.select("row", *(f.name for f in T.StructType.fromDDL(_TREE)))
+    return given.mapInArrow(run_all, T.StructType([*given.schema.fields, *T.StructType.fromDDL(f"`{n_edits}` long, `{n_encoded}` long").fields]))
 
 
 _PRIVATE = re.compile(r"(?P<mail>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)|(?P<number>[0-9]{9,})")
+_MANY_BREAKS = re.compile(r"\n{3,}")
+
+
+def _replacements(text: str, found: Iterable[re.Match], put: Callable[[re.Match], str]) -> Iterator[Edit]:
+    """Edits that put other texts in the place of matches, one after the other."""
+    moved = 0
+    for m in found:
+        new = put(m)
+        yield m.start() + moved, m.end() - m.start(), new
+        moved += len(new) - (m.end() - m.start())
 
 
 def redactions(text: str) -> Iterator[Edit]:
     """Edits that put a placeholder in the place of every mail address and every number of nine digits or more."""
-    moved = 0
-    for m in _PRIVATE.finditer(text):
-        placeholder = "[mail]" if m["mail"] else "[number]"
-        yield m.start() + moved, m.end() - m.start(), placeholder
-        moved += len(placeholder) - (m.end() - m.start())
+    if "@" in text or any(d in text for d in "0123456789"):
+        yield from _replacements(text, _PRIVATE.finditer(text), lambda m: "[mail]" if m["mail"] else "[number]")
+
+
+def plain_ends(text: str) -> Iterator[Edit]:
+    """Edits of a second round: three or more line breaks become two, and white space at the text's end goes."""
+    last = len(text.rstrip(_SPACES))
+    yield from _replacements(text[:last], _MANY_BREAKS.finditer(text, 0, last), lambda m: "\n\n")
+    if last < len(text):
+        removed = sum(len(m[0]) - 2 for m in _MANY_BREAKS.finditer(text, 0, last))
+        yield last - removed, len(text) - last, ""
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees are built once and written; two rounds of edits follow, the second on the trees that the first has updated."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return edit_aware_counts(docs, public_file(), redactions).select("row.doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded")
+    trees = save(build_trees(docs, public_file(), ["doc_id"]), "op6-trees")
+    first = edit_trees(trees.selectExpr("struct(row.doc_id AS doc_id, n_tokens AS n_tokens) AS row", "text", "chars", "tokens", "n_tokens"), public_file(), redactions)
+    again = first.selectExpr("struct(row.*, n_edits AS n_edits, n_tokens AS n_tokens_after, n_encoded AS n_encoded) AS row", "text", "chars", "tokens", "n_tokens")
+    second = edit_trees(again, public_file(), plain_ends, "n_edits_second", "n_encoded_second")
+    return second.selectExpr("row.*", "n_edits_second", "n_tokens AS n_tokens_second", "n_encoded_second")
