@@ -5,13 +5,19 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import regex
 
 _SPECIAL_KEY = "added_tokens"
+_STOP = "\x00"  # stands for a word's end while matches are proposed; no byte has this letter
+_SHORT = 48
+_ROWS = 1024  # rows whose arrays stay in the processor's cache
+_NEVER = np.iinfo(np.int64).max
+_PLAIN_ENDS = ",.;:!?"
 
 
 def byte_letters() -> list[str]:
@@ -58,11 +64,23 @@ class Bpe:
         self.pairs = pairs[self.pair_order]
         self.size = size
         self.sound = self._sound_tokens()
-        self.longest: dict[str, int] = {}
+        self.made = np.zeros(len(pairs), np.int32)
+        for r, made in self.merges.values():
+            self.made[r] = made
+        self.matcher = ahocorasick.Automaton()
+        self.lengths = np.zeros(size, np.int64)
         for name, i in self.vocab.items():
-            bare = name.removesuffix(self.end)
-            for head in (bare[:1], bare[:2]):
-                self.longest[head] = max(self.longest.get(head, 0), len(bare))
+            ending = name.endswith(self.end)
+            key = name.removesuffix(self.end) + _STOP if ending else name
+            self.matcher.add_word(key, i)
+            self.lengths[i] = len(key)
+        self.matcher.make_automaton()
+        #: Whether the splitting pattern leaves runs of small letters whole, and which marks it parts from them.
+        letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xDF, 0x100) if c != 0xF7]
+        runs = ["".join(letters) * 3, *letters, *(x + y for x in letters for y in letters)]
+        self.whole_letters = all(self.pattern.findall(r) == [r] for r in runs)
+        self.plain_letters = frozenset(letters)
+        self.parted = frozenset(m for m in _PLAIN_ENDS if all(self.pattern.findall(x + m) == [x, m] for x in letters))
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -72,6 +90,12 @@ class Bpe:
         if not plain or not model["end_of_word_suffix"] or forms != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or spec["post_processor"]:
             raise ValueError("this tokenizer file needs a form of encoding that is not built here")
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs of tokens, ``_NEVER`` where there is none."""
+        key = a * self.size + b
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == key, self.pair_order[place], _NEVER)
+
     def _crossed(self, a: np.ndarray, b: np.ndarray, before: np.ndarray) -> np.ndarray:
         """For pairs of neighbouring tokens: whether some merge of rank less than ``before`` would join a part of one with a part of the other.
 
@@ -82,9 +106,7 @@ class Bpe:
         a, b, at = a.copy(), b.copy(), np.arange(len(a))
         limit_a, limit_b = before.copy(), before.copy()
         while len(at):
-            key = a * self.size + b
-            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            rank = np.where(self.pairs[place] == key, self.pair_order[place], np.iinfo(np.int64).max)
+            rank = self._ranks(a, b)
             crossed = (rank < limit_a) & (rank <= limit_b)
             out[at[crossed]] = True
             rank_a, rank_b = self.rank[a], self.rank[b]
@@ -111,21 +133,70 @@ class Bpe:
         left, right = pairs // self.size, pairs % self.size
         return ~self._crossed(left, right, np.full(len(pairs), np.iinfo(np.int64).max))[which]
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match over a word in byte letters; the last token ends the word."""
-        out, i, n = [], 0, len(word)
-        while i < n:
-            for j in range(min(n, i + max(self.longest.get(word[i : i + 2], 1), 1)), i, -1):
-                token = self.vocab.get(word[i:] + self.end if j == n else word[i:j])
-                if token is not None:
-                    break
-            out.append(token)
-            i = j
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest matches over words in byte letters: tokens, the word of each, and the words that they do not cover.
+
+        All words are matched in one string. A token that ends a word holds its stop; a word whose last match leaves the stop over is not covered.
+        """
+        found = np.array([*self.matcher.iter_long(_STOP.join(words) + _STOP)], np.int64).reshape(-1, 2)
+        ends, tokens = found[:, 0] + 1, found[:, 1]
+        last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        owner = np.searchsorted(last, ends, side="left")
+        starts = ends - self.lengths[tokens]
+        expected = np.concatenate(([0], ends[:-1]))
+        broken = np.ones(len(words), bool)
+        broken[owner[ends == last[owner]]] = False
+        broken[owner[starts != expected]] = True
+        return tokens, owner, broken
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging in order of rank, leftmost first."""
-        tokens = [self.vocab[x] for x in word[:-1]] + [self.vocab[word[-1] + self.end]]
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Exact merging in order of rank, leftmost first: all short words at a time, one merge of each per step; long ones on their own."""
+        tokens = [[*map(self.vocab.__getitem__, w[:-1]), self.vocab[w[-1] + self.end]] for w in words]
+        short = [i for i, own in enumerate(tokens) if len(own) <= _SHORT]
+        by_length: dict[int, list[int]] = {}
+        for i in short:
+            by_length.setdefault(-(-len(tokens[i]) // 4) * 4, []).append(i)
+        for length, every in by_length.items():
+            for low in range(0, len(every), _ROWS):
+                rows = every[low : low + _ROWS]
+                for i, own in zip(rows, self._merge_short([tokens[i] for i in rows], length)):
+                    tokens[i] = own
+        return [own if len(w) <= _SHORT else self._merge_long(own) for w, own in zip(words, tokens)]
+
+    def _merge_short(self, words: list[list[int]], length: int) -> Iterator[list[int]]:
+        """One row per word, as its tokens and the ranks of neighbouring pairs; the least rank of each row is merged until none has one."""
+        sizes = np.array([len(w) for w in words])
+        held = np.zeros((len(words), length + 1), np.int32)
+        held[np.arange(length + 1) < sizes[:, None]] = [t for w in words for t in w]
+        never = np.int32(len(self.pairs))
+        rank_of = lambda a, b: np.minimum(self._ranks(a.astype(np.int64), b), never).astype(np.int32)
+        ranks = np.full((len(words), length), never, np.int32)
+        some = np.arange(1, length + 1) < sizes[:, None]
+        ranks[some] = rank_of(held[:, :-1][some], held[:, 1:][some])
+        every, at = held.copy(), np.arange(len(words))
+        cells = np.arange(length)
+        while len(at):
+            i = np.argmin(ranks, axis=1)
+            row = np.arange(len(at))
+            least = ranks[row, i]
+            if not (open_ := least < never).all():
+                every[at[~open_]] = held[~open_]
+                at, held, ranks, i, least = at[open_], held[open_], ranks[open_], i[open_], least[open_]
+                row = row[: len(at)]
+            later = cells > i[:, None]
+            np.copyto(held[:, :-1], held[:, 1:].copy(), where=later)
+            held[row, i] = self.made[least]
+            np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=later[:, :-1])
+            ranks[:, -1] = never
+            sizes[at] -= 1
+            left, right = np.flatnonzero(i > 0), np.flatnonzero(i + 1 < sizes[at])
+            ranks[row, i] = never
+            a, b = np.concatenate((row[left], row[right])), np.concatenate((i[left] - 1, i[right]))
+            ranks[a, b] = rank_of(held[a, b], held[a, b + 1])
+        for own, n in zip(every.tolist(), sizes.tolist()):
+            yield own[:n]
+
+    def _merge_long(self, tokens: list[int]) -> list[int]:
         before, after = list(range(-1, len(tokens) - 1)), list(range(1, len(tokens) + 1))
         heap = [(self.merges[p][0], i, p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.merges]
         heapq.heapify(heap)
@@ -146,21 +217,26 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Words in byte letters to tokens: proposals whose tokens and neighbours all pass stand, all others are merged exactly."""
-        proposed = [self.propose(w) for w in words]
-        sizes = np.array([len(p) for p in proposed], np.int64)
-        flat = np.array([t for p in proposed for t in p], np.int64)
-        owner = np.repeat(np.arange(len(words)), sizes)
-        failed = np.zeros(len(words), bool)
+        if not words:
+            return []
+        flat, owner, failed = self.propose(words)
         failed[owner[~self.sound[flat]]] = True
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else flat
+        inner = np.flatnonzero((owner[1:] == owner[:-1]) & ~failed[owner[1:]])
         if len(inner):
             failed[owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]] = True
-        for i in np.flatnonzero(failed).tolist():
-            proposed[i] = self.merge(words[i])
-        return proposed
+        borders = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        tokens = flat.tolist()
+        out = [tokens[a:b] for a, b in zip(borders, borders[1:])]
+        again = np.flatnonzero(failed).tolist()
+        for i, own in zip(again, self.merge([words[i] for i in again])):
+            out[i] = own
+        return out
 
     def split(self, text: str) -> list[str | int]:
         """A text's words in byte letters, and the ids of special tokens that it spells out."""
+        if self.whole_letters and text and self.plain_letters.issuperset(bare := (text[:-1] if text[-1] in self.parted else text).lower()):
+            parts = ([bare] if bare else []) + ([text[-1]] if len(text) > len(bare) else [])
+            return parts if text.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in parts]
         out: list[str | int] = []
         for piece in self.special_pattern.split(text) if self.special_pattern and "<" in text else [text]:
             if piece in self.special:

@@ -42,11 +42,25 @@ def test_speculation_agrees_with_exact_merging():
     rnd = random.Random(9)
     tokens = [n.removesuffix(bpe.end) for n in bpe.vocab]
     words = ["".join(rnd.choice(tokens) for _ in range(rnd.randint(1, 4))) for _ in range(20000)] + tokens
-    assert bpe.encode_words(words) == [bpe.merge(w) for w in words]
-    kept = sum(bpe.propose(w) == bpe.merge(w) for w in words[:2000])
+    assert bpe.encode_words(words) == bpe.merge(words) == [bpe._merge_long([bpe.vocab[x] for x in w[:-1]] + [bpe.vocab[w[-1] + bpe.end]]) for w in words]
+    flat, owner, _ = bpe.propose(words[:2000])
+    proposed = [[] for _ in range(2000)]
+    for word, token in zip(owner.tolist(), flat.tolist()):
+        proposed[word].append(token)
+    kept = sum(own == exact for own, exact in zip(proposed, bpe.merge(words[:2000])))
     assert 200 < kept < 2000  # both ways are taken
 
 
+def test_plain_words_are_split_like_all_others():
+    bpe = Bpe(public_file())
+    assert bpe.whole_letters and bpe.parted
+    for text in ("Word", "WORD.", "grüße,", "ÿ", "é!", "É?", "Straße", "İx", "ǅ", "naïve;", "a.b", ".", "it's", "x" * 99, "Σας", "\u00e9\u0301", "e\u0301", "ª", "ﬁ"):
+        own = bpe.split(text)
+        bpe.whole_letters = False
+        assert own == bpe.split(text), text
+        bpe.whole_letters = True
+
+
 def test_what_is_remembered_is_bounded():
     encoder = PieceEncoder(Bpe(public_file()), keep=100)
     whole = PieceEncoder(encoder.bpe)
