@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,102 +22,132 @@ LANGUAGES = 4096
 LOWER, UPPER = 4.0, 4.0
 SETTLE = 8000
 SKETCH = 4
-_PLACE = "key long, rank long, chunk long, place int"
+LEAST_SPREAD = 0.05
+_PAIRS = list(combinations(range(SKETCH), 2))
+_PLACE = "key long, rank long, chunk long, place int, facts binary"
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _MASK = lambda j: np.uint64((1 << 8 * j) - 1)
 
 
-class Counts:
-    """The base counts of a chunk's documents, and whether each fails the base rules."""
-
-    def __init__(self, chunk: packets.Chunk):
-        words = Words(chunk.data, chunk.offsets)
-        spans = np.zeros(len(chunk.data) + 1, np.int8)
-        spans[words.starts] += 1
-        spans[words.ends] -= 1
-        in_word = np.cumsum(spans[:-1], dtype=np.int8).view(bool)
-        self.n_words = words.counts
-        self.word_chars = per_text(in_word & ((chunk.data & 0xC0) != 0x80), chunk.offsets)
-        self.n_symbols = per_text(_SYMBOLS[chunk.data], chunk.offsets)
-        self.n_dup_lines = np.zeros(len(chunk), np.int64)
-        for i in range(len(chunk)):
-            lines = [line for line in chunk.text(i).split(b"\n") if line.strip()]
-            self.n_dup_lines[i] = len(lines) - len(set(lines))
-        hashes, valid = words.windows(5)
-        at = np.flatnonzero(valid)
-        with np.errstate(over="ignore"):
-            keys = hashes[at] + words.docs[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        order = np.argsort(keys)
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        number = np.diff(np.append(np.flatnonzero(new), len(keys)))
-        twice = at[order[(number > 1)[np.cumsum(new) - 1]]] if len(keys) else at
-        edges = np.zeros(len(words.starts) + 1, np.int64)
-        np.add.at(edges, twice, 1)
-        np.add.at(edges, twice + 5, -1)
-        self.n_repeat_words = np.bincount(words.docs[np.cumsum(edges[:-1]) > 0], minlength=len(chunk)).astype(np.int64)
-        self.failed = (self.n_words < 10) | (100 * self.n_repeat_words > 20 * self.n_words)
+class Facts:
+    """The base counts of a chunk's documents, whether each fails the base rules, and its least sketch; computed once a chunk and handed on in packed form."""
+
+    _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sketch")
 
+    def __init__(self, numbers: np.ndarray):
+        for name, own in zip(self._FIELDS, numbers):
+            setattr(self, name, own)
+        self.failed = (self.n_words < 10) | (100 * self.n_repeat_words > 20 * self.n_words)
 
-def sketches(chunk: packets.Chunk) -> np.ndarray:
-    """``SKETCH`` least hashes of each text's windows of five words in lower case; near copies share most of them. 0 where there is no window."""
-    words = Words(lower_ascii(chunk.data), chunk.offsets)
+    def pack(self) -> bytes:
+        return packets.squeeze(np.concatenate([getattr(self, name) for name in self._FIELDS]))
+
+    @classmethod
+    def unpack(cls, body: bytes) -> Facts:
+        return cls(packets.expand(body, np.int64).reshape(len(cls._FIELDS), -1))
+
+
+def base_counts(chunk: packets.Chunk, words: Words) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a chunk's documents."""
+    spans = np.zeros(len(chunk.data) + 1, np.int8)
+    spans[words.starts] += 1
+    spans[words.ends] -= 1
+    in_word = np.cumsum(spans[:-1], dtype=np.int8).view(bool)
+    word_chars = per_text(in_word & ((chunk.data & 0xC0) != 0x80), chunk.offsets)
+    n_symbols = per_text(_SYMBOLS[chunk.data], chunk.offsets)
+    n_dup_lines = np.zeros(len(chunk), np.int64)
+    for i in range(len(chunk)):
+        lines = [line for line in chunk.text(i).split(b"\n") if line.strip()]
+        n_dup_lines[i] = len(lines) - len(set(lines))
     hashes, valid = words.windows(5)
     at = np.flatnonzero(valid)
-    out = np.zeros((SKETCH, len(chunk)), np.uint64)
+    with np.errstate(over="ignore"):
+        keys = hashes[at] + words.docs[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    # a key that stands once is told by its neighbours in sorted order; places are looked up only for the few that repeat
+    ordered = np.sort(keys)
+    same = ordered[1:] == ordered[:-1]
+    twice = at[np.isin(keys, np.unique(ordered[1:][same]))] if same.any() else at[:0]
+    n = len(words.starts) + 1
+    edges = np.bincount(twice, minlength=n) - np.bincount(twice + 5, minlength=n)
+    n_repeat_words = np.bincount(words.docs[np.cumsum(edges[:-1]) > 0], minlength=len(chunk)).astype(np.int64)
+    return [words.counts, word_chars, n_symbols, n_dup_lines, n_repeat_words]
+
+
+def sketches(words: Words, n: int) -> np.ndarray:
+    """``SKETCH`` least hashes of the windows of five words of each of ``n`` texts; near copies share most of them. 0 where there is no window."""
+    hashes, valid = words.windows(5)
+    at = np.flatnonzero(valid)
+    out = np.zeros((SKETCH, n), np.uint64)
     if len(at):
-        docs = words.docs[at]
+        docs, own = words.docs[at], hashes[at]
         heads = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
         for k in range(SKETCH):
-            out[k, docs[heads]] = np.minimum.reduceat(mix(hashes[at] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), heads)
+            out[k, docs[heads]] = np.minimum.reduceat(mix(own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), heads)
     return out
 
 
 def _places(chunk: packets.Chunk, name: int, lang: str) -> pa.RecordBatch:
-    """A row for each sketch of each text that passes the base rules, and one that names the chunk."""
-    rows = np.flatnonzero(~Counts(chunk).failed)
+    """A row for each pair of sketches of each text that passes the base rules, and one with the facts of the chunk."""
+    words = Words(chunk.data, chunk.offsets)
+    counts = base_counts(chunk, words)
+    least = sketches(words.of(lower_ascii(chunk.data)), len(chunk))
+    facts = Facts(np.stack([*counts, least[0].view(np.int64)]))
+    rows = np.flatnonzero(~facts.failed)
     own = chunk.table[lang].to_pylist()
     tongue = np.array([xxhash.xxh3_64_intdigest(own[i] or "") for i in rows.tolist()], np.uint64)
     rank = np.array([xxhash.xxh3_64_intdigest(chunk.text(i)) for i in rows.tolist()], np.uint64)
-    least = sketches(chunk)[:, rows]
+    least = least[:, rows]
     with np.errstate(over="ignore"):
-        keys = [mix(least[k] ^ mix(tongue + np.uint64(k))) for k in range(SKETCH)]
+        keys = [mix(least[i] ^ mix(least[j] ^ mix(tongue + np.uint64(SKETCH * i + j)))) for i, j in _PAIRS]
+    n = len(_PAIRS) * len(rows)
     columns = (
-        np.concatenate([*keys, np.array([name], np.int64).view(np.uint64)]).view(np.int64),
-        np.append(np.tile(rank.view(np.int64), SKETCH), 0),
-        np.full(SKETCH * len(rows) + 1, name, np.int64),
-        np.append(np.tile(rows, SKETCH), -1).astype(np.int32),
+        pa.array(np.concatenate([*keys, np.zeros(1, np.uint64)]).view(np.int64)),
+        pa.array(np.append(np.tile(rank.view(np.int64), len(_PAIRS)), 0)),
+        pa.array(np.full(n + 1, name, np.int64)),
+        pa.array(np.append(np.tile(rows, len(_PAIRS)), -1).astype(np.int32)),
+        pa.array([None] * n + [facts.pack()], pa.binary()),
     )
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rank", "chunk", "place"])
+    return pa.RecordBatch.from_arrays(list(columns), names=["key", "rank", "chunk", "place", "facts"])
 
 
-def _learnt(docs: DataFrame, id_col: str, text_col: str, lang: str) -> dict[int, bytes]:
-    """By chunk, a bit for each row: whether the model learns it.
+def _learnt(places: DataFrame, apart: bool) -> dict[int, tuple[bytes, bytes]]:
+    """By chunk, two bits for each row: whether the model learns it, and its fold.
 
-    Of the texts of a language that share a sketch, the one of least hash is first. A text that is first in all of its sketches is learnt, once:
-    of copies and near copies, whatever their number, one is.
+    Texts of a language that share two of four sketches are copies or near copies; one shared window does not make them so. A text is learnt if none of
+    lesser hash is its copy: the least of a group always is, and no other one that a lesser member matches. Equal texts go by chunk and place.
     """
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for chunk in packets.chunks(batches, text_col):
-            yield _places(chunk, chunk.name(id_col), lang)
-
     def bits(table: pa.Table) -> pa.Table:
-        places = table["place"].to_numpy()
-        flags = np.zeros(places.max() + 1, bool)
-        flags[places[places >= 0]] = True
-        return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+        facts = Facts.unpack(next(f for f in table["facts"].to_pylist() if f is not None))
+        flags = np.zeros(len(facts.sketch), bool)
+        own = table["place"].to_numpy()
+        flags[own[own >= 0]] = True
+        packed = [pa.array([np.packbits(b).tobytes()], pa.binary()) for b in (flags, _folds(facts, apart) == 1)]
+        return pa.table({"chunk": table["chunk"][:1], "taught": packed[0], "fold": packed[1]})
 
-    first = docs.mapInArrow(run, _PLACE).groupBy("key").agg(F.min(F.struct("rank", "chunk", "place")).alias("first")).select("first.*")
-    won = first.groupBy("chunk", "place").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {SKETCH} or place < 0")
-    return {r["chunk"]: bytes(r["bits"]) for r in won.select("chunk", "place").groupBy("chunk").applyInArrow(bits, "chunk long, bits binary").collect()}
+    none = F.lit(None).cast("binary").alias("facts")
+    first = places.where("place >= 0").groupBy("key").agg(F.min(F.struct("rank", "chunk", "place")).alias("first")).select("first.*")
+    won = first.groupBy("chunk", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(_PAIRS)).select("chunk", "place", none)
+    whole = won.unionByName(places.where("place < 0").select("chunk", "place", "facts"))
+    rows = whole.groupBy("chunk").applyInArrow(bits, "chunk long, taught binary, fold binary").collect()
+    return {r["chunk"]: (bytes(r["taught"]), bytes(r["fold"])) for r in rows}
 
 
-def _flags(learnt: dict[int, bytes], name: int, n: int) -> np.ndarray:
+def _folds(facts: Facts, apart: bool) -> np.ndarray:
+    return (facts.sketch.view(np.uint64) >> np.uint64(32) & np.uint64(apart)).astype(np.int64)
+
+
+def _flags(learnt: dict[int, tuple[bytes, bytes]], name: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's rows: whether each is learnt, and its fold."""
     if name not in learnt:
         raise RuntimeError("an unknown chunk: the input changed between two reads")
-    found = np.unpackbits(np.frombuffer(learnt[name], np.uint8))[:n].astype(bool)
-    return np.append(found, np.zeros(n - len(found), bool))
+    taught, folds = (np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b in learnt[name])
+    return taught.astype(bool), folds.astype(np.int64)
+
+
+def _short(values: np.ndarray) -> np.ndarray:
+    """Single precision with 16 bits of fraction, off by 2 ** -17 of a value at most: the last byte takes next to no room in a packet."""
+    return ((values.astype(np.float32).view(np.uint32) + np.uint32(0x40)) & np.uint32(0xFFFFFF80)).view(np.float32)
 
 
 def discounts(counts_of_counts) -> np.ndarray:
@@ -214,7 +245,7 @@ def _merge_answers(asked: list[dict], order: int, low: dict) -> Iterator[tuple]:
     for p in asked:
         if p["b"] is None:
             wanted = packets.expand(p["keys"], np.uint64, rising=True)
-            values = np.log10(probabilities(wanted, keys, counts, order, low[p["step"]])).astype(np.float32)
+            values = _short(np.log10(probabilities(wanted, keys, counts, order, low[p["step"]])))
             yield (p["step"], p["part"], p["chunk"], p["n"], None, packets.squeeze(values), None, None)
 
 
@@ -251,12 +282,19 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
         raise ValueError(f"more than {LANGUAGES} languages: {lang} is no language column")
     codes = {x: i for i, x in enumerate(sorted(named))}
     n = max(2 * len(codes), 1)
-    folds_of = lambda chunk: (sketches(chunk)[0] >> np.uint64(32) & np.uint64(apart)).astype(np.int64)
     other = lambda step: step.bitwiseXOR(F.lit(int(apart)))
 
-    learnt = docs.sparkSession.sparkContext.broadcast(_learnt(docs, id_col, text_col, lang))
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for chunk in packets.chunks(batches, text_col):
+            yield _places(chunk, chunk.name(id_col), lang)
+
+    places = save(docs.mapInArrow(place, _PLACE), "op1-places")
+    learnt = docs.sparkSession.sparkContext.broadcast(_learnt(places, apart))
 
-    asked = save(packets.requests(docs, id_col, text_col, lambda chunk, name: _Asked(chunk, _flags(learnt.value, name, len(chunk)), folds_of(chunk), lang, order, codes, parts).rows(name)), "op1-asked")
+    def ask(chunk: packets.Chunk, name: int) -> Iterator[tuple]:
+        return _Asked(chunk, *_flags(learnt.value, name, len(chunk)), lang, order, codes, parts).rows(name)
+
+    asked = save(packets.requests(docs, id_col, text_col, ask), "op1-asked")
     model = save(packets.answers(asked, lambda p: _merge_model(p, order, n, parts)), "op1-model")
     stats = {(r[0] - 2 * n, r[1]): r[2] for r in model.where(F.col("step") >= 2 * n).groupBy("step", "part").agg(F.sum("chunk")).collect()}
     low: dict[int, list] = {c: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for c in range(n)}
@@ -265,12 +303,17 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
         low[r["step"] - n][1].append(packets.expand(bytes(r["a"]), np.int64))
     upper = lambda c: [discounts([stats.get((c, 4 * j + k), 0) for k in range(4)]) for j in range(order - 3)]
     tables = docs.sparkSession.sparkContext.broadcast({c: LowOrders(*add_up(np.concatenate(k), np.concatenate(v)), upper(c)) for c, (k, v) in low.items()})
-    told = packets.answers(asked.withColumn("step", other(F.col("step"))).unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
+    bare = asked.withColumns({"step": other(F.col("step")), "a": F.lit(None).cast("binary")})  # the counts are in the model
+    told = packets.answers(bare.unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
+    none = F.lit(None).cast("binary")
+    known = places.where("place < 0").select(F.lit(-1).alias("step"), F.lit(0).alias("part"), "chunk", F.lit(0).alias("n"), none.alias("keys"), F.col("facts").alias("a"), none.alias("b"), none.alias("c"))
 
     def use(chunk, name, found):
-        counts = Counts(chunk)
+        if -1 not in found:
+            raise RuntimeError("an unknown chunk: the input changed between two reads")
+        counts = Facts.unpack(found[-1][0]["a"])
         logs = np.zeros(len(chunk))
-        taught, folds = _flags(learnt.value, name, len(chunk)), folds_of(chunk)
+        taught, folds = _flags(learnt.value, name, len(chunk))
         own = _Asked(chunk, taught, folds, lang, order, codes, parts)
         for c, rows, texts, keys, _, by, places in own.groups:
             values = ngrams.answered(found, c ^ int(apart), by, places, np.float32)
@@ -285,7 +328,7 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
 
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, language string, n_bytes long, log10_per_byte double, learnt boolean, fold long"
     schema = T.StructType([T.StructField("row", docs.select(*carry).schema), *T.StructType.fromDDL(fields).fields])
-    return packets.meet(packets.packs(docs, id_col, text_col), told, text_col, use, schema)
+    return packets.meet(packets.packs(docs, id_col, text_col), told.unionByName(known), text_col, use, schema)
 
 
 def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settle: int = SETTLE) -> DataFrame:
@@ -295,6 +338,9 @@ def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settl
     taken times sqrt(bytes / (bytes + settle)). A band runs from ``lower`` spreads below to ``upper`` spreads above zero; the spread is half the
     distance from the 16th to the 84th percentile of the deviations. Median and spread are taken over the language's learnt documents, or over its
     base-passing ones where no column says which are learnt.
+
+    A few documents say little of their language's spread, and the models learnt from them scatter more. So ``LEAST_SPREAD`` ** 2 / (number of documents)
+    is added to the squared spread: a wide band for a handful of texts, next to nothing for thousands.
     """
     log = -F.col("log10_per_byte")
     model = ["language", "fold"] if "fold" in measured.columns else ["language"]
@@ -303,8 +349,10 @@ def judge(measured: DataFrame, lower: float = LOWER, upper: float = UPPER, settl
     middle = passing.groupBy(*model).agg(F.percentile_approx(log, 0.5, 10_000).alias("middle"))
     deviation = (log - F.col("middle")) * F.sqrt(F.col("n_bytes") / (F.col("n_bytes") + settle))
     marks = F.percentile_approx(deviation, F.array(F.lit(0.16), F.lit(0.84)), 10_000)
-    spread = passing.join(F.broadcast(middle), model).groupBy("language").agg(marks.alias("m"))
-    bands = spread.select("language", (-lower * (F.col("m")[1] - F.col("m")[0]) / 2).alias("least"), (upper * (F.col("m")[1] - F.col("m")[0]) / 2).alias("most"))
+    half = (F.col("m")[1] - F.col("m")[0]) / 2
+    spread = passing.join(F.broadcast(middle), model).groupBy("language").agg(marks.alias("m"), F.count(F.lit(1)).alias("n"))
+    spread = spread.select("language", F.sqrt(half * half + LEAST_SPREAD**2 / F.col("n")).alias("s"))
+    bands = spread.select("language", (-lower * F.col("s")).alias("least"), (upper * F.col("s")).alias("most"))
     judged = measured.join(F.broadcast(middle), model, "left").join(F.broadcast(bands), "language", "left")
     # a fold in which no text is learnt has nothing to be judged by
     judged = judged.withColumns({"perplexity": F.pow(F.lit(10.0), log), "deviation": F.coalesce(deviation, F.when(~F.col("base_failed"), 0.0))})

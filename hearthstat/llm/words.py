@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 #: Fixed odd multipliers of the rolling hashes (any odd numbers do) and the steps of the bit mixer.
@@ -85,6 +87,12 @@ class Words:
         if hashed:
             self.hashes = self._hashes(data)
 
+    def of(self, data: np.ndarray) -> Words:
+        """The same words in a buffer that differs in letter case only: places are kept, hashes are taken anew."""
+        out = copy.copy(self)
+        out.hashes = out._hashes(data)
+        return out
+
     def _hashes(self, data: np.ndarray) -> np.ndarray:
         heads, tails = np.empty(len(self.starts), np.uint64), np.empty(len(self.starts), np.uint64)
         carry = np.uint64(0)

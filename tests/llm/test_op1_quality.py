@@ -151,3 +151,36 @@ def test_fold_without_learnt_texts(spark):
     rows = [("en", 0, True, -0.6 + 0.001 * i) for i in range(-5, 6)] + [("en", 1, False, -0.2)]
     df = spark.createDataFrame(rows, "language string, fold long, learnt boolean, log10_per_byte double").selectExpr("*", "false as base_failed", "5000L as n_bytes")
     assert all(r["kept"] for r in judge(df).collect())
+
+
+@pytest.mark.parametrize("size", [150, 1000])
+def test_small_languages_keep_their_clean_texts(spark, size):
+    rows = [(100 * n + i, f"l{n}", prose(100 * n + i, size)) for n in range(1, 21) for i in range(n)]
+    rows += [(10_000 + i, lang, near_copy(text, i)) for i, lang, text in rows]
+    got = {r["row"]["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string"), ["doc_id"]).collect()}
+    assert [(i, lang) for i, lang, _ in rows if not got[i]["kept"]] == []
+
+
+def test_one_shared_window_is_no_copy_and_one_of_each_group_is_learnt(spark):
+    shared = "a passage of some words that many of the texts quote in full"
+    texts = [prose(i, 120) + " " + shared + " " + prose(1000 + i, 120) for i in range(60)]
+    rows = [(i, "en", text) for i, text in enumerate(texts)]
+    rows += [(1000 + 60 * k + i, "en", near_copy(text, k) if k else text) for k in range(3) for i, text in enumerate(texts)]
+    got = measure(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(7), ["doc_id"], apart=True).collect()
+    learnt = [0] * 60
+    for r in got:
+        i = r["row"]["doc_id"]
+        learnt[i if i < 1000 else (i - 1000) % 60] += r["learnt"]
+    # four sketches of two near copies agree in fewer than two places with a chance of some 0.002
+    assert min(learnt) == 1 and sum(learnt) <= 62
+    exact = [r for r in got if r["row"]["doc_id"] < 1060]
+    assert {r["row"]["doc_id"] % 1000 for r in exact if r["learnt"]} <= set(range(60)) and sum(r["learnt"] for r in exact) <= 60
+
+
+def test_nulls_long_texts_and_clashing_columns(spark):
+    rows = [(None, None, None), (None, "en", ""), (1, "en", prose(1, 200_000)), (1, "en", prose(1, 200_000)), (None, "en", prose(2)), (2, None, prose(3))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").selectExpr("*", "1 as chunk", "'x' as facts", "2 as n_words", "0 as row", "'y' as language")
+    got = quality_rules(df, ["doc_id", "chunk", "facts", "n_words", "row", "language"]).collect()
+    assert len(got) == len(rows) and all(r["row"]["n_words"] == 2 and r["row"]["facts"] == "x" for r in got)
+    assert sorted(r["n_words"] for r in got) == [0, 0, 300, 300, 200_000, 200_000]
+    assert all(r["kept"] != r["base_failed"] for r in got)
