@@ -22,9 +22,11 @@ _ENDS = {
     "option": ({"option"}, {"select", "datalist"}), "body": ({"head"}, set()),
 }
 
-#: Elements that are never the article's text; words of class, id or role that say the same wherever they stand (adverts, notices, comments, forms);
-#: words that say it outside articles and main only; and words that may stand beside these in a name of several words.
-DROPPED = frozenset("head script style template noscript iframe object svg math canvas audio video nav footer aside form button select textarea input dialog menu title".split())
+#: Elements that are never the article's text (of formulas, the annotations that no browser shows); words of class, id or role that say the same wherever they
+#: stand (adverts, notices, comments, forms); words that say it outside articles and main only; and words that may stand beside these in a name of several words.
+DROPPED = frozenset(
+    "head script style template noscript iframe svg annotation annotation-xml canvas audio video nav footer aside form button select textarea input dialog menu title".split()
+)
 PLAIN = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices popup modal"
     " comment comments commentlist respond disqus replies reader-comments newsletter subscribe paywall login signup".split()
@@ -33,6 +35,10 @@ HINTS = frozenset(
     "banner alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead contentinfo complementary search related share sharing"
     " social widget pagination".split()
 )
+#: As the id of an element in an article or main, only these words say it alone: other ids are made from headings as often.
+_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored".split())
+#: What shows that an element in main content, named by its id as a form or as comments, is one.
+_FORM_OR_REPLIES = frozenset("form input textarea select button iframe article".split())
 _BESIDE = HINTS | PLAIN | frozenset("area bar block box container form list overlay panel section slot unit wrap wrapper".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -41,44 +47,53 @@ _TAG = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 def _named(word: str, names: frozenset[str]) -> bool:
-    """Whether a class, id or role is one of the names, or is made of one of them and words that may stand beside it."""
+    """Whether a class, id or role is one of the names, or is made of one of them and words or numbers that may stand beside it."""
     parts = [part for part in _PARTS.split(word) if part]
-    return word in names or (bool(parts) and parts[0] in names and all(part in _BESIDE for part in parts))
+    return word in names or (bool(parts) and parts[0] in names and all(part in _BESIDE or part.isdigit() for part in parts))
 
 
-def _hinted(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is unwanted wherever it stands, and whether it is outside articles and main. The id of a heading says nothing."""
-    words = [w for kind, value in _NAMED.findall(attributes) if kind.lower() != "id" or name not in _HEADINGS for w in value.strip("\"'").lower().split()]
-    return bool(_HIDDEN.search(attributes)) or any(_named(w, PLAIN) for w in words), any(_named(w, HINTS) for w in words)
+def _hinted(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is unwanted wherever it stands; whether it is outside articles and main; and whether it is unwanted by its id only, which may be
+    that of a section of the article. The id of a heading says nothing."""
+    words: dict[str, list[str]] = {"class": [], "id": [], "role": []}
+    for kind, value in _NAMED.findall(attributes):
+        words[kind.lower()] += value.strip("\"'").lower().split()
+    ids = words["id"] if name not in _HEADINGS else []
+    said = [*words["class"], *words["role"]]
+    plain = bool(_HIDDEN.search(attributes)) or any(_named(w, PLAIN) for w in said) or any(_named(w, _ADVERTS) for w in ids)
+    return plain, any(_named(w, HINTS) for w in (*said, *ids)), any(_named(w, PLAIN) for w in ids)
 
 
 class Page:
-    """Elements in page order (``names``, ``parents``, ``unwanted``, ``hinted``) and ``events``: (element, text) or (element, None) for a block border."""
+    """Elements in page order (``names``, ``parents``, ``unwanted``, ``hinted``, ``by_id``) and ``events``: (element, text) or (element, None) for a block border."""
 
     def __init__(self, text: str):
-        self.names, self.parents, self.unwanted, self.hinted = [""], [0], [False], [False]
+        self.names, self.parents, self.unwanted, self.hinted, self.by_id = [""], [0], [False], [False], [False]
         self.events: list[tuple[int, str | None]] = []
         stack = [0]
+        depths: dict[str, list[int]] = {}  # of the open elements of each name
+
+        def opened(element: int) -> None:
+            depths.setdefault(self.names[element], []).append(len(stack))
+            stack.append(element)
 
         def close_until(depth: int) -> None:
             while len(stack) > depth:
                 if self.names[stack[-1]] in BLOCK:
                     self.events.append((stack[-1], None))
-                stack.pop()
+                depths[self.names[stack.pop()]].pop()
 
-        def last_open(wanted: set[str] | frozenset[str], barrier) -> int:
-            for d in range(len(stack) - 1, 0, -1):
-                name = self.names[stack[d]]
-                if name in wanted:
-                    return d
-                if name in barrier:
-                    return 0
-            return 0
+        def deepest(names) -> int:
+            return max((depths[name][-1] for name in names if depths.get(name)), default=0)
+
+        def last_open(wanted, barrier) -> int:
+            depth = deepest(wanted)
+            return depth if depth and depth > deepest(barrier) else 0
 
         at = 0
         while m := _TAG.search(text, at):
@@ -100,9 +115,10 @@ class Page:
             self.names.append(name)
             self.parents.append(stack[-1])
             spared = name in ("html", "body", "main") or (name == "article" and not last_open({"article"}, ()))
-            plain, hinted = _hinted(name, attributes) if attributes and not spared else (False, False)
+            plain, hinted, by_id = _hinted(name, attributes) if attributes and not spared else (False, False, False)
             self.unwanted.append(name in DROPPED or plain)
             self.hinted.append(hinted)
+            self.by_id.append(by_id)
             own = len(self.names) - 1
             if name in BLOCK:
                 self.events.append((own, None))
@@ -112,13 +128,16 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(text, at)
                 self.events.append((own, text[at : end.start() if end else len(text)]))
                 at = end.start() if end else len(text)
-                stack.append(own)
+                opened(own)
             elif name not in VOID:
-                stack.append(own)
+                opened(own)
         if at < len(text):
             self.events.append((stack[-1], text[at:]))
         close_until(1)
 
+        self.held = [name in _FORM_OR_REPLIES for name in self.names]  # a form or replies, here or below
+        for i in range(len(self.names) - 1, 0, -1):
+            self.held[self.parents[i]] |= self.held[i]
         self.content = self._content()
 
     def _content(self, removed: list[bool] | None = None) -> list[bool]:
@@ -142,7 +161,8 @@ class Page:
         inside[0] = not wanted
         for i in range(1, len(self.names)):
             parent = self.parents[i]
-            hinted = self.hinted[i] and not (wanted and inside[parent])
+            within = bool(wanted) and inside[parent]
+            hinted = self.by_id[i] and self.held[i] if within else self.hinted[i] or self.by_id[i]
             gone[i] = gone[parent] or self.unwanted[i] or hinted or bool(removed and removed[i] or besides and besides[i]) or (not wanted and self.names[i] == "header")
             inside[i] = (inside[parent] or self.names[i] == wanted) and not gone[i]
         return inside
@@ -160,11 +180,36 @@ class Page:
                 parts[self.parents[i]].append(f"\1{out[i]}")
         return out
 
+    def main(self) -> list[bool]:
+        """Elements of the main content that lie in an article or main."""
+        named = any(name in ("article", "main") for name in self.names)
+        return [named and own for own in self.content]
+
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        """Blocks of the main content of what is left without elements whose subtree is one of ``templates``, joined by an empty line."""
+        """Blocks of the main content of what is left without elements whose subtree is one of ``templates``, joined by an empty line.
+
+        If templates make up more than half of the blocks in article or main, and more than half of their text, the page is a near copy of
+        others and not what a template leaves to fill in: then they go outside article and main only.
+        """
         kept = self.content
         if templates:
-            kept = self._content([i > 0 and h in templates for i, h in enumerate(self.hashes())])
+            removed = [i > 0 and h in templates for i, h in enumerate(self.hashes())]
+            inside = self.main()
+            if any(r and i for r, i in zip(removed, inside)):
+                whole, left = self._blocks(inside), self._blocks([i and not r for i, r in zip(inside, self._below(removed))])
+                if 2 * len(left) < len(whole) and 2 * sum(map(len, left)) < sum(map(len, whole)):
+                    removed = [r and not i for r, i in zip(removed, inside)]
+            kept = self._content(removed)
+        return "\n\n".join(self._blocks(kept))
+
+    def _below(self, marked: list[bool]) -> list[bool]:
+        """Elements that are marked or lie in one that is."""
+        out = list(marked)
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parents[i]]
+        return out
+
+    def _blocks(self, kept: list[bool]) -> list[str]:
         blocks, held = [], []
         for node, text in self.events:
             if text is None:
@@ -175,4 +220,4 @@ class Page:
                 held.append(text)
         blocks.append(held)
         done = (" ".join(references.unescape("".join(b)).split()) for b in blocks)
-        return "\n\n".join(b for b in done if b)
+        return [b for b in done if b]

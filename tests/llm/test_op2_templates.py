@@ -1,11 +1,14 @@
 import html
 import os
+import random
 import re
+import time
+from collections import defaultdict
 
 import pytest
 
-from hearthstat.llm.html import Page
-from hearthstat.llm.op2_templates import extract_text, op2_site_templates
+from hearthstat.llm.html import BLOCK, Page
+from hearthstat.llm.op2_templates import extract_text, op2_site_templates, site_templates
 
 CASES = [
     ("<p>a<p>b", "a\n\nb"),
@@ -71,6 +74,60 @@ def test_near_copies_on_a_small_host_keep_their_text(spark):
     assert all(r["text"] == f"t\n\nthe same text\n\nedit {r['row']['page_id']}" for r in got)
 
 
+def test_article_sections_named_like_notices_stay():
+    source = (
+        "<main><h1>Daemons</h1><p>first</p><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math><section id='login'><h2>Login</h2><p>the login daemon</p></section>"
+        "<div id='notice'>On notice periods</div><p aria-hidden='true'>seen</p><div id='comments'><p>Comments on the law</p></div><p>last</p>"
+        "<div id='login-box'><p>Log in</p><form><input></form></div><div id='comments'><article>a reply</article></div><div id='ad-1'>buy</div></main>"
+    )
+    assert Page(source).text() == "Daemons\n\nfirst\n\nx=1\n\nLogin\n\nthe login daemon\n\nOn notice periods\n\nseen\n\nComments on the law\n\nlast"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.perf_counter()
+    assert Page("<div>" * 20_000 + "deep").text() == "deep"
+    assert Page("<p>" + "<b><i>" * 20_000 + "deep" + "</i></b>" * 20_000 + "<div>x").text() == "deep\n\nx"
+    assert len(Page("<article>" + "<p>some words &amp; more</p>" * 50_000 + "</article>").text()) == 50_000 * 19 - 2
+    assert time.perf_counter() - start < 10
+
+
+def test_boilerplate_in_main_goes_on_small_hosts(spark):
+    box = "<div><p>Read more of our stories here</p></div>"
+    rows = [(i, f"http://s.example/{i}", f"<main><h1>title {i}</h1><p>a text of its own, {i}</p><p>and another one, {i}</p>{box}</main>") for i in range(3)]
+    got = {r["row"]["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {i: f"title {i}\n\na text of its own, {i}\n\nand another one, {i}" for i in range(3)}
+
+
+def test_templates_like_a_dictionary_of_subtrees(spark):
+    rnd = random.Random(4)
+    boxes = [f"<div><p>box {k}</p><ul><li>{k}</ul></div>" for k in range(6)]
+    rows = []
+    for i in range(120):
+        host, folder = rnd.choice("abc"), rnd.choice(["", "x/", "y/"])
+        own = rnd.choice(["same", f"text {i}"])
+        inner = "".join(b for b in boxes if rnd.random() < 0.5)
+        rows.append((i, f"http://{host}.example/{folder}{i}", f"{inner}<article><p>{own}</p></article>"))
+    rows += rows[:10]
+    where = lambda url: (url.split("/")[2], "/".join(url.split("/")[2:-1]))
+    contents, stands = defaultdict(set), defaultdict(set)
+    for _, url, source in rows:
+        page = Page(source)
+        hashes, context = page.hashes(), re.search("<article>.*", source)[0]
+        for site in set(where(url)):
+            contents[site].add(context)
+            for i in range(1, len(hashes)):
+                if page.names[i] in BLOCK:
+                    stands[site, hashes[i]].add(context)
+    often = defaultdict(set)
+    for (site, subtree), found in stands.items():
+        if len(found) >= 3 and len(found) >= 0.5 * len(contents[site]):
+            often[site].add(subtree)
+    want = {section: often[host] | often[section] for host, section in {where(url) for _, url, _ in rows}}
+    df = spark.createDataFrame([(*where(url), source) for _, url, source in rows], "host string, section string, html string")
+    got = {r["section"]: set(r["templates"]) for r in site_templates(df.repartition(5)).collect()}
+    assert any(want.values()) and got == {section: found for section, found in want.items() if found}
+
+
 def test_query_on_table(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
