@@ -18,7 +18,10 @@ from hearthstat.llm.shared import save
 
 SHARE = 0.5
 LEAST = 3
+LEAST_LONE = 16
 BATCH_BYTES = 8 << 20
+#: Elements that hold a passage rather than parts of a page.
+_PASSAGE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption td th".split())
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _SECTION = r"^[a-z][a-z0-9+.-]*://[^/?#]*/([^/?#]+)/"
 
@@ -34,7 +37,8 @@ def _by_bytes(batch: pa.RecordBatch, html_col: str) -> Iterator[pa.RecordBatch]:
 
 
 def _subtrees(pages: DataFrame, html_col: str) -> DataFrame:
-    """(site, subtree, context): all block elements of each page, with a hash of its main content; subtree 0 stands for the page.
+    """(site, subtree, context, lone): all block elements of each page, with a hash of its main content, and whether they are passages of an article or main;
+    subtree 0 stands for the page.
 
     A page's sites are its host and, where the path has a first folder, that folder of the host (``section``).
     """
@@ -48,22 +52,25 @@ def _subtrees(pages: DataFrame, html_col: str) -> DataFrame:
                 outer = [i for i in range(len(hashes)) if page.content[i] and not (i and page.content[page.parents[i]])]
                 context = xxhash.xxh3_64_intdigest(" ".join(str(hashes[i]) for i in outer)) >> 1
                 blocks = {0, *(hashes[i] for i in range(1, len(hashes)) if page.names[i] in BLOCK)}
-                found.update((site, block, context) for site in {host, section} for block in blocks)
+                lone = {hashes[i] for i, own in enumerate(page.main()) if own and page.names[i] in _PASSAGE}
+                found.update((site, block, context, block in lone) for site in {host, section} for block in blocks)
             rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["site", "subtree", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.bool_()))], names=["site", "subtree", "context", "lone"])
 
-    return pages.mapInArrow(run, "site string, subtree long, context long")
+    return pages.mapInArrow(run, "site string, subtree long, context long, lone boolean")
 
 
 def site_templates(pages: DataFrame, html_col: str = "html", share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(section, templates): the subtrees that stand in at least ``share``, and ``least``, of the different main contents of the section or of its host.
 
     ``pages`` has ``host`` and ``section``. A subtree counts once per distinct content, so copies of a page do not make its article a template. Of near copies
-    it may: ``Page.text`` tells by the share of a page's main content that is common, at every number of pages. Counts are
+    it may: ``Page.text`` tells by the share of a page's main content that is common, at every number of pages. A paragraph, heading or list item of an
+    article or main that stands in a few contents is quoted as often as it is a template, so it has to stand in ``LEAST_LONE``, unless what holds it recurs. Counts are
     partial before they are shuffled. A site has at most 1 / share times the blocks of a page, whatever its number of pages.
     """
-    counted = _subtrees(pages, html_col).distinct().groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    counted = save(counted.where(f"n >= {least} or subtree = 0"), "op2-counts")
+    counted = _subtrees(pages, html_col).groupBy("site", "subtree", "context").agg(F.max("lone").alias("lone"))
+    counted = counted.groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("lone").alias("lone"))
+    counted = save(counted.where(f"n >= if(lone, {max(least, LEAST_LONE)}, {least}) or subtree = 0").drop("lone"), "op2-counts")
     whole = counted.where("subtree = 0").select("site", F.col("n").alias("contents"))
     recurring = counted.where("subtree <> 0").join(whole, "site").where(F.col("n") >= share * F.col("contents"))
     of_site = save(recurring.groupBy("site").agg(F.collect_list("subtree").alias("own")), "op2-sites")

@@ -111,12 +111,15 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     tile keeps k rows per query, and a window over those ranks them.
 
     Vectors that are null, or hold a null or non-finite component, and rows without an id take no part. Vectors are compared with
-    those of as many components. Rows that share an id are never a result of a query of that id; elsewhere each stands for itself. Ties go to the smaller id.
+    those of as many components. Rows that share an id are never a result of a query of that id; elsewhere each stands for itself. A query id that
+    stands in several rows asks once, with the least of its vectors. Ties go to the smaller id.
     Where products might not fit 53 bits they are taken in unbounded integers, and scores are cut to 2 ** 63 - 1 either way before they are ranked. Empty in, empty out.
     """
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     table = save(_packets(kept.select("id", "vector"), "vector", scale, block, cells), "op9-cells")
-    asked = save(_packets(kept.where("asks").select("id", "vector"), "vector", scale, QUERY_BLOCK, cells), "op9-queries")
+    whole = F.forall("vector", lambda x: x.isNotNull() & (F.abs(scale * x.cast("double")) < float("inf")))  # NaN is above infinity
+    asks = kept.where("asks and id is not null").where(F.col("vector").isNotNull() & whole).groupBy("id").agg(F.min("vector").alias("vector"))
+    asked = save(_packets(asks, "vector", scale, QUERY_BLOCK, cells), "op9-queries")
     columns, rows = max(1, table.count()), max(1, -(-asked.count() // TILE_QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("width", "n", "ids"), F.lit(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))

@@ -98,6 +98,12 @@ def test_boilerplate_in_main_goes_on_small_hosts(spark):
     assert got == {i: f"title {i}\n\na text of its own, {i}\n\nand another one, {i}" for i in range(3)}
 
 
+def test_passages_that_a_few_articles_quote_stay(spark):
+    rows = [(i, f"http://q.example/{i}", f"<article><h1>title {i}</h1><p>a quoted passage</p><p>its own text {i}</p><p>more of it {i}</p></article>") for i in range(5)]
+    got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert all("a quoted passage" in r["text"] for r in got)
+
+
 def test_templates_like_a_dictionary_of_subtrees(spark):
     rnd = random.Random(4)
     boxes = [f"<div><p>box {k}</p><ul><li>{k}</ul></div>" for k in range(6)]

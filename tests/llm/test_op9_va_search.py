@@ -38,6 +38,14 @@ def test_like_brute_force_with_ties_and_odd_vectors(spark):
     assert top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_repeated_query_rows_ask_once(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (100, [3.0, 0.0]), (100, [1.0, 9.0]), (100, [0.0, None]), *[(i, [float(i), 1.0]) for i in range(1, 8)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    # 50 asks with (1, 2) and 100 with (1, 9); as candidates both rows of an id count
+    assert got == [(50, 1, 100), *[(50, k, 9 - k) for k in range(2, 6)], (100, 1, 50), (100, 2, 50), (100, 3, 7), (100, 4, 6), (100, 5, 5)]
+
+
 def test_query_on_table_and_its_sql(spark):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
