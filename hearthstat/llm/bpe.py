@@ -255,11 +255,12 @@ class Bpe:
 class PieceEncoder:
     """Encodes pieces without white space, keeping those of the last two generations of distinct pieces."""
 
-    def __init__(self, bpe: Bpe, keep: int = 150_000):
+    def __init__(self, bpe: Bpe, keep: int = 100_000):
         self.bpe, self.keep = bpe, keep
         self.new: dict[bytes, tuple[int, ...]] = {}
         self.old: dict[bytes, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(bpe.size))  # one object per token, for all that is remembered
 
     def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         if len(self.new) > self.keep:
@@ -278,9 +279,11 @@ class PieceEncoder:
             if len(self.words) > self.keep:
                 self.words = {}
                 fresh = list({w for parts in split for w in parts if isinstance(w, str)})
-            self.words.update(zip(fresh, map(tuple, self.bpe.encode_words(fresh))))
+            number = self.numbers.__getitem__
+            self.words.update(zip(fresh, (tuple(map(number, own)) for own in self.bpe.encode_words(fresh))))
             for p, parts in zip(missing, split):
-                self.new[p] = tuple(t for w in parts for t in (self.words[w] if isinstance(w, str) else (w,)))
+                whole = len(parts) == 1 and isinstance(parts[0], str)
+                self.new[p] = self.words[parts[0]] if whole else tuple(t for w in parts for t in (self.words[w] if isinstance(w, str) else (w,)))
         return list(map(self.new.__getitem__, pieces))
 
 
