@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -249,7 +250,7 @@ class Bpe:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Names of the tokens, special ones too, joined by spaces: what a file without a decoder gives."""
-        return " ".join([self.names[i] for i in ids])
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 class PieceEncoder:
@@ -263,16 +264,25 @@ class PieceEncoder:
         self.numbers = list(range(bpe.size))  # one object per token, for all that is remembered
 
     def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Tokens of each piece. Nothing here makes cycles, so the collector need not search some hundred thousand remembered tuples for them."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(pieces)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         if len(self.new) > self.keep:
             self.old, self.new = self.new, {}
         missing = []
-        for p in set(pieces):
-            if p not in self.new:
-                known = self.old.get(p)
-                if known is None:
-                    missing.append(p)
-                else:
-                    self.new[p] = known
+        for p in set(pieces).difference(self.new):
+            known = self.old.get(p)
+            if known is None:
+                missing.append(p)
+            else:
+                self.new[p] = known
         if missing:
             split = [self.bpe.split(p.decode()) for p in missing]
             fresh = list({w for parts in split for w in parts if isinstance(w, str) and w not in self.words})
