@@ -18,7 +18,7 @@ from hearthstat.llm.shared import save
 from hearthstat.llm.words import Words, lower_ascii, mix, per_text
 
 ORDER = 5
-LANGUAGES = 4096
+LANGUAGES = 1 << 16
 LOWER, UPPER = 4.0, 4.0
 SETTLE = 8000
 SKETCH = 4
@@ -110,8 +110,8 @@ def _places(chunk: packets.Chunk, name: int, lang: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=["key", "rank", "chunk", "place", "facts"])
 
 
-def _learnt(places: DataFrame, apart: bool) -> dict[int, tuple[bytes, bytes]]:
-    """By chunk, two bits for each row: whether the model learns it, and its fold.
+def _learnt(places: DataFrame, apart: bool) -> DataFrame:
+    """A row per chunk with two bits for each of its documents: whether the model learns it, and its fold.
 
     Texts of a language that share two of four sketches are copies or near copies; one shared window does not make them so. A text is learnt if none of
     lesser hash is its copy: the least of a group always is, and no other one that a lesser member matches. Equal texts go by chunk and place.
@@ -129,20 +129,17 @@ def _learnt(places: DataFrame, apart: bool) -> dict[int, tuple[bytes, bytes]]:
     first = places.where("place >= 0").groupBy("key").agg(F.min(F.struct("rank", "chunk", "place")).alias("first")).select("first.*")
     won = first.groupBy("chunk", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(_PAIRS)).select("chunk", "place", none)
     whole = won.unionByName(places.where("place < 0").select("chunk", "place", "facts"))
-    rows = whole.groupBy("chunk").applyInArrow(bits, "chunk long, taught binary, fold binary").collect()
-    return {r["chunk"]: (bytes(r["taught"]), bytes(r["fold"])) for r in rows}
+    return whole.groupBy("chunk").applyInArrow(bits, "chunk long, taught binary, fold binary")
 
 
 def _folds(facts: Facts, apart: bool) -> np.ndarray:
     return (facts.sketch.view(np.uint64) >> np.uint64(32) & np.uint64(apart)).astype(np.int64)
 
 
-def _flags(learnt: dict[int, tuple[bytes, bytes]], name: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a chunk's rows: whether each is learnt, and its fold."""
-    if name not in learnt:
-        raise RuntimeError("an unknown chunk: the input changed between two reads")
-    taught, folds = (np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b in learnt[name])
-    return taught.astype(bool), folds.astype(np.int64)
+def _flags(taught: bytes, fold: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk's ``n`` rows: whether each is learnt, and its fold."""
+    flags, folds = (np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b in (taught, fold))
+    return flags.astype(bool), folds.astype(np.int64)
 
 
 def _short(values: np.ndarray) -> np.ndarray:
@@ -174,26 +171,28 @@ def _interpolate(number, total, ones, twos, more, discount, shorter):
 
 
 class LowOrders:
-    """Probabilities after two, one and no bytes, from how many bytes stand before each n-gram of three; at most 2 ** 24 of them."""
+    """Probabilities after two, one and no bytes, from how many bytes stand before each n-gram of three; at most 2 ** 24 of them.
+
+    The tables hold the contexts that occur, so a language of few texts has small ones.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, upper: list[np.ndarray]):
         self.upper = upper  # discounts of the longer orders, longest first
         self.tables = {}
         for j in (2, 1, 0):
-            context = (keys >> np.uint64(8)).astype(np.int64)
-            size = 1 << 8 * j
-            sums = [np.bincount(context, weights=w, minlength=size) for w in (counts, counts == 1, counts == 2, counts >= 3)]
-            self.tables[j] = (keys, counts, sums, discounts(_counts_of_counts(counts)))
+            contexts, _, *sums = group_sums(keys >> np.uint64(8), counts, counts == 1, counts == 2, counts >= 3)
+            # the last place stands for contexts that do not occur
+            self.tables[j] = (keys, counts, contexts, [np.append(x, 0) for x in sums], discounts(_counts_of_counts(counts)))
             keys, counts = add_up(keys & _MASK(j), np.ones(len(keys), np.int64))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Probability of each n-gram's last byte after the two bytes before it."""
         out = np.full(len(keys), 1 / 256)
         for j in (0, 1, 2):
-            own, counts, (total, ones, twos, more), discount = self.tables[j]
+            own, counts, contexts, sums, discount = self.tables[j]
             pairs = keys & _MASK(j + 1)
-            context = (pairs >> np.uint64(8)).astype(np.int64)
-            out = _interpolate(look_up(own, counts, pairs), total[context], ones[context], twos[context], more[context], discount, out)
+            at = look_up(contexts, np.arange(len(contexts)), pairs >> np.uint64(8), missing=len(contexts))
+            out = _interpolate(look_up(own, counts, pairs), *(x[at] for x in sums), discount, out)
         return out
 
 
@@ -289,12 +288,13 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
             yield _places(chunk, chunk.name(id_col), lang)
 
     places = save(docs.mapInArrow(place, _PLACE), "op1-places")
-    learnt = docs.sparkSession.sparkContext.broadcast(_learnt(places, apart))
+    learnt = save(_learnt(places, apart), "op1-learnt")
 
-    def ask(chunk: packets.Chunk, name: int) -> Iterator[tuple]:
-        return _Asked(chunk, *_flags(learnt.value, name, len(chunk)), lang, order, codes, parts).rows(name)
+    def ask(chunk: packets.Chunk, name: int, row: dict) -> Iterator[tuple]:
+        return _Asked(chunk, *_flags(row["taught"], row["fold"], len(chunk)), lang, order, codes, parts).rows(name)
 
-    asked = save(packets.requests(docs, id_col, text_col, ask), "op1-asked")
+    texts = docs.select(*dict.fromkeys((id_col, text_col, lang)))
+    asked = save(packets.requests_beside(texts, learnt, id_col, text_col, ask), "op1-asked")
     model = save(packets.answers(asked, lambda p: _merge_model(p, order, n, parts)), "op1-model")
     stats = {(r[0] - 2 * n, r[1]): r[2] for r in model.where(F.col("step") >= 2 * n).groupBy("step", "part").agg(F.sum("chunk")).collect()}
     low: dict[int, list] = {c: ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for c in range(n)}
@@ -306,14 +306,15 @@ def measure(docs: DataFrame, carry: list[str], id_col: str = "doc_id", text_col:
     bare = asked.withColumns({"step": other(F.col("step")), "a": F.lit(None).cast("binary")})  # the counts are in the model
     told = packets.answers(bare.unionByName(model.where(F.col("step") < n)), lambda p: _merge_answers(p, order, tables.value))
     none = F.lit(None).cast("binary")
-    known = places.where("place < 0").select(F.lit(-1).alias("step"), F.lit(0).alias("part"), "chunk", F.lit(0).alias("n"), none.alias("keys"), F.col("facts").alias("a"), none.alias("b"), none.alias("c"))
+    beside = lambda df, step, a, b: df.select(F.lit(step).alias("step"), F.lit(0).alias("part"), "chunk", F.lit(0).alias("n"), none.alias("keys"), a.alias("a"), b.alias("b"), none.alias("c"))
+    known = beside(places.where("place < 0"), -1, F.col("facts"), none).unionByName(beside(learnt, -2, F.col("taught"), F.col("fold")))
 
     def use(chunk, name, found):
-        if -1 not in found:
+        if -1 not in found or -2 not in found:
             raise RuntimeError("an unknown chunk: the input changed between two reads")
         counts = Facts.unpack(found[-1][0]["a"])
         logs = np.zeros(len(chunk))
-        taught, folds = _flags(learnt.value, name, len(chunk))
+        taught, folds = _flags(found[-2][0]["a"], found[-2][0]["b"], len(chunk))
         own = _Asked(chunk, taught, folds, lang, order, codes, parts)
         for c, rows, texts, keys, _, by, places in own.groups:
             values = ngrams.answered(found, c ^ int(apart), by, places, np.float32)

@@ -152,6 +152,29 @@ def packs(docs: DataFrame, id_col: str, text_col: str, limit: int = CHUNK_BYTES)
     return docs.mapInArrow(run, PACK)
 
 
+def unpacked(pack: bytes, text_col: str) -> Chunk:
+    """The chunk in a pack."""
+    return Chunk(pa.ipc.open_stream(pa.py_buffer(pack)).read_all(), text_col)
+
+
+def requests_beside(docs: DataFrame, beside: DataFrame, id_col: str, text_col: str, ask: Callable[[Chunk, int, dict], Iterable[tuple]], limit: int = CHUNK_BYTES) -> DataFrame:
+    """Requests of all chunks, each asked beside its row of ``beside`` (``chunk`` and others): ``ask(chunk, name, row)``.
+
+    Packs and rows are joined on the chunk: Spark broadcasts ``beside`` if its size allows that, and shuffles both if not.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if not row["met"]:
+                    raise RuntimeError("an unknown chunk: the input changed between two reads")
+                if rows := list(ask(unpacked(row.pop("pack"), text_col), row["chunk"], row)):
+                    yield to_batch(rows, REQUEST)
+
+    return packs(docs, id_col, text_col, limit).join(beside.withColumn("met", F.lit(True)), "chunk", "left").mapInArrow(run, REQUEST)
+
+
 def answers(asked: DataFrame, merge: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
     """Answers to requests: ``merge(packets)`` gets all packets of one step and range, and gives rows of ANSWER."""
 
@@ -174,8 +197,7 @@ def meet(packed: DataFrame, told: DataFrame, text_col: str, use: Callable[[Chunk
             found.setdefault(row["step"], {})[row["part"]] = row
         out = []
         for pack in left["pack"]:
-            table = pa.ipc.open_stream(pa.py_buffer(pack.as_py())).read_all()
-            out.append(use(Chunk(table, text_col), name, found))
+            out.append(use(unpacked(pack.as_py(), text_col), name, found))
         return pa.concat_tables(out)
 
     return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)

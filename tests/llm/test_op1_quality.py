@@ -184,3 +184,17 @@ def test_nulls_long_texts_and_clashing_columns(spark):
     assert len(got) == len(rows) and all(r["row"]["n_words"] == 2 and r["row"]["facts"] == "x" for r in got)
     assert sorted(r["n_words"] for r in got) == [0, 0, 300, 300, 200_000, 200_000]
     assert all(r["kept"] != r["base_failed"] for r in got)
+
+
+def test_same_result_where_flags_are_shuffled(spark):
+    rows = [(i, f"l{i % 3}", prose(i % 40, 60)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5, "doc_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = []
+    try:
+        for limit in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            found.append(sorted((r["row"]["doc_id"], r["perplexity"], r["kept"]) for r in quality_rules(df, ["doc_id"]).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1] and len(found[0]) == len(rows)
