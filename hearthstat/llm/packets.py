@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthstat.llm.shared import shuffle_partitions, text_bytes
+from hearthstat.llm.shared import give_back, shuffle_partitions, text_bytes
 
 CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 64 << 20
@@ -93,7 +93,7 @@ class Chunk:
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cuts the rows of a task into chunks; where to cut depends on the rows alone, not on how they are batched."""
+    """Cuts the rows of a task into chunks; where to cut depends on the rows alone, not on how they are batched. Gives memory back after the last one."""
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
@@ -108,7 +108,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text_col: str, limit: int = CHUNK_
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:
-        yield Chunk(pa.Table.from_batches(held), text_col)
+        last, held = Chunk(pa.Table.from_batches(held), text_col), []
+        yield last
+        del last
+    give_back()
 
 
 def to_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -171,6 +174,7 @@ def requests_beside(docs: DataFrame, beside: DataFrame, id_col: str, text_col: s
                     raise RuntimeError("an unknown chunk: the input changed between two reads")
                 if rows := list(ask(unpacked(row.pop("pack"), text_col), row["chunk"], row)):
                     yield to_batch(rows, REQUEST)
+        give_back()
 
     return packs(docs, id_col, text_col, limit).join(beside.withColumn("met", F.lit(True)), "chunk", "left").mapInArrow(run, REQUEST)
 
