@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthstat.llm.bpe import piece_encoder
+from hearthstat.llm.bpe import borders_of, cut_pieces, piece_encoder
 from hearthstat.llm.packets import chunks, whole_rows
 
 BLOCK_BYTES = 1 << 20
@@ -31,14 +30,12 @@ def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text") -> Dat
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
         for chunk in chunks(batches, text_col, BLOCK_BYTES):
-            pieces = [chunk.text(i).split() for i in range(len(chunk))]
-            encoded = encoder(list(chain.from_iterable(pieces)))
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
-            borders = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int64)]
-            decoded = [encoder.bpe.decode(flat[a:b].tolist()) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+            pieces, _, texts = cut_pieces(chunk.data, chunk.offsets)
+            flat, sizes = encoder.columns(pieces)
+            borders = borders_of(sizes)[texts]
+            decoded = encoder.bpe.decode_all(flat, borders)
             ids = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([whole_rows(chunk.table), ids, pa.array(decoded, pa.string())], names=["row", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([whole_rows(chunk.table), ids, decoded], names=["row", "ids", "decoded"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), *T.StructType.fromDDL("ids array<int>, decoded string").fields]))
 

@@ -2,10 +2,12 @@ import hashlib
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from hearthstat.llm.bpe import Bpe, PieceEncoder
+from hearthstat.llm.bpe import Bpe, PieceEncoder, cut_pieces
 from hearthstat.llm.op3_bpe import digests, encode_and_decode, op3_bpe, public_file
 
 
@@ -70,6 +72,47 @@ def test_what_is_remembered_is_bounded():
     assert len(encoder.new) + len(encoder.old) <= 350
 
 
+def cut(texts):
+    raw = [(t or "").encode() for t in texts]
+    pieces, starts, before = cut_pieces(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [b"".join(raw)[a : a + len(p)] for a, p in zip(starts.tolist(), pieces.to_pylist())] == pieces.to_pylist()
+    return pieces, before
+
+
+def test_pieces_of_many_texts_are_cut_at_once():
+    for texts in ([], [""], ["", " ", ""], ODD, ["ab", "c", "", " d ", "e\x0bf\x85g\u3000h"], ["a "], [" a", "b"]):
+        pieces, before = cut(texts)
+        own = [(t or "").encode().split() for t in texts]
+        assert [pieces.to_pylist()[a:b] for a, b in zip(before[:-1], before[1:])] == own
+
+
+def test_columns_of_pieces_like_single_pieces():
+    rnd = random.Random(8)
+    letters = "abcXYZéÉßẞÿŸ÷×ªµΣσK·.,;:!?'<|>endoftx1²\u0301\u3000"
+    texts = ODD + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(4000)] + ["<|endoftext|>", "x<|endoftext|>", "É.", ".", "..", "don't"]
+    pieces, _ = cut(" ".join([t or "", "Common", "word,", "straße!"]) for t in texts)
+    single, encoder = PieceEncoder(Bpe(public_file())), PieceEncoder(Bpe(public_file()), keep=500)
+    expect = single(pieces.to_pylist())
+    for low, high in ((0, 0), (0, 1), (1, 1000), (1000, 3000), (500, 6000), (0, len(pieces))):  # most are met again, and forgotten
+        flat, sizes = encoder.columns(pieces.slice(low, high - low))
+        ends = np.cumsum([0, *sizes])
+        assert [tuple(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])] == expect[low:high]
+    encoder = PieceEncoder(encoder.bpe, keep=500)
+    for low in range(0, len(pieces), 300):
+        encoder.columns(pieces.slice(low, 300))
+        assert len(encoder.held) <= 1600 and len(encoder.held_sizes) == len(encoder.met) == len(encoder.held) and len(encoder.held_flat) == encoder.held_sizes.sum()
+
+
+def test_plain_pieces_are_not_split_one_by_one():
+    bpe, seen = Bpe(public_file()), []
+    own = bpe.split_plainly
+    bpe.split_plainly = lambda text: [seen.append(text), own(text)][1]
+    rnd = random.Random(2)
+    plain = list({"".join(rnd.choice("abcdeXYéßÄ") for _ in range(rnd.randint(1, 12))) + rnd.choice(["", ".", ","]) for _ in range(5000)})
+    PieceEncoder(bpe).columns(pa.array([p.encode() for p in [*plain, "it's", "a-b"]], pa.large_binary()))
+    assert sorted(seen) == ["a-b", "it's"]
+
+
 def test_query_on_table(spark, library):
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
