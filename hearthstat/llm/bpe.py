@@ -413,6 +413,17 @@ class PieceEncoder:
 
     def columns(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of many pieces, one after the other, and how many each has. No piece becomes an object unless the splitting pattern has to see it."""
+        row = self._rows(pieces)
+        sizes = self.held_sizes[row]
+        return self.held_flat[spread(borders_of(self.held_sizes)[row], sizes)], sizes
+
+    def counts(self, pieces: pa.Array) -> np.ndarray:
+        """How many tokens each of many pieces has."""
+        row = self._rows(pieces)
+        return self.held_sizes[row]
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece stands among those that are remembered, after new ones have been encoded."""
         coded = pieces.dictionary_encode()
         if self.met.sum() > self.keep:
             flat_met = np.repeat(self.met, self.held_sizes)
@@ -427,9 +438,7 @@ class PieceEncoder:
         self.held_flat, self.held_sizes = np.concatenate((self.held_flat, flat)), np.concatenate((self.held_sizes, sizes))
         self.met = np.concatenate((self.met, np.ones(len(new), bool)))
         self.met[row] = True
-        row = row[coded.indices.to_numpy()]
-        sizes = self.held_sizes[row]
-        return self.held_flat[spread(borders_of(self.held_sizes)[row], sizes)], sizes
+        return row[coded.indices.to_numpy()]
 
     def __call__(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Tokens of each piece. Nothing here makes cycles, so the collector need not search some hundred thousand remembered tuples for them."""

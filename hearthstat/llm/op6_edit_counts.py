@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from hearthstat.llm.bpe import PieceEncoder, piece_encoder
+from hearthstat.llm.bpe import PieceEncoder, borders_of, bytes_of, cut_pieces, piece_encoder, spread
 from hearthstat.llm.op3_bpe import public_file
 from hearthstat.llm.packets import chunks
 from hearthstat.llm.shared import save
@@ -26,12 +26,6 @@ Edit = tuple[int, int, str]
 _TREE = "text string, chars array<int>, tokens array<int>, n_tokens long"
 
 
-def run_borders(text: str, run: int) -> list[int]:
-    """Where runs of ``run`` pieces begin, and the end. A piece is a word with the white space after it, and before it at the text's start."""
-    every = re.compile(rf"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){{1,{run}}}|[\x20\x09-\x0D]+")
-    return [0, *(m.end() for m in every.finditer(text))] if text else [0, 0]
-
-
 class SegmentTree:
     """Runs of whole pre-tokens, and per node of a binary tree the characters and tokens below it.
 
@@ -102,18 +96,28 @@ class SegmentTree:
         return self.chars[self.leaves : self.leaves + len(self.runs)], self.tokens[self.leaves : self.leaves + len(self.runs)]
 
 
+def run_sums(data: np.ndarray, offsets: np.ndarray, encoder: PieceEncoder, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after the other in ``data``: how many runs each has, and all runs' characters and tokens. All words are looked up in one call.
+
+    A run is ``run`` words, each with the white space after it, and before it at the text's start; a text without words is one run.
+    """
+    pieces, starts, before = cut_pieces(data, offsets)
+    runs = np.maximum(-(-np.diff(before) // run), 1)
+    first = np.repeat(before[:-1], runs) + run * spread(np.zeros(len(runs), np.int64), runs)
+    at = np.repeat(offsets[:-1], runs)
+    inner = first > np.repeat(before[:-1], runs)
+    at[inner] = starts[first[inner]]
+    chars = borders_of((data & 0xC0) != 0x80)[np.append(at, len(data))]
+    tokens = borders_of(encoder.counts(pieces))[np.append(first, len(pieces))]
+    return runs, np.diff(chars), np.diff(tokens)
+
+
 def tree_sums(texts: list[str], encoder: PieceEncoder, run: int = RUN) -> Iterator[tuple[list[int], list[int]]]:
-    """Characters and tokens of every text's runs. All words of the texts are encoded in one call."""
-    borders = [run_borders(t, run) for t in texts]
-    words = [[t[a:b].encode().split() for a, b in zip(own, own[1:])] for t, own in zip(texts, borders)]
-    sizes = np.fromiter(map(len, encoder([w for own in words for part in own for w in part])), np.int64)
-    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *(len(part) for own in words for part in own)])]
-    each = np.diff(ends)
-    at = 0
-    for own in borders:
-        n = len(own) - 1
-        yield np.diff(own).tolist(), each[at : at + n].tolist()
-        at += n
+    """Characters and tokens of every text's runs."""
+    runs, chars, tokens = run_sums(*bytes_of(pa.array([t.encode() for t in texts], pa.large_binary())), encoder, run)
+    borders = borders_of(runs).tolist()
+    for a, b in zip(borders, borders[1:]):
+        yield chars[a:b].tolist(), tokens[a:b].tolist()
 
 
 def build_trees(docs: DataFrame, path: str, carry: list[str], text_col: str = "text", run: int = RUN) -> DataFrame:
@@ -126,20 +130,23 @@ def build_trees(docs: DataFrame, path: str, carry: list[str], text_col: str = "t
     def run_all(batches) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
         for chunk in chunks(batches, "_text", BLOCK_BYTES):
-            texts = [chunk.text(i).decode() for i in range(len(chunk))]
-            sums = list(tree_sums(texts, encoder, run))
-            rows = [(t, c, n, sum(n)) for t, (c, n) in zip(texts, sums)]
-            yield _trees(chunk.table["row"].combine_chunks(), rows)
+            runs, chars, tokens = run_sums(chunk.data, chunk.offsets, encoder, run)
+            borders = borders_of(runs)
+            lists = (pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(own, pa.int32())) for own in (chars, tokens))
+            text = _whole(pc.fill_null(chunk.table["_text"], ""))
+            yield _trees(_whole(chunk.table["row"]), text, *lists, pa.array(np.diff(borders_of(tokens)[borders]), pa.int64()))
 
     named = docs.selectExpr(f"struct({', '.join(f'`{c}`' for c in carry)}) AS row", f"`{text_col}` AS _text")
     return named.mapInArrow(run_all, T.StructType([named.schema["row"], *T.StructType.fromDDL(_TREE).fields]))
 
 
-def _trees(row: pa.Array, rows: list[tuple], **more: list[int]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64())
-    row = pa.concat_arrays(row.chunks) if isinstance(row, pa.ChunkedArray) else row
-    columns = [row, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), *(pa.array(own, pa.int64()) for own in more.values())]
-    return pa.RecordBatch.from_arrays(columns, names=["row", "text", "chars", "tokens", "n_tokens", *more])
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def _trees(*columns: pa.Array, **more: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(own, pa.int64()) for own in more.values())], names=["row", "text", "chars", "tokens", "n_tokens", *more])
 
 
 def edit_trees(trees: DataFrame, path: str, edits: str | Callable[[str], Iterable[Edit]], n_edits: str = "n_edits", n_encoded: str = "n_encoded") -> DataFrame:
@@ -157,19 +164,22 @@ def edit_trees(trees: DataFrame, path: str, edits: str | Callable[[str], Iterabl
         for batch in batches:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             listed = pc.struct_field(column["row"], edits).to_pylist() if isinstance(edits, str) else None
-            rows, edited, encoded = [], [], []
-            for i, (text, chars, tokens, n) in enumerate(zip(*(column[c].to_pylist() for c in ("text", "chars", "tokens", "n_tokens")))):
-                own = [(e["start"], e["length"], e["text"]) for e in listed[i] or () if e and None not in e.values()] if listed is not None else list(edits(text))
-                again = 0
-                if own:
-                    tree = SegmentTree(text, chars, tokens, encoder)
-                    for edit in own:
-                        tree.edit(*edit)
-                    text, (chars, tokens), n, again = tree.text, tree.sums, tree.tokens[1], tree.encoded
-                rows.append((text, chars, tokens, n))
-                edited.append(len(own))
-                encoded.append(again)
-            yield _trees(column["row"], rows, **{n_edits: edited, n_encoded: encoded})
+            own = [[(e["start"], e["length"], e["text"]) for e in each or () if e and None not in e.values()] for each in listed] if listed is not None else [list(edits(t)) for t in column["text"].to_pylist()]
+            opened = [i for i, each in enumerate(own) if each]
+            encoded = [0] * len(own)
+            kept = [column[c] for c in ("text", "chars", "tokens", "n_tokens")]
+            changed = []
+            for i, text, chars, tokens in zip(opened, *(c.take(pa.array(opened, pa.int64())).to_pylist() for c in kept[:3])):
+                tree = SegmentTree(text, chars, tokens, encoder)
+                for edit in own[i]:
+                    tree.edit(*edit)
+                changed.append((tree.text, *tree.sums, tree.tokens[1]))
+                encoded[i] = tree.encoded
+            if opened:
+                places = np.arange(len(own))
+                places[opened] = len(own) + np.arange(len(opened))
+                kept = [pa.concat_arrays([c, pa.array(new, c.type)]).take(pa.array(places)) for c, new in zip(kept, zip(*changed))]
+            yield _trees(column["row"], *kept, **{n_edits: [*map(len, own)], n_encoded: encoded})
 
     given = trees.select("row", *(f.name for f in T.StructType.fromDDL(_TREE)))
     return given.mapInArrow(run_all, T.StructType([*given.schema.fields, *T.StructType.fromDDL(f"`{n_edits}` long, `{n_encoded}` long").fields]))

@@ -1,9 +1,10 @@
 import os
 import random
+import re
 
 from tokenizers import Tokenizer
 
-from hearthstat.llm.bpe import piece_encoder
+from hearthstat.llm.bpe import Bpe, PieceEncoder, piece_encoder
 from hearthstat.llm.op3_bpe import public_file
 from hearthstat.llm.op6_edit_counts import SegmentTree, build_trees, edit_trees, op6_edit_counts, plain_ends, redactions, tree_sums
 
@@ -48,6 +49,19 @@ def test_sums_of_many_texts_at_once():
             assert sum(chars) == len(text) and sum(tokens) == count(library, text) and len(chars) == len(tokens) >= 1
 
 
+def test_runs_of_all_texts_are_cut_at_once():
+    encoder, rnd = PieceEncoder(Bpe(public_file())), random.Random(6)
+    encoder._encode = None  # no piece goes through the way for single edits
+    texts = ["", " ", " \n", "a", " a", "a ", "", "é\x85ü z\u2003w \x0b\x1cq"] + ["".join(rnd.choice("aé漢🙂 \n\t") for _ in range(rnd.randint(0, 40))) for _ in range(400)]
+    for run in (1, 2, 5, 64):
+        for text, (chars, tokens) in zip(texts, tree_sums(texts, encoder, run), strict=True):
+            own = re.findall(rf"(?:[ \t-\r]*[^ \t-\r]+[ \t-\r]*){{1,{run}}}|[ \t-\r]+", text) or [""]
+            assert chars == [*map(len, own)] and len(tokens) == len(own)
+    plain = [f"{'abc'[i % 3]}{'xyz'[i // 3 % 3] * (i % 7 + 1)}" for i in range(100)]
+    encoder.bpe.split_plainly = None  # nor do plain words go to the splitting pattern
+    assert sum(next(tree_sums([" ".join(plain)], encoder))[1]) == count(Tokenizer.from_file(public_file()), " ".join(plain))
+
+
 def test_an_edit_encodes_little():
     encoder = piece_encoder(public_file())
     tree = opened("some words here " * 20000, encoder)
