@@ -27,6 +27,12 @@ def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
     A document of fewer words than a shingle has its whole word sequence as its one shingle; one without words has none.
     """
+    sets, sizes = zip(*(_block_sets(block, shingle) for block in chunk.blocks()))
+    return np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+
+
+def _block_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a block, one after the other, and their sizes."""
     words = Words(lower_ascii(chunk.data), chunk.offsets)
     hashes, valid = words.windows(shingle)
     at = np.flatnonzero(valid)
@@ -41,7 +47,7 @@ def shingle_sets(chunk: Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(docs), bool)
     new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
     docs, hashes = docs[new], hashes[new]
-    return hashes, np.searchsorted(docs, np.arange(len(chunk) + 1))
+    return hashes, np.bincount(docs, minlength=len(chunk))
 
 
 def band_keys(hashes: np.ndarray, bounds: np.ndarray, bins: int, bands: int) -> np.ndarray:

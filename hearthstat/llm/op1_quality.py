@@ -88,10 +88,13 @@ def sketches(words: Words, n: int) -> np.ndarray:
 
 def _places(chunk: packets.Chunk, name: int, lang: str) -> pa.RecordBatch:
     """A row for each pair of sketches of each text that passes the base rules, and one with the facts of the chunk."""
-    words = Words(chunk.data, chunk.offsets)
-    counts = base_counts(chunk, words)
-    least = sketches(words.of(lower_ascii(chunk.data)), len(chunk))
-    facts = Facts(np.stack([*counts, least[0].view(np.int64)]))
+    counts, least = [], []
+    for block in chunk.blocks():
+        words = Words(block.data, block.offsets)
+        counts.append(np.stack(base_counts(block, words)))
+        least.append(sketches(words.of(lower_ascii(block.data)), len(block)))
+    counts, least = np.concatenate(counts, axis=1), np.concatenate(least, axis=1)
+    facts = Facts(np.concatenate([counts, least[:1].view(np.int64)]))
     rows = np.flatnonzero(~facts.failed)
     own = chunk.table[lang].to_pylist()
     tongue = np.array([xxhash.xxh3_64_intdigest(own[i] or "") for i in rows.tolist()], np.uint64)

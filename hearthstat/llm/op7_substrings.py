@@ -32,7 +32,18 @@ class _Level:
     def __init__(self, hashes: np.ndarray, alive: np.ndarray, parts: int):
         self.at = np.flatnonzero(alive)
         #: A filter level needs 48 bits: what collides there is told apart at the last level.
-        self.keys, self.which, self.count = np.unique(hashes[self.at] >> np.uint64(16), return_inverse=True, return_counts=True)
+        keys = hashes[self.at]
+        keys >>= np.uint64(16)
+        # as np.unique finds keys, places and counts, in half its room
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        self.which = np.empty(len(keys), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
+        heads = np.flatnonzero(new)
+        self.keys, self.count = keys[heads], np.diff(heads, append=len(keys))
         self.places = packets.split_rising(self.keys, parts, bits=48)
 
     def survivors(self, found: dict, step: int, n: int) -> np.ndarray:

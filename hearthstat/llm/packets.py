@@ -12,6 +12,7 @@ would not meet; ``meet`` raises then, rather than lose a document.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from hearthstat.llm.shared import give_back, shuffle_partitions, text_bytes
 
 CHUNK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 RANGE_BYTES = 64 << 20
 REQUEST = "step int, part int, chunk long, n int, keys binary, a binary, b binary, c binary"
 ANSWER = "step int, part int, chunk long, n int, keys binary, a binary, b binary, c binary"
@@ -81,6 +83,18 @@ class Chunk:
         """Document ids; a null id counts as the largest there is."""
         return pc.fill_null(self.table[id_col].cast(pa.int64()), np.iinfo(np.int64).max).to_numpy().astype(np.int64)
 
+    def blocks(self, limit: int = BLOCK_BYTES) -> Iterator[Chunk]:
+        """The same documents some ``limit`` bytes at a time, as views: what is computed document by document needs room for a block only."""
+        low = 0
+        while low < len(self) or not low:
+            high = min(max(int(np.searchsorted(self.offsets, self.offsets[low] + limit, side="right")) - 1, low + 1), len(self))
+            block = copy.copy(self)
+            block.table = self.table.slice(low, high - low)
+            block.offsets = self.offsets[low : high + 1] - self.offsets[low]
+            block.data = self.data[self.offsets[low] : self.offsets[high]]
+            yield block
+            low = max(high, 1)
+
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
@@ -180,17 +194,18 @@ def requests_beside(docs: DataFrame, beside: DataFrame, id_col: str, text_col: s
 
 
 def answers(asked: DataFrame, merge: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
-    """Answers to requests: ``merge(packets)`` gets all packets of one step and range, and gives rows of ANSWER."""
+    """Answers to requests: ``merge(packets)`` gets all packets of one step and range, and gives rows of ANSWER. Gives memory back after each range."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(merge(table.to_pylist()))
-        return pa.Table.from_batches([to_batch(rows, ANSWER)]) if rows else pa.schema(_arrow(ANSWER)).empty_table()
+        out = rows_table(merge(table.to_pylist()), ANSWER)
+        give_back()
+        return out
 
     return asked.groupBy("step", "part").applyInArrow(run, ANSWER)
 
 
 def meet(packed: DataFrame, told: DataFrame, text_col: str, use: Callable[[Chunk, int, dict], pa.Table], schema: str | T.StructType) -> DataFrame:
-    """Every chunk with its answers, as {step: {part: answer row}}; ``use(chunk, name, answers)`` gives the result's rows."""
+    """Every chunk with its answers, as {step: {part: answer row}}; ``use(chunk, name, answers)`` gives the result's rows. Gives memory back after each chunk."""
 
     def run(left: pa.Table, right: pa.Table):
         if not left.num_rows:
@@ -202,6 +217,8 @@ def meet(packed: DataFrame, told: DataFrame, text_col: str, use: Callable[[Chunk
         out = []
         for pack in left["pack"]:
             out.append(use(unpacked(pack.as_py(), text_col), name, found))
+        del found
+        give_back()
         return pa.concat_tables(out)
 
     return packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, schema)

@@ -108,18 +108,23 @@ class Words:
                 heads[low:high] = sums[self.starts[low:high] - at]
                 low, high = np.searchsorted(self.ends, (at + 1, at + len(block) + 1))
                 tails[low:high] = sums[self.ends[low:high] - at]
-            return mix((tails - heads) * _BYTE_INVERSES(self.starts) + (self.ends - self.starts).astype(np.uint64))
+            for at in range(0, len(heads), _BLOCK):
+                own = slice(at, at + _BLOCK)
+                tails[own] = mix((tails[own] - heads[own]) * _BYTE_INVERSES(self.starts[own]) + (self.ends[own] - self.starts[own]).astype(np.uint64))
+        return tails
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window of ``length`` words from each word on, and whether it lies in one text."""
         n = len(self.hashes)
-        valid = np.zeros(n, bool)
+        out, valid = np.zeros(n, np.uint64), np.zeros(n, bool)
         if n < length:
-            return np.zeros(n, np.uint64), valid
+            return out, valid
         valid[: n - length + 1] = self.docs[length - 1 :] == self.docs[: n - length + 1]
-        places = np.arange(n)
+        step = max(_BLOCK, length)
         with np.errstate(over="ignore"):
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(self.hashes * _WORD_POWERS(places), dtype=np.uint64)))
-            out = np.zeros(n, np.uint64)
-            out[: n - length + 1] = mix((sums[length:] - sums[:-length]) * _WORD_INVERSES(places[: n - length + 1]))
+            for at in range(0, n - length + 1, step):
+                own = self.hashes[at : at + step + length - 1]
+                places = np.arange(len(own))
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(own * _WORD_POWERS(places), dtype=np.uint64)))
+                out[at : at + len(own) - length + 1] = mix((sums[length:] - sums[:-length]) * _WORD_INVERSES(places[: len(own) - length + 1]))
         return out, valid
